@@ -1,8 +1,8 @@
 """Queries over the driver tables: stand-in shapes, Spark queries and their SQL twins."""
 
-from catalog import clock_queries
+from catalog import clock_queries, interval_queries
 
-_PARTS = [clock_queries]
+_PARTS = [clock_queries, interval_queries]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}

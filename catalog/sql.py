@@ -93,3 +93,79 @@ ratios AS (
   FROM segments s JOIN flags f ON f.video = s.video AND f.frame >= s.start_frame AND f.frame < s.end_frame
   GROUP BY ALL)
 """
+
+TASKS = """
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS rn,
+         CAST(json_extract(props, '$.k') AS INTEGER) AS k
+  FROM events),
+tasks AS (
+  SELECT printf('data/mat_%02d/%04d/%04d.mp4', user_id % 10, user_id, rn // 3) AS file, event_id,
+         CASE event_type WHEN 'click' THEN 'Match' WHEN 'view' THEN 'Active'
+                         WHEN 'purchase' THEN 'Standing' ELSE 'Unsure' END AS label,
+         CAST(rn % 3 * 10 + k % 5 AS DOUBLE) AS s,
+         CAST(rn % 3 * 10 + k % 5 + 1 + k % 4 AS DOUBLE) AS e
+  FROM numbered)
+"""
+
+_FOLD = """list_reduce(ps, lambda acc, p:
+      CASE WHEN acc.s <= p.s AND acc.e <= p.e AND acc.e >= p.s THEN {{'s': p.s, 'e': acc.e}}
+           WHEN acc.s >= p.s AND acc.e >= p.e AND acc.s <= p.e THEN {{'s': acc.s, 'e': p.e}}
+           ELSE acc END, {{'s': c.s, 'e': c.e}})"""
+
+INTERVALS = TASKS + """,
+matches AS (SELECT file, event_id AS id, s, e FROM tasks WHERE label = 'Match'),
+match_lists AS (SELECT file, list({'s': s, 'e': e} ORDER BY id) AS ps FROM matches GROUP BY file),
+active_cut AS (
+  SELECT c.file, c.event_id AS id, CASE WHEN ps IS NULL THEN {'s': c.s, 'e': c.e} ELSE FOLD END AS i
+  FROM tasks c LEFT JOIN match_lists USING (file) WHERE c.label = 'Active'),
+actives AS (SELECT file, id, i.s AS s, i.e AS e FROM active_cut),
+active_lists AS (SELECT file, list({'s': s, 'e': e} ORDER BY id) AS ps FROM actives GROUP BY file),
+standing_cut AS (
+  SELECT c.file, c.event_id AS id, CASE WHEN ps IS NULL THEN {'s': c.s, 'e': c.e} ELSE FOLD END AS i
+  FROM tasks c LEFT JOIN active_lists USING (file) WHERE c.label = 'Standing'),
+standings AS (SELECT file, id, i.s AS s, i.e AS e FROM standing_cut),
+clamped AS (
+  SELECT file, 'Match' AS label, s, e FROM matches
+  UNION ALL SELECT file, 'Active', s, e FROM actives
+  UNION ALL SELECT file, 'Standing', s, e FROM standings),
+parents AS (
+  SELECT file, 'Not Active' AS label, id, s, e FROM matches
+  UNION ALL SELECT file, 'Not Standing', id, s, e FROM actives
+  UNION ALL SELECT DISTINCT file, 'Not Match', -1, 0.0, 30.0 FROM tasks),
+children AS (
+  SELECT file, 'Not Active' AS label, s, e FROM actives
+  UNION ALL SELECT file, 'Not Standing', s, e FROM standings
+  UNION ALL SELECT file, 'Not Match', s, e FROM matches),
+inside AS (
+  SELECT p.file, p.label, p.id, p.s AS ps, p.e AS pe, c.s, c.e
+  FROM parents p JOIN children c ON p.file = c.file AND p.label = c.label
+   AND (p.label = 'Not Match' OR (p.s <= c.s AND c.s <= c.e AND c.e <= p.e))),
+ordered AS (
+  SELECT *, lead(s) OVER w AS next_s, row_number() OVER w AS n,
+         count(*) OVER (PARTITION BY file, label, id) AS cnt
+  FROM inside WINDOW w AS (PARTITION BY file, label, id ORDER BY s, e)),
+gaps AS (
+  SELECT file, label, ps AS s, s AS e FROM ordered WHERE n = 1 AND ps < s
+  UNION ALL SELECT file, label, e, next_s FROM ordered WHERE n < cnt
+  UNION ALL SELECT file, label, e, pe FROM ordered WHERE n = cnt AND pe > e
+  UNION ALL SELECT p.file, p.label, p.s, p.e FROM parents p
+            WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.file = p.file AND i.label = p.label AND i.id = p.id)),
+long AS (SELECT * FROM clamped UNION ALL SELECT * FROM gaps)
+""".replace("FOLD", _FOLD.replace("{{", "{").replace("}}", "}"))
+
+def labels(step: int) -> str:
+    """Per-step labels from the interval rows."""
+    return INTERVALS + f""",
+bounds AS (SELECT file, min(s) AS lo, max(e) AS hi FROM long GROUP BY file),
+points AS (
+  SELECT file, lo + i * {step} AS t, least(lo + (i + 1) * {step}, hi) AS nxt
+  FROM (SELECT *, unnest(range(CAST(ceil((hi - lo) / {step}) AS BIGINT))) AS i FROM bounds)),
+labels AS MATERIALIZED (
+  SELECT p.file, p.t AS time,
+         CAST(max(CASE WHEN l.label = 'Match' THEN 1 ELSE 0 END) AS INTEGER) AS is_match,
+         CAST(max(CASE WHEN l.label = 'Active' THEN 1 ELSE 0 END) AS INTEGER) AS is_active,
+         CAST(max(CASE WHEN l.label = 'Standing' THEN 1 ELSE 0 END) AS INTEGER) AS is_standing
+  FROM points p LEFT JOIN long l ON l.file = p.file AND l.s <= p.t AND l.e >= p.nxt
+  GROUP BY p.file, p.t)
+"""

@@ -33,3 +33,39 @@ def clock_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("%d:%02d", F.floor(left / 60), left % 60)
     )
     return framed.select("event_id", "video", "frame", text.alias("raw_text"))
+
+
+def annotation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result row per event: ``(file, event_id, label, start, end)``.
+
+    Each user's events of a type are numbered; three in a row share a 30-second clip, in
+    slots of ten seconds, so every event is used and a clip stays small.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    ids = F.floor(F.col("event_id") / 65536)
+    numbered = with_position(events, ["user_id", "event_type"], ["event_id"], ids, "rn")
+    k = F.get_json_object("props", "$.k").cast("int")
+    start = F.col("rn") % 3 * 10 + k % 5
+    return numbered.select(
+        F.format_string(
+            "data/mat_%02d/%04d/%04d.mp4", F.col("user_id") % 10, "user_id", F.floor(F.col("rn") / 3)
+        ).alias("file"),
+        "event_id",
+        F.expr(
+            "CASE event_type WHEN 'click' THEN 'Match' WHEN 'view' THEN 'Active' "
+            "WHEN 'purchase' THEN 'Standing' ELSE 'Unsure' END"
+        ).alias("label"),
+        start.cast("double").alias("start"),
+        (start + 1 + k % 4).cast("double").alias("end"),
+    )
+
+
+def annotation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks nested as the labelling tool exports them (at most 15 results per clip)."""
+    value = F.struct("start", "end", F.array("label").alias("labels"))
+    result = F.struct("event_id", F.struct(F.lit("manual").alias("origin"), value.alias("value")).alias("r"))
+    tasks = annotation_tasks(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_list(result)).alias("rs"))
+    return tasks.select(
+        F.array(F.struct(F.transform("rs", lambda x: x["r"]).alias("result"))).alias("annotations"),
+        F.struct(F.concat(F.lit("http://localhost:8080/files/"), "file").alias("video_url")).alias("data"),
+    )
