@@ -169,3 +169,33 @@ labels AS MATERIALIZED (
   FROM points p LEFT JOIN long l ON l.file = p.file AND l.s <= p.t AND l.e >= p.nxt
   GROUP BY p.file, p.t)
 """
+
+
+ANNOTATIONS = """
+ann AS MATERIALIZED (
+  SELECT user_id % 3 + 1 AS project, user_id % 4 + 1 AS completed_by, value AS lead_time, ts AS updated_at,
+         user_id * 100 + event_id % 20 AS unique_id,
+         CASE WHEN event_type IN ('click', 'view') THEN 'manual'
+              WHEN event_type = 'purchase' THEN 'prediction' ELSE 'prediction-changed' END AS origin,
+         CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'v0'
+              WHEN ts < TIMESTAMP '2024-01-20' THEN 'v1' ELSE 'v2' END AS model_version
+  FROM events)
+"""
+
+PERF = """
+perf AS (
+  SELECT p_partkey, 'is_' || lower(p_type) AS label,
+         CASE WHEN p_partkey % 2 = 0 THEN 'emb_entity_detection_v2' ELSE 'emb_vanilla_yolov8n' END
+         || CASE WHEN p_partkey % 3 = 0 THEN '_dct_d16' ELSE '' END
+         || CASE WHEN p_size % 6 > 0 THEN '_lag' || (p_size % 6) ELSE '' END AS feature,
+         p_retailprice / 3000 AS avg_metric, p_retailprice / 2999 AS test_metric,
+         p_size * 1.5 AS train_time, p_size
+  FROM part),
+clean AS (
+  SELECT p_partkey, label, feature, round(avg_metric, 3) AS avg_train_f1, round(test_metric, 3) AS test_f1,
+         CAST(floor(train_time) AS INTEGER) AS train_time,
+         replace(label, '_', ' ') AS label_title,
+         replace(replace(replace(feature, 'emb_entity_detection', 'fine_tune'), 'emb_vanilla', 'vanilla'), '_', ' ')
+           AS feature_title
+  FROM perf)
+"""

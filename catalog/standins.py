@@ -69,3 +69,42 @@ def annotation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.transform("rs", lambda x: x["r"]).alias("result"))).alias("annotations"),
         F.struct(F.concat(F.lit("http://localhost:8080/files/"), "file").alias("video_url")).alias("data"),
     )
+
+
+VERSION_CUTS = [("2024-01-10", "v0"), ("2024-01-20", "v1")]
+
+
+def annotation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelling effort: one row per result, twenty units per user."""
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 3 + 1).alias("project"),
+        (F.col("user_id") % 4 + 1).alias("completed_by"),
+        F.col("value").alias("lead_time"),
+        F.col("ts").alias("updated_at"),
+        (F.col("user_id") * 100 + F.col("event_id") % 20).alias("unique_id"),
+        F.expr(
+            "CASE WHEN event_type IN ('click', 'view') THEN 'manual' "
+            "WHEN event_type = 'purchase' THEN 'prediction' ELSE 'prediction-changed' END"
+        ).alias("origin"),
+    )
+
+
+def perf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One perf record per part; the key breaks ties."""
+    lag = F.col("p_size") % 6
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.concat(F.lit("is_"), F.lower("p_type")).alias("label"),
+        F.concat(
+            F.when(F.col("p_partkey") % 2 == 0, "emb_entity_detection_v2").otherwise("emb_vanilla_yolov8n"),
+            F.when(F.col("p_partkey") % 3 == 0, "_dct_d16").otherwise(""),
+            F.when(lag > 0, F.concat(F.lit("_lag"), lag.cast("string"))).otherwise(""),
+        ).alias("feature"),
+        F.array(F.col("p_retailprice") / 3000, F.lit(0.5)).alias("avg_metrics"),
+        (F.col("p_retailprice") / 2999).alias("test_metric"),
+        (F.col("p_size") * 1.5).alias("train_time"),
+        (F.col("p_size") * 10).cast("long").alias("train_size"),
+        (F.col("p_size") * 3).cast("long").alias("train_positive"),
+        F.col("p_size").cast("long").alias("test_size"),
+        F.floor(F.col("p_size") / 2).alias("test_positive"),
+    )
