@@ -199,3 +199,65 @@ clean AS (
            AS feature_title
   FROM perf)
 """
+
+BOXES = """
+frames AS (SELECT o_orderkey % 10 AS video, o_orderkey // 10 AS frame FROM orders),
+boxes AS (
+  SELECT l_orderkey % 10 AS video, l_orderkey // 10 AS frame, l_partkey AS place, l_linenumber % 3 AS cls,
+         l_quantity AS x1, CAST(l_linenumber * 10 AS DOUBLE) AS y1,
+         l_quantity + l_extendedprice / 1000 AS x2,
+         CAST(l_linenumber * 10 AS DOUBLE) + l_extendedprice / 500 AS y2, l_discount * 10 AS confidence
+  FROM lineitem),
+ranked AS (
+  SELECT *, (x2 - x1) * (y2 - y1) AS area,
+         row_number() OVER (PARTITION BY video, frame ORDER BY (x2 - x1) * (y2 - y1) DESC, place) AS rank
+  FROM boxes),
+per_frame AS (
+  SELECT video, frame, count(*) AS n, avg(y2 - y1) AS h,
+         max(CASE WHEN rank = 1 THEN (x1 + x2) / 2 END) AS cx,
+         max(CASE WHEN rank = 1 THEN (y1 + y2) / 2 END) AS cy
+  FROM ranked GROUP BY ALL),
+phases AS (
+  SELECT video, frame, coalesce(n, 0) AS n_detections,
+         CASE WHEN n IS NULL OR n < 2 THEN 'No-Match/Intermission'
+              WHEN h > 150 THEN 'Tachi-waza' ELSE 'Ne-waza' END AS phase, cx, cy
+  FROM frames LEFT JOIN per_frame USING (video, frame))
+"""
+
+MOTION = BOXES + """,
+filled AS (
+  SELECT video, frame, phase,
+    coalesce(last_value(cx IGNORE NULLS) OVER up, first_value(cx IGNORE NULLS) OVER down, 0.0) AS cx,
+    coalesce(last_value(cy IGNORE NULLS) OVER up, first_value(cy IGNORE NULLS) OVER down, 0.0) AS cy
+  FROM phases
+  WINDOW up AS (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         down AS (PARTITION BY video ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+steps AS (
+  SELECT *, coalesce(cx - lag(cx) OVER w, 0.0) AS dx, coalesce(cy - lag(cy) OVER w, 0.0) AS dy
+  FROM filled WINDOW w AS (PARTITION BY video ORDER BY frame)),
+raw AS (SELECT *, sqrt(dx * dx + dy * dy) AS score FROM steps),
+boosted AS (
+  SELECT *, score * CASE WHEN max(score) OVER (PARTITION BY video) > 0
+                          AND max(score) OVER (PARTITION BY video) < 1 THEN 1000.0 ELSE 1.0 END AS intensity_score
+  FROM raw),
+motion AS MATERIALIZED (
+  SELECT *, avg(intensity_score) OVER (PARTITION BY video ORDER BY frame
+                                       ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS smoothed_intensity
+  FROM boosted)
+"""
+
+PROBS = """
+paths AS (
+  SELECT printf('/frames/mat_%02d/%04d/%04d.jpg', label, vec_id // 100, vec_id % 100) AS path,
+         label AS mat, CAST(vec_id // 100 AS INTEGER) AS batch_id, CAST(vec_id % 100 AS INTEGER) AS frame_id,
+         CAST((vec_id // 100) * 600 + vec_id % 100 AS INTEGER) AS "timestamp",
+         CAST(embedding[1] AS DOUBLE) AS p1, CAST(embedding[2] AS DOUBLE) AS p2,
+         CAST(embedding[3] AS DOUBLE) AS p3, CAST(embedding[4] AS DOUBLE) AS p4
+  FROM embeddings),
+predicted AS (
+  SELECT *, CASE WHEN p1 >= p2 AND p1 >= p3 AND p1 >= p4 THEN 0 WHEN p2 >= p3 AND p2 >= p4 THEN 1
+                 WHEN p3 >= p4 THEN 2 ELSE 3 END AS predicted_index FROM paths),
+scenes AS (
+  SELECT *, CASE predicted_index WHEN 0 THEN 'match' WHEN 1 THEN 'match_intro' WHEN 2 THEN 'match_outro'
+                                 ELSE 'no_match' END AS predicted_label FROM predicted)
+"""

@@ -108,3 +108,100 @@ def perf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").cast("long").alias("test_size"),
         F.floor(F.col("p_size") / 2).alias("test_positive"),
     )
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense frames of ten videos."""
+    return table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 10).alias("video"), F.expr("o_orderkey div 10").alias("frame")
+    )
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections on these frames; ``place`` is the box's place in the detector output."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 10).alias("video"),
+        F.expr("l_orderkey div 10").alias("frame"),
+        F.col("l_partkey").alias("place"),
+        (F.col("l_linenumber") % 3).alias("cls"),
+        F.col("l_quantity").alias("x1"),
+        (F.col("l_linenumber") * 10.0).alias("y1"),
+        (F.col("l_quantity") + F.col("l_extendedprice") / 1000).alias("x2"),
+        (F.col("l_linenumber") * 10.0 + F.col("l_extendedprice") / 500).alias("y2"),
+        (F.col("l_discount") * 10).alias("confidence"),
+    )
+
+
+def nested_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as a detector writes them: one row with its few boxes."""
+    box = F.struct("place", F.struct("x1", "y1", "x2", "y2").alias("b"))
+    listed = boxes(spark, sf_dir).groupBy("video", "frame").agg(F.array_sort(F.collect_list(box)).alias("bs"))
+    return listed.select("video", "frame", F.transform("bs", lambda x: x["b"]).alias("boxes"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("box_id"),
+        (F.col("l_quantity").cast("long") * 5 % 256).alias("r"),
+        (F.col("l_partkey") % 256).alias("g"),
+        (F.floor("l_extendedprice") % 256).alias("b"),
+    )
+
+
+def video_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest entries that name their video under different keys, or not at all."""
+    part = F.col("page_id") % 4
+    return table(spark, sf_dir, "pages").select(
+        F.when(part == 0, F.col("url")).otherwise("").alias("video"),
+        F.when(part == 1, F.col("url")).alias("video_path"),
+        F.when(part == 2, F.col("url")).alias("path"),
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("page "), F.col("page_id").cast("string"))).alias("name"),
+    )
+
+
+SCENES = ["match", "match_intro", "match_outro", "no_match"]
+
+
+def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One frame per vector: its path and the scores of four scene classes."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.format_string(
+            "/frames/mat_%02d/%04d/%04d.jpg", "label", F.floor(F.col("vec_id") / 100), F.col("vec_id") % 100
+        ).alias("path"),
+        F.array(*[F.lit(s) for s in SCENES]).alias("labels"),
+        F.slice("embedding", 1, 4).cast("array<double>").alias("prob"),
+    )
+
+
+def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("path"), (F.col("s_suppkey") * 37 + 100).alias("total_seconds")
+    )
+
+
+def image_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks by image URL; names repeat."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.format_string("http://localhost:8080/data/%s/%s/%04d.png", "source", "lang", F.col("n_chars") % 50).alias("image"),
+    )
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files on disk; names repeat."""
+    return table(spark, sf_dir, "conversations").select(
+        F.format_string(
+            "/mnt/frames/src%d/en/%04d.png", F.col("conv_id") % 5, (F.col("turn") * 7 + F.col("conv_id")) % 50
+        ).alias("path")
+    )
+
+
+def choice_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classification tasks, some without a result."""
+    choices = F.array(F.when(F.col("event_type") == "view", "point").otherwise(F.col("event_type")))
+    result = F.array(F.struct(F.struct(choices.alias("choices")).alias("value")))
+    none = F.slice(result, 1, 0)
+    return table(spark, sf_dir, "events").select(
+        F.array(F.struct(F.when(F.col("event_type") == "error", none).otherwise(result).alias("result"))).alias("annotations"),
+        F.struct(F.concat(F.lit("img/"), F.col("event_id").cast("string")).alias("image")).alias("data"),
+    )

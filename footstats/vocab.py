@@ -9,7 +9,7 @@ CLIP_SECONDS = 30
 SCENE_LABELS = ["Not Match", "Match", "Match Intro", "Match Outro", "Unsure"]
 
 # Referee gestures and their class index.
-GESTURES = ["point", "half_point", "match_stop", "other"]
+GESTURE_CLASSES = {"match_stop": 0, "point": 1, "half_point": 2, "other": 3}
 
 # Detector classes, by index.
 ENTITIES = ["player_blue", "player_white", "referee"]
