@@ -205,3 +205,30 @@ def choice_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.when(F.col("event_type") == "error", none).otherwise(result).alias("result"))).alias("annotations"),
         F.struct(F.concat(F.lit("img/"), F.col("event_id").cast("string")).alias("image")).alias("data"),
     )
+
+
+def frame_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings by frame path: ten clips of vectors, and a second, shorter feature."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors.select(
+        F.format_string("clips/mat_%02d/0001/%06d.jpg", "label", "vec_id").alias("path"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.slice("embedding", 1, 8).cast("array<double>").alias("embedding_d8"),
+    )
+
+
+def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-second labels of the same clips."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.format_string("clips/mat_%02d/0001.mp4", "label").alias("file"),
+        F.col("vec_id").alias("time"),
+        (F.col("vec_id") % 2).cast("int").alias("is_match"),
+        (F.get("embedding", F.lit(0)) > 0).cast("int").alias("is_active"),
+    )
+
+
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from footstats.operators.features import join_features
+
+    tables = [frame_embeddings(spark, sf_dir)]
+    return join_features(frame_labels(spark, sf_dir), tables, ["emb"])
