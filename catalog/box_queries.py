@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from catalog import sql
 from catalog.standins import boxes, frames, nested_frames, pixels, video_manifest
-from footstats.functions import boxes as bx
 from footstats.operators import detections as dt
 from footstats.operators import motion as mo
 from footstats.operators import statistics as st
@@ -28,8 +27,7 @@ def phase_nested(spark, d):
 def primary_center_text(spark, d):
     as_lists = F.transform("boxes", lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"]))
     cells = nested_frames(spark, d).select("video", "frame", F.to_json(as_lists).alias("cell"))
-    center = bx.primary_center(bx.parse_boxes(F.col("cell")))
-    return _round(cells.select("video", "frame", center["cx"].alias("cx"), center["cy"].alias("cy")), "cx", "cy")
+    return _round(dt.primary_centers(cells, "cell").drop("cell"), "cx", "cy")
 
 
 def box_features(spark, d):

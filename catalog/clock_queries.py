@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from catalog import sql
-from catalog.standins import FPS, PAUSE_LIMIT_SECONDS, clock_readings
+from catalog.standins import FPS, PAUSE_LIMIT_SECONDS, clock_readings, clock_table
 from footstats.operators.clock import fill_clock, parse_clock
 from footstats.operators.matches import mean_rest_ratio, rest_ratios
 from footstats.plans.clock_flow import clock_matches, clock_timeline, smoothed_clock
-from footstats.sources.staging import stage
 
 
 def clock_parse(spark, d):
@@ -15,21 +14,20 @@ def clock_parse(spark, d):
 
 
 def clock_fill(spark, d):
-    parsed = stage(parse_clock(clock_readings(spark, d)), "clock-parsed")
-    return fill_clock(parsed, FPS).select(
+    return fill_clock(parse_clock(clock_table(spark, d)), FPS).select(
         "video", "frame", "time_seconds", F.round("time_seconds_filled", 6).alias("time_seconds_filled")
     )
 
 
 def clock_smooth(spark, d):
-    return smoothed_clock(clock_readings(spark, d), FPS).select(
+    return smoothed_clock(clock_table(spark, d), FPS).select(
         "video", "frame", F.round("time_seconds_smooth", 6).alias("time_seconds_smooth"), "direction"
     )
 
 
 def _runs(seconds):
     def query(spark, d):
-        timeline = clock_timeline(clock_readings(spark, d), FPS)
+        timeline = clock_timeline(clock_table(spark, d), FPS)
         return timeline.select("video", "frame", "direction", F.col(f"direction_over{seconds * FPS}frames").alias("held"))
 
     return query
@@ -38,14 +36,14 @@ def _runs(seconds):
 def _matches(cumulative):
     def query(spark, d):
         return clock_matches(
-            clock_readings(spark, d), FPS, PAUSE_LIMIT_SECONDS, cumulative_pause=cumulative
+            clock_table(spark, d), FPS, PAUSE_LIMIT_SECONDS, cumulative_pause=cumulative
         )[1]
 
     return query
 
 
 def _ratios(spark, d):
-    flags, segments = clock_matches(clock_readings(spark, d), FPS, PAUSE_LIMIT_SECONDS)
+    flags, segments = clock_matches(clock_table(spark, d), FPS, PAUSE_LIMIT_SECONDS)
     return rest_ratios(flags, segments)
 
 

@@ -74,12 +74,24 @@ def context_window(spark, d):
     return fr.context_window(scored, 30, aggs).withColumn("seconds", F.array_join(F.array_sort("seconds"), ","))
 
 
+def timeline_order(spark, d):
+    return fr.order_timeline(_scenes(spark, d).select("mat", "timestamp", "predicted_label"))
+
+
+def union_all(spark, d):
+    texts = [
+        table(spark, d, name).select(F.lit(name).alias("source"), F.length("text").cast("long").alias("chars"))
+        for name in ("documents", "benchmark", "conversations")
+    ]
+    return st.union_all(*texts)
+
+
 def pad_edges(spark, d):
     return fr.pad_edges(_scenes(spark, d).select("mat", "timestamp", "path", "predicted_label"), 30)
 
 
 def batch_plan(spark, d):
-    return shots.batch_plan(videos(spark, d), offset=30, duration=3600, rate=1, batch=600, bucket=F.substring("path", 1, 14))
+    return shots.batch_plan(videos(spark, d), offset=30, duration=3600, rate=1, batch=600)
 
 
 def clip_plan(spark, d):
@@ -110,7 +122,7 @@ def encode_class(spark, d):
 
 def _labelled(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs, dd.value_semi(docs, table(spark, d, "labels"), "doc_id")
+    return docs, dd.value_semi(docs, table(spark, d, "labels"), "doc_id", ["doc_id"])
 
 
 def hash_semi(spark, d):
@@ -133,13 +145,13 @@ def value_semi(spark, d):
 
 
 def path3_join(spark, d):
-    return dd.join_path_tail(image_tasks(spark, d), image_files(spark, d)).select("id", "matches")
+    return dd.join_path_tail(image_tasks(spark, d), image_files(spark, d), ["id"]).select("id", "matches")
 
 
 def stem_join(spark, d):
     images = table(spark, d, "documents").select(F.format_string("img_%06d.png", "doc_id").alias("image"))
     labels = table(spark, d, "labels").select(F.format_string("img_%06d.txt", "doc_id").alias("label_file"), "quality")
-    return dd.join_stem(images, labels)
+    return dd.join_stem(images, labels, ["image"])
 
 
 def split_crc32(spark, d):
@@ -170,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_paths, frame_keys, url_tail, strip_prefix, crop_to_frame, mat_key, prob_argmax, prob_expand,
-        prob_by_mat, label_freq, context_window, pad_edges, batch_plan, clip_plan, clip_plan_offset, first_choice,
+        prob_by_mat, label_freq, context_window, timeline_order, union_all, pad_edges, batch_plan, clip_plan, clip_plan_offset, first_choice,
         bad_class_files, encode_class, hash_semi, hash_shared, hash_missing, value_semi, path3_join, stem_join,
         split_crc32, split_sizes, split_70_15_15, split_60_40, split_exact,
     )
@@ -209,6 +221,10 @@ ORACLES = {
         round(avg(p1) OVER w, 6) AS mean_match, max(p1) OVER w AS max_match,
         array_to_string(list_sort(list("timestamp") OVER w), ',') AS seconds
         FROM paths WINDOW w AS (PARTITION BY mat ORDER BY "timestamp" RANGE BETWEEN 30 PRECEDING AND 30 FOLLOWING)""",
+    "timeline_order": f'{_S} SELECT mat, "timestamp", predicted_label FROM scenes',
+    "union_all": " UNION ALL ".join(
+        f"SELECT '{t}' AS source, length(text) AS chars FROM {t}" for t in ("documents", "benchmark", "conversations")
+    ),
     "pad_edges": f"""{_S}, edge AS (
           SELECT mat, min("timestamp") AS lo, max("timestamp") AS hi FROM scenes GROUP BY mat),
         pads AS (

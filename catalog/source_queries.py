@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import sql
 from catalog.clock_queries import FPS
-from catalog.standins import annotation_export, boxes, clock_readings, frames, perf_records, table, videos
+from catalog.standins import annotation_export, boxes, clock_readings, clock_table, frames, perf_records, table, videos
 from footstats.operators import detections as dt
 from footstats.operators import statistics as st
 from footstats.operators import subtitles as su
@@ -108,7 +108,7 @@ def chunk_files(spark, d):
 
 
 def subtitle_rows(spark, d):
-    timeline = clock_timeline(clock_readings(spark, d), FPS)
+    timeline = clock_timeline(clock_table(spark, d), FPS)
     named = timeline.withColumn("filename", F.concat(F.lit("mat "), F.col("video").cast("string")))
     named = named.withColumn("time_seconds_smooth", F.round("time_seconds_smooth", 1))
     return su.subtitle_rows(named, FPS, held="direction_over50frames")

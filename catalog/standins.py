@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footstats.operators.sequences import with_position
+from footstats.sources.staging import stage
 
 FPS = 10
 PAUSE_LIMIT_SECONDS = 5
@@ -35,6 +36,11 @@ def clock_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed.select("event_id", "video", "frame", text.alias("raw_text"))
 
 
+def clock_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings as a table with frame numbers, as the text recognition leaves it."""
+    return stage(clock_readings(spark, sf_dir), "clock-readings")
+
+
 def annotation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One result row per event: ``(file, event_id, label, start, end)``.
 

@@ -33,7 +33,7 @@ def mean_height(boxes: Column) -> Column:
 
 
 def primary_center(boxes: Column) -> Column:
-    """Centre ``struct<cx, cy>`` of the largest box, the first one on ties; null without boxes."""
+    """Largest box as ``struct<area, place, cx, cy>``, the first one on ties; null without boxes."""
     ranked = F.transform(
         boxes,
         lambda b, i: F.struct(
@@ -43,8 +43,7 @@ def primary_center(boxes: Column) -> Column:
             ((b["y1"] + b["y2"]) / 2).alias("cy"),
         ),
     )
-    best = F.array_max(ranked)
-    return F.when(best.isNotNull(), F.struct(best["cx"].alias("cx"), best["cy"].alias("cy")))
+    return F.array_max(ranked)
 
 
 def parse_boxes(text: Column) -> Column:

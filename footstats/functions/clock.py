@@ -7,16 +7,9 @@ from pyspark.sql import functions as F
 CLOCK_PATTERN = r"^\s*(\d{1,2})[^\S\n]*:[^\S\n]*([0-5]\d)[^\S\n]*(\n|$)"
 
 
-def clock_available(text: Column) -> Column:
-    return F.coalesce(text.rlike(CLOCK_PATTERN), F.lit(False))
-
-
-def clock_minutes(text: Column) -> Column:
-    return F.when(clock_available(text), F.regexp_extract(text, CLOCK_PATTERN, 1).cast("int"))
-
-
-def clock_seconds(text: Column) -> Column:
-    return F.when(clock_available(text), F.regexp_extract(text, CLOCK_PATTERN, 2).cast("int"))
+def clock_part(text: Column, group: int) -> Column:
+    """Minutes (1) or seconds (2) as text; empty when the text is no clock reading."""
+    return F.regexp_extract(text, CLOCK_PATTERN, group)
 
 
 def srt_time(seconds: Column) -> Column:

@@ -22,11 +22,15 @@ def parse_clock(df: DataFrame, text: str = "raw_text") -> DataFrame:
     ``M:SS`` on the first line with blanks allowed around the parts; anything else,
     and seconds above 59, is not a reading.
     """
+    # The text is matched once; an empty group means no match.
+    found = df.withColumn("_m", c.clock_part(F.col(text), 1)).withColumn("_s", c.clock_part(F.col(text), 2))
+    read = F.col("_m") != ""
     return (
-        df.withColumn("available", c.clock_available(F.col(text)))
-        .withColumn("minutes", c.clock_minutes(F.col(text)))
-        .withColumn("seconds", c.clock_seconds(F.col(text)))
+        found.withColumn("available", F.coalesce(read, F.lit(False)))
+        .withColumn("minutes", F.when(read, F.col("_m").cast("int")))
+        .withColumn("seconds", F.when(read, F.col("_s").cast("int")))
         .withColumn("time_seconds", F.col("minutes") * 60 + F.col("seconds"))
+        .drop("_m", "_s")
     )
 
 

@@ -21,24 +21,35 @@ def content_hash(content: Column, algo: str = "sha1") -> Column:
     return {"sha1": F.sha1, "md5": F.md5}[algo](content)
 
 
-def salted_match(
-    rows: DataFrame, known: DataFrame, key: str, spread: Sequence[str], how: str = "left_semi", salts: int = SALTS
+def salted_join(
+    rows: DataFrame, known: DataFrame, key: str, spread: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """``rows`` whose ``key`` is (``left_semi``) or is not (``left_anti``) among ``known``.
+    """Join ``rows`` to a ``known`` side with about one row per key, on ``(key, salt)``.
 
-    ``spread`` names columns that differ between rows of equal key.
+    ``known`` is copied to every salt; a row picks its salt from ``spread``, columns that
+    differ between rows of equal key, so a hot key is shared by ``salts`` tasks.
     """
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = known.select(key).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def key_match(
+    rows: DataFrame, known: DataFrame, key: str, spread: Sequence[str], how: str = "left_semi"
+) -> DataFrame:
+    """``rows`` whose ``key`` is (``left_semi``) or is not (``left_anti``) among ``known``."""
+    return salted_join(rows, known.select(key).distinct(), key, spread, how)
+
+
 def hash_semi(
     rows: DataFrame, known: DataFrame, content: str, spread: Sequence[str], algo: str = "sha1", how: str = "left_semi"
 ) -> DataFrame:
-    """Rows whose content occurs in ``known``; only hashes of ``known`` are shuffled."""
+    """Rows whose content occurs in ``known``, with their ``digest``.
+
+    Content itself is exchanged only if a later step selects it.
+    """
     digest = content_hash(F.col(content), algo)
-    return salted_match(
+    return key_match(
         rows.withColumn("digest", digest), known.select(digest.alias("digest")), "digest", spread, how
     )
 
@@ -48,25 +59,27 @@ def dup_files(a: DataFrame, b: DataFrame, content: str, spread: Sequence[str], h
     return hash_semi(b, a, content, spread, "md5", {"shared": "left_semi", "missing": "left_anti"}[how])
 
 
-def value_semi(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is in the list ``values`` (Spark broadcasts a small list by itself)."""
-    return rows.join(values.select(key).distinct(), key, "left_semi")
+def value_semi(rows: DataFrame, values: DataFrame, key: str, spread: Sequence[str]) -> DataFrame:
+    """Rows whose ``key`` is in the list ``values``."""
+    return key_match(rows, values, key, spread)
 
 
 def join_path_tail(
-    tasks: DataFrame, files: DataFrame, n: int = 3, image: str = "image", path: str = "path"
+    tasks: DataFrame, files: DataFrame, spread: Sequence[str], n: int = 3, image: str = "image", path: str = "path"
 ) -> DataFrame:
     """Tasks whose last ``n`` path parts equal those of a file, with how many files match.
 
-    An id counts once per matching file; that number is the column
-    ``matches``, so that equal names on both sides are not multiplied.
+    An id counts once per matching file; that number is the column ``matches``, so that
+    equal names on both sides are not multiplied.
     """
     counts = files.groupBy(path_tail(F.col(path), n).alias("_tail")).agg(F.count(F.lit(1)).alias("matches"))
-    return tasks.withColumn("_tail", path_tail(F.col(image), n)).join(counts, "_tail").drop("_tail")
+    return salted_join(tasks.withColumn("_tail", path_tail(F.col(image), n)), counts, "_tail", spread).drop("_tail")
 
 
-def join_stem(images: DataFrame, labels: DataFrame, image: str = "image", label: str = "label_file") -> DataFrame:
-    """Images with the label file of the same stem."""
+def join_stem(
+    images: DataFrame, labels: DataFrame, spread: Sequence[str], image: str = "image", label: str = "label_file"
+) -> DataFrame:
+    """Images with the label file of the same stem (label files have different names)."""
     left = images.withColumn("_stem", file_stem(F.col(image)))
     right = labels.withColumn("_stem", file_stem(F.col(label)))
-    return left.join(right, "_stem").drop("_stem")
+    return salted_join(left, right, "_stem", spread).drop("_stem")

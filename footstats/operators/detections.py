@@ -110,13 +110,24 @@ def frame_phases(
 def classify_phase(df: DataFrame, boxes: str = "boxes", threshold: float = STANDING_HEIGHT) -> DataFrame:
     """The same for frames that carry their boxes as an array: ``n_detections, phase, cx, cy``."""
     n = F.coalesce(F.size(boxes), F.lit(0))
-    center = bx.primary_center(F.col(boxes))
-    return (
-        df.withColumn("n_detections", n.cast("long"))
-        .withColumn("phase", bx.phase(n, bx.mean_height(F.col(boxes)), threshold))
-        .withColumn("cx", center["cx"])
-        .withColumn("cy", center["cy"])
+    # Separate steps, so that the folds over the boxes run once per row.
+    folded = df.withColumn("_height", bx.mean_height(F.col(boxes))).withColumn(
+        "_center", bx.primary_center(F.col(boxes))
     )
+    return folded.select(
+        *df.columns,
+        n.cast("long").alias("n_detections"),
+        bx.phase(n, F.col("_height"), threshold).alias("phase"),
+        F.col("_center.cx").alias("cx"),
+        F.col("_center.cy").alias("cy"),
+    )
+
+
+def primary_centers(df: DataFrame, cell: str) -> DataFrame:
+    """Box lists as text (a CSV cell) -> ``cx, cy`` of the largest box."""
+    parsed = df.withColumn("_boxes", bx.parse_boxes(F.col(cell)))
+    found = parsed.withColumn("_center", bx.primary_center(F.col("_boxes")))
+    return found.select(*df.columns, F.col("_center.cx").alias("cx"), F.col("_center.cy").alias("cy"))
 
 
 def coalesce_keys(df: DataFrame) -> DataFrame:

@@ -27,6 +27,10 @@ def frame_key(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("file", p.clip_file(F.col(path))).withColumn("time", p.clip_second(F.col(path)))
 
 
+def order_timeline(df: DataFrame, key: Sequence[str] = ("mat",), time: str = "timestamp") -> DataFrame:
+    return df.orderBy(*key, time)
+
+
 def argmax(values: Column) -> Column:
     """0-based place of the first maximum."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

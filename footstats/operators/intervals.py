@@ -79,9 +79,15 @@ def tag_intervals(name: str, label: str) -> Column:
 
 
 def intervals_long(nested: DataFrame) -> DataFrame:
-    """``(file, annotations)`` -> one row ``(file, label, start, end)`` per interval."""
-    return nested.select("file", F.explode("annotations").alias("a")).select(
-        "file", F.col("a.labels").alias("label"), "a.start", "a.end"
+    """``(file, annotations)`` -> one row ``(file, label, start, end)`` per interval.
+
+    The outer form keeps Spark from repeating the whole list expression in a "not empty"
+    filter below the explode; the filter on the exploded row drops empty lists instead.
+    """
+    return (
+        nested.select("file", F.explode_outer("annotations").alias("a"))
+        .where(F.col("a").isNotNull())
+        .select("file", F.col("a.labels").alias("label"), "a.start", "a.end")
     )
 
 

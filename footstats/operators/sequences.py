@@ -20,6 +20,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from footstats.sources.staging import stage
+
 CHUNK_ROWS = 1 << 18
 
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -68,6 +70,17 @@ def with_position(
     )
 
 
+def with_global_position(df: DataFrame, order: Sequence[str | Column], out: str = "pos") -> DataFrame:
+    """Dense 0-based rank over the whole table, for an order that has no natural bucket.
+
+    Rows are range partitioned by ``order`` and staged with their partition number, which
+    from then on is plain data and serves as the bucket.
+    """
+    ranges = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    rows = stage(ranges, "ranges").withColumn("_all", F.lit(0))
+    return with_position(rows, ["_all"], order, F.col("_part"), out).drop("_all", "_part")
+
+
 def with_halo(
     df: DataFrame,
     key: Sequence[str],

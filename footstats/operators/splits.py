@@ -48,7 +48,7 @@ def split_exact(
     """
     names = SPLITS if len(ratios) == 3 else ("train", "test")
     digest = df.withColumn("_digest", _digest(key, seed)).withColumn("_all", F.lit(0))
-    ranked = with_position(digest, ["_all"], ["_digest", key], F.substring("_digest", 1, 3), "_rank")
+    ranked = with_position(digest, ["_all"], ["_digest", key], F.substring("_digest", 1, 4), "_rank")
     n = df.agg(F.count(F.lit(1))).scalar()
     side, upto = F, F.lit(0)
     for name, ratio in zip(names[:-1], ratios):

@@ -20,9 +20,11 @@ from footstats.vocab import CLOCK_FPS, MATCH_PAUSE_SECONDS
 
 
 def smoothed_clock(readings: DataFrame, fps: int = CLOCK_FPS, key: Sequence[str] = ("video",)) -> DataFrame:
-    """``(key, frame, raw_text, ...)`` with dense frames -> parsed, filled and smoothed clock."""
-    parsed = stage(parse_clock(readings), "clock-parsed")
-    return smooth_clock(fill_clock(parsed, fps, key), fps, key)
+    """``(key, frame, raw_text, ...)`` with dense frames -> parsed, filled and smoothed clock.
+
+    The readings are scanned twice (fill carries, then fill); parsing is row-local.
+    """
+    return smooth_clock(fill_clock(parse_clock(readings), fps, key), fps, key)
 
 
 def clock_timeline(readings: DataFrame, fps: int = CLOCK_FPS, key: Sequence[str] = ("video",)) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footstats.operators.sequences import with_position
+from footstats.operators.sequences import with_global_position
 
 
 def batch_plan(
@@ -15,19 +15,15 @@ def batch_plan(
     rate: int = 1,
     batch: int = 600,
     prefix: str = "mat",
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Frame batches of every video: ``path, seq_id, offset, duration, prefix``.
 
     Videos are numbered from 1 in path order; a tail shorter than ``batch`` is left out.
-    ``bucket`` bounds the numbering tasks and must follow path order (default: the
-    first 16 characters).
     """
     frames = duration * rate
     if batch > frames:
         raise ValueError(f"batch of {batch} exceeds the {frames} frames of a recording")
-    first = F.substring("path", 1, 16) if bucket is None else bucket
-    numbered = with_position(videos.select("path", F.lit(0).alias("_all")), ["_all"], ["path"], first, "_i")
+    numbered = with_global_position(videos.select("path"), ["path"], "_i")
     steps = F.sequence(F.lit(0), F.lit(frames // batch - 1))
     return numbered.select("path", "_i", F.explode(steps).alias("seq_id")).select(
         "path",

@@ -30,10 +30,17 @@ def write_lines(df: DataFrame, col: str, path: str) -> None:
     df.select(F.col(col).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_chunks(
     df: DataFrame, path: str, size: int = 480, frame: str = "frame_index", by: Sequence[str] = ()
 ) -> None:
-    """Parquet in chunks of ``size`` frames, one folder per chunk (below ``by``, e.g. the video)."""
+    """Parquet in chunks of ``size`` frames, one folder per chunk (below ``by``, e.g. the video).
+
+    Small folders suit the readers of one recording; for archives choose a larger ``size``.
+    """
     chunked = df.withColumn("chunk", F.floor(F.col(frame) / size).cast("int"))
     chunked.repartition(*by, "chunk").write.mode("overwrite").partitionBy(*by, "chunk").parquet(path)
 

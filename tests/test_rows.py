@@ -5,7 +5,6 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from footstats.functions import boxes as bx
 from footstats.functions import features as fe
 from footstats.functions import paths as p
 from footstats.operators import annotations as an
@@ -89,8 +88,9 @@ def test_phases(spark):
 def test_primary_center_ties_and_text(spark):
     cells = ["[[0,0,2,2],[10,10,12,12],[0,0,1,1]]", "[]", "3", "broken", None, "[[0, 0, 1.5, 2], [0, 0, 4, 4]]"]
     df = spark.createDataFrame([(c,) for c in cells], "cell string")
-    got = [r.c and tuple(r.c) for r in df.select(bx.primary_center(bx.parse_boxes(F.col("cell"))).alias("c")).collect()]
-    assert got == [(1.0, 1.0), None, None, None, None, (2.0, 2.0)]
+    got = [(r.cx, r.cy) for r in dt.primary_centers(df, "cell").collect()]
+    none = (None, None)
+    assert got == [(1.0, 1.0), none, none, none, none, (2.0, 2.0)]
 
 
 def test_boxes(spark):
@@ -185,7 +185,7 @@ def test_dedup(spark):
     assert {r.id for r in dd.dup_files(b, a, "text", ["id"], "missing").collect()} == {3, 4}
     tasks = spark.createDataFrame([(1, "http://h/a/b/c.png"), (2, "http://h/a/b/d.png")], "id int, image string")
     files = spark.createDataFrame([("/x/a/b/c.png",), ("/y/a/b/c.png",), ("/z/q/b/d.png",)], "path string")
-    assert [tuple(r) for r in dd.join_path_tail(tasks, files).select("id", "matches").collect()] == [(1, 2)]
+    assert [tuple(r) for r in dd.join_path_tail(tasks, files, ["id"]).select("id", "matches").collect()] == [(1, 2)]
 
 
 def test_splits(spark):

@@ -10,7 +10,7 @@ from footstats.operators import clock as ck
 from footstats.operators import matches as mt
 from footstats.operators import motion as mo
 from footstats.operators.quantiles import exact_quantile
-from footstats.operators.sequences import nearest_marks, spread_over_chunks, with_halo, with_position
+from footstats.operators.sequences import nearest_marks, spread_over_chunks, with_global_position, with_halo, with_position
 
 SIZES = [1, 4, 7, 1000]
 
@@ -40,6 +40,13 @@ def test_with_position(spark, width):
     assert {(r.video, r.t): r.pos for r in got} == want
 
 
+def test_with_global_position(spark):
+    names = [f"/mnt/videos/recording {i * 7919 % 1000:03d}.mp4" for i in range(300)]
+    df = spark.createDataFrame([(n,) for n in names], "path string").repartition(6)
+    got = {r.path: r.pos for r in with_global_position(df, ["path"]).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names))}
+
+
 @pytest.mark.parametrize("size", SIZES)
 def test_with_halo_row_and_range_frames(spark, size):
     rng = random.Random(size)
