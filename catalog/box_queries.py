@@ -7,7 +7,9 @@ from catalog.standins import boxes, frames, nested_frames, pixels, video_manifes
 from footstats.operators import detections as dt
 from footstats.operators import motion as mo
 from footstats.operators import statistics as st
+from footstats.operators.quantiles import exact_quantile
 from footstats.plans.motion_flow import motion_timeline
+from footstats.sources.staging import stage
 
 WIDTH, HEIGHT = 1280, 720
 
@@ -101,12 +103,16 @@ def motion_smoothed(spark, d):
     return _round(_motion(spark, d), "smoothed_intensity").select("video", "frame", "phase", "smoothed_intensity")
 
 
+def _staged_motion(spark, d):
+    return stage(motion_smoothed(spark, d), "motion-smoothed")
+
+
 def major_actions(spark, d):
-    return _round(mo.major_actions(motion_smoothed(spark, d), step=5), "threshold")
+    return _round(mo.major_actions(_staged_motion(spark, d), step=5), "threshold")
 
 
 def motion_quantile(spark, d):
-    return _round(mo.exact_quantile(motion_smoothed(spark, d), "smoothed_intensity", 0.995, ["video"], "q995"), "q995")
+    return _round(exact_quantile(_staged_motion(spark, d), "smoothed_intensity", 0.995, ["video"], "q995"), "q995")
 
 
 QUERIES = {

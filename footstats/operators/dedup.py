@@ -18,7 +18,8 @@ SALTS = 16
 
 
 def content_hash(content: Column, algo: str = "sha1") -> Column:
-    return {"sha1": F.sha1, "md5": F.md5}[algo](content)
+    """Hex digest, empty for null: a join key that cannot be null is not computed twice for a null filter."""
+    return F.coalesce({"sha1": F.sha1, "md5": F.md5}[algo](content), F.lit(""))
 
 
 def salted_join(
@@ -27,9 +28,10 @@ def salted_join(
     """Join ``rows`` to a ``known`` side with about one row per key, on ``(key, salt)``.
 
     ``known`` is copied to every salt; a row picks its salt from ``spread``, columns that
-    differ between rows of equal key, so a hot key is shared by ``salts`` tasks.
+    differ between rows of equal key, so a hot key is shared by ``salts`` (a power of two)
+    tasks.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    salt = F.xxhash64(*spread).bitwiseAND(salts - 1).cast("int")
     copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
 
@@ -49,9 +51,9 @@ def hash_semi(
     Content itself is exchanged only if a later step selects it.
     """
     digest = content_hash(F.col(content), algo)
-    return key_match(
-        rows.withColumn("digest", digest), known.select(digest.alias("digest")), "digest", spread, how
-    )
+    found = known.where(F.col(content).isNotNull()).select(digest.alias("digest"))
+    matched = key_match(rows.withColumn("digest", digest), found, "digest", spread, how)
+    return matched.withColumn("digest", F.nullif("digest", F.lit("")))
 
 
 def dup_files(a: DataFrame, b: DataFrame, content: str, spread: Sequence[str], how: str = "shared") -> DataFrame:

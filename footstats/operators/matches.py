@@ -33,11 +33,13 @@ class _Chunk:
         self.limit = limit
         self.paused = np.flatnonzero(~run)
         self.running = np.flatnonzero(run)
+        # With an end mark behind the last frame.
+        self._starts = np.append(self.running, len(self.frames))
+        self._numbers = np.append(self.frames, _NOT_OPEN)
 
     def start_after(self, at):
         """Local index of the first running frame after local index ``at`` (else size)."""
-        i = np.searchsorted(self.running, at, side="right")
-        return np.append(self.running, len(self.frames))[i]
+        return self._starts[np.searchsorted(self.running, at, side="right")]
 
     def closing(self, start, needed):
         """Index into ``paused`` that closes a match opened at ``start``."""
@@ -50,7 +52,7 @@ class _Chunk:
         """
         n, total, size = len(count), len(self.paused), len(self.frames)
         start = np.where(is_open, -1, self.start_after(-1))
-        start_frame = np.where(is_open, entry_start, self._frame(start))
+        start_frame = np.where(is_open, entry_start, self._numbers[start])
         seen = -np.asarray(count)  # paused frames of this chunk already consumed
         live = np.arange(n)
         exit_start = np.full(n, _NOT_OPEN, dtype=np.int64)
@@ -67,12 +69,9 @@ class _Chunk:
             closed.append((live, start_frame[live], self.frames[at]))
             seen[live] = end + 1
             start[live] = self.start_after(at)
-            start_frame[live] = self._frame(start[live])
+            start_frame[live] = self._numbers[start[live]]
         return exit_start, exit_count, closed
 
-    def _frame(self, i):
-        return np.append(self.frames, _NOT_OPEN)[i]
-
 
 def _entry_states(limit: int):
     count = np.tile(np.arange(limit + 1), 2)
@@ -105,24 +104,29 @@ def segment_matches(
     k = len(key)
 
     def transfer(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = _Chunk(pdf["frame"].to_numpy(), pdf["running"].to_numpy(), limit)
+        """Exit start (offset in the chunk, or a mark) and paused count for every entry state."""
+        chunk = _Chunk(pdf["frame"].to_numpy() - group[k] * size, pdf["running"].to_numpy(), limit)
         is_open, count = _entry_states(limit)
         start, paused, _ = chunk.follow(is_open, count, _AS_ENTERED)
-        return pd.DataFrame([[*group, start, paused]])
+        return pd.DataFrame([[*group, start.astype("int32"), paused.astype("int32")]])
 
     tables = chunked.groupBy(*key, "_chunk").applyInPandas(
-        transfer, f"{key_ddl}, _chunk long, exit_start array<long>, exit_count array<int>"
+        transfer, f"{key_ddl}, _chunk long, exit_start array<int>, exit_count array<int>"
     )
 
     def chain(group: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, count = _NOT_OPEN, 0
+        """Walk the chunks of a video in order; gives the state each of them is entered with."""
+        start, count, last = _NOT_OPEN, 0, None
         for part in parts:
             out = []
             for chunk, starts, counts in zip(part["_chunk"], part["exit_start"], part["exit_count"]):
+                if last is not None and chunk <= last:
+                    raise ValueError(f"chunk {chunk} after {last}")
                 out.append([*group, chunk, start, count])
                 state = (limit + 1 if start != _NOT_OPEN else 0) + count
-                count = int(counts[state])
-                start = start if starts[state] == _AS_ENTERED else int(starts[state])
+                count, last = int(counts[state]), chunk
+                if starts[state] != _AS_ENTERED:
+                    start = _NOT_OPEN if starts[state] == _NOT_OPEN else int(starts[state]) + int(chunk) * size
             yield pd.DataFrame(out)
 
     entries = (
