@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import sql
-from catalog.standins import VERSION_CUTS, annotation_results, perf_records
+from catalog.standins import VERSION_CUTS, annotation_export, annotation_results, perf_records
 from footstats.functions.features import feature_title, label_title
 from footstats.operators import annotations as an
 from footstats.operators import reports as rp
@@ -14,6 +14,11 @@ def _versions(spark, d):
     return an.version_bucket(annotation_results(spark, d), VERSION_CUTS)
 
 
+def ann_explode(spark, d):
+    results = an.explode_results(an.explode_annotations(annotation_export(spark, d)))
+    return st.count_by(an.version_bucket(results), "unique_id", "origin", "model_version", "lead_time")
+
+
 def ann_by_project(spark, d):
     return st.count_by(annotation_results(spark, d), "project")
 
@@ -95,6 +100,7 @@ def report_sizes(spark, d):
 
 
 QUERIES = {
+    "ann_explode": ann_explode,
     "ann_by_project": ann_by_project,
     "ann_by_annotator": ann_by_annotator,
     "ann_by_origin": ann_by_origin,
@@ -145,6 +151,8 @@ def _lead_sql(where, ci):
 _A, _P = f"WITH {sql.ANNOTATIONS}", f"WITH {sql.PERF}"
 
 ORACLES = {
+    "ann_explode": f"""WITH {sql.TASKS} SELECT file AS unique_id, 'manual' AS origin, 'v1' AS model_version,
+        count(*) * 1.5 :: DOUBLE AS lead_time, count(*) AS "count" FROM tasks GROUP BY file""",
     "ann_by_project": f'{_A} SELECT project, count(*) AS "count" FROM ann GROUP BY ALL',
     "ann_by_annotator": f'{_A} SELECT completed_by, project, count(*) AS "count" FROM ann GROUP BY ALL',
     "ann_by_origin": f'{_A} SELECT origin, count(*) AS "count" FROM ann GROUP BY ALL',

@@ -18,8 +18,8 @@ from footstats.sources.staging import scratch_path
 
 def json_roundtrip(spark, d):
     path = scratch_path(spark, "labels-json")
-    wr.write_json(second_labels(annotation_export(spark, d)).withColumn("time", F.col("time").cast("long")), path)
-    return rd.read_json_array(spark, path, sc.SECOND_LABELS, multi_line=False)
+    wr.write_json(second_labels(annotation_export(spark, d)), path)
+    return rd.read_second_labels(spark, path, multi_line=False)
 
 
 def json_combined(spark, d):

@@ -71,8 +71,16 @@ def annotation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.struct("start", "end", F.array("label").alias("labels"))
     result = F.struct("event_id", F.struct(F.lit("manual").alias("origin"), value.alias("value")).alias("r"))
     tasks = annotation_tasks(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_list(result)).alias("rs"))
+    annotation = F.struct(
+        F.lit(1).alias("completed_by"),
+        F.lit(2).alias("project"),
+        (F.size("rs") * 1.5).alias("lead_time"),
+        F.lit("2024-03-10T08:00:00Z").alias("updated_at"),
+        F.col("file").alias("unique_id"),
+        F.transform("rs", lambda x: x["r"]).alias("result"),
+    )
     return tasks.select(
-        F.array(F.struct(F.transform("rs", lambda x: x["r"]).alias("result"))).alias("annotations"),
+        F.array(annotation).alias("annotations"),
         F.struct(F.concat(F.lit("http://localhost:8080/files/"), "file").alias("video_url")).alias("data"),
     )
 

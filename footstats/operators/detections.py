@@ -41,11 +41,14 @@ def box_to_percent(df: DataFrame, width: Column, height: Column) -> DataFrame:
     )
 
 
-def task_results(percent: DataFrame, width: Column, height: Column, from_name: str, to_name: str) -> DataFrame:
+def task_results(
+    percent: DataFrame, width: Column, height: Column, from_name: str, to_name: str, box_id: str = "place"
+) -> DataFrame:
     """Boxes in percent as the nested result rows an annotation tool imports."""
     return percent.select(
         *[c for c in percent.columns if c not in ("x", "y", "width", "height", "name", "confidence")],
         F.struct(
+            F.col(box_id).cast("string").alias("id"),
             F.lit(from_name).alias("from_name"),
             F.lit(to_name).alias("to_name"),
             F.lit("rectanglelabels").alias("type"),

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footstats.functions.paths import file_stem
-from footstats.sources.schemas import PERF
+from footstats.sources.schemas import PERF, SECOND_LABELS
+
+
+_SCHEME = r"^[a-z0-9]+:(//[^/]*)?"
+
+
+def _bare(path: Column) -> Column:
+    """Path without scheme and host (``file:/a``, ``file:///a``, ``s3a://b/a`` -> ``/a``)."""
+    return F.regexp_replace(path, _SCHEME, "")
 
 
 def _file_path() -> Column:
-    """Path of the input file without its scheme (``file:/a`` and ``file:///a`` -> ``/a``)."""
-    return F.regexp_replace(F.url_decode("_metadata.file_path"), r"^[a-z0-9]+:(//[^/]*)?", "")
+    # The metadata path is percent-encoded, a plus sign is not.
+    return _bare(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
 
 
 def relative_to(path: Column, root: str) -> Column:
-    bare = F.regexp_replace(path, r"^[a-z0-9]+:(//[^/]*)?", "")
-    start = root.rstrip("/") + "/"
-    return F.when(bare.startswith(start), F.substring(bare, len(start) + 1, 1 << 20)).otherwise(bare)
+    bare, start = _bare(path), re.sub(_SCHEME, "", root).rstrip("/") + "/"
+    below = F.substring(bare, F.lit(len(start) + 1), F.length(bare))
+    return F.when(bare.startswith(start), below).otherwise(bare)
 
 
 def read_binary(spark: SparkSession, root: str, glob: str = "*.jpg") -> DataFrame:
@@ -43,6 +53,13 @@ def read_json_array(spark: SparkSession, path: str | list[str], schema: str, mul
     return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
+def read_second_labels(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Per-second labels with ``time`` as long, whether it was written as 3 or 3.0."""
+    schema = SECOND_LABELS.replace("time long", "time double")
+    rows = read_json_array(spark, path, schema, multi_line)
+    return rows.withColumn("time", F.col("time").cast("long"))
+
+
 def combine_json(spark: SparkSession, folder: str, schema: str, multi_line: bool = True) -> DataFrame:
     """All JSON files of a folder as one table, with the file each record came from."""
     reader = spark.read.schema(schema).option("multiLine", multi_line).option("pathGlobFilter", "*.json")

@@ -33,6 +33,13 @@ def test_binary_and_manifest(spark, tmp_path):
     assert "http://localhost:8081/data/mat_01/0001/note.txt" in urls and len(urls) == 3
 
 
+def test_relative_paths(spark):
+    df = spark.createDataFrame([("s3a://bucket/data/a/1.jpg",), ("file:/data/a/1.jpg",), ("/data/a/1.jpg",), ("/other/1.jpg",)], "p string")
+    for root in ("s3a://bucket/data", "/data/", "file:///data"):
+        got = [r.r for r in df.select(rd.relative_to(F.col("p"), root).alias("r")).collect()]
+        assert got == ["a/1.jpg"] * 3 + ["/other/1.jpg"]
+
+
 def test_json(spark, tmp_path):
     put(tmp_path / "j/a.json", json.dumps([{"filename": "f1", "frame_number": 1, "raw_text": "3:20"}], indent=2))
     put(tmp_path / "j/b.json", json.dumps([{"filename": "f2", "frame_number": 2}, {"filename": "f3"}], indent=2))
@@ -43,6 +50,13 @@ def test_json(spark, tmp_path):
     assert len(files(tmp_path / "out", ".json")) == 1
 
 
+def test_second_labels_with_either_time(spark, tmp_path):
+    rows = [{"file": "a", "time": 0.0, "is_match": 1}, {"file": "a", "time": 1, "is_match": 0}]
+    put(tmp_path / "labels.json", json.dumps(rows))
+    got = rd.read_second_labels(spark, str(tmp_path / "labels.json"))
+    assert dict(got.dtypes)["time"] == "bigint" and sorted(r.time for r in got.collect()) == [0, 1]
+
+
 def test_perf(spark, tmp_path):
     line = json.dumps({"train_time": 1.5, "avg_metrics": [0.9], "test_metric": 0.8, "label": "is_match", "train_size": 3})
     put(tmp_path / "models/v4/emb_lag1/is_match/perf/part-0.json", line)
@@ -53,10 +67,10 @@ def test_perf(spark, tmp_path):
 
 def test_csv_with_bom(spark, tmp_path):
     put(tmp_path / "c/final_1_phases.csv", "﻿timestamp,phase,detections\n0.0,Ne-waza,\"[[0, 0, 2, 2]]\"\n1.0,Tachi-waza,2\n")
-    put(tmp_path / "c/final_2_phases.csv", "timestamp,phase,detections\n0.0,Ne-waza,0\n")
+    put(tmp_path / "c/[Mat+2] a b_phases.csv", "timestamp,phase,detections\n0.0,Ne-waza,0\n")
     got = rd.consolidate_csv(spark, str(tmp_path / "c"), sc.PHASE_LOG).orderBy("video", "timestamp").collect()
     assert [(r.video, r.timestamp, r.phase) for r in got] == [
-        ("final_1", 0.0, "Ne-waza"), ("final_1", 1.0, "Tachi-waza"), ("final_2", 0.0, "Ne-waza")
+        ("[Mat+2] a b", 0.0, "Ne-waza"), ("final_1", 0.0, "Ne-waza"), ("final_1", 1.0, "Tachi-waza")
     ]
     wr.write_phases(spark.createDataFrame(got), str(tmp_path / "w"))
     back = rd.consolidate_csv(spark, str(tmp_path / "w"), sc.PHASE_LOG + ", video string")

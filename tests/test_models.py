@@ -61,6 +61,15 @@ def test_batch_infer_loads_model_per_worker(spark):
     assert [list(r.y) for r in got.collect()] == [[21.0], [43.0]]
 
 
+def test_batch_infer_on_bytes(spark):
+    def make():
+        return lambda batch: np.array([[len(b), b[0]] for b in batch], dtype="float32")
+
+    df = spark.createDataFrame([(bytearray(b"abc"),), (bytearray(b"z"),)], "content binary")
+    got = ft.batch_infer(df, "content", make, 4, "y").collect()
+    assert {tuple(r.y) for r in got} == {(3.0, 97.0), (1.0, 122.0)}
+
+
 @pytest.mark.parametrize("k,cascade_rows", [(1, 29), (2, 27), (3, 24), (5, 15)])
 def test_lag_row_counts(spark, k, cascade_rows):
     df = spark.createDataFrame([("f", t * 3, [float(t)]) for t in range(30)], "file string, time long, x array<double>")
