@@ -15,21 +15,25 @@ def batch_plan(
     rate: int = 1,
     batch: int = 600,
     prefix: str = "mat",
+    unit: str = "batch",
 ) -> DataFrame:
     """Frame batches of every video: ``path, seq_id, offset, duration, prefix``.
 
     Videos are numbered from 1 in path order; a tail shorter than ``batch`` is left out.
+    ``offset`` and ``duration`` step by ``batch`` itself; with ``unit="seconds"`` they step
+    by the seconds a batch lasts, which differs when ``rate`` is not 1.
     """
     frames = duration * rate
     if batch > frames:
         raise ValueError(f"batch of {batch} exceeds the {frames} frames of a recording")
+    step = F.lit(batch) if unit == "batch" else F.lit(batch) / F.lit(rate)
     numbered = with_global_position(videos.select("path"), ["path"], "_i")
     steps = F.sequence(F.lit(0), F.lit(frames // batch - 1))
     return numbered.select("path", "_i", F.explode(steps).alias("seq_id")).select(
         "path",
         "seq_id",
-        (F.lit(offset) + F.col("seq_id") * batch).alias("offset"),
-        F.lit(batch).alias("duration"),
+        (F.lit(offset) + F.col("seq_id") * step).alias("offset"),
+        step.alias("duration"),
         F.format_string("%s_%02d/%04d", F.lit(prefix), F.col("_i") + 1, "seq_id").alias("prefix"),
     )
 

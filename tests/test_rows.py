@@ -131,6 +131,8 @@ def test_plans(spark):
     assert (plan[0].prefix, plan[-1].prefix) == ("mat_01/0000", "mat_02/0003")
     with pytest.raises(ValueError):
         shots.batch_plan(videos, 0, 20, 1, 30)
+    twice = shots.batch_plan(videos, 0, 20, 2, 10, unit="seconds").where("path = 'a.mp4'").orderBy("seq_id").collect()
+    assert [(r.offset, r.duration) for r in twice] == [(0.0, 5.0), (5.0, 5.0), (10.0, 5.0), (15.0, 5.0)]
     clips = shots.clip_plan(videos, 600).orderBy("path", "clip").collect()
     assert [(r.path, r.start, r.name) for r in clips] == [
         ("a.mp4", 0, "0000.mp4"), ("b.mp4", 0, "0000.mp4"), ("b.mp4", 600, "0001.mp4"), ("b.mp4", 1200, "0002.mp4")
