@@ -9,8 +9,8 @@ video is cut into chunks of ``size`` consecutive positions and the windows run p
 * an unbounded frame (fill, run length, running total) is finished by a carry from
   one summary row per chunk (``nearest_marks``, ``running_total``).
 
-``pos`` must be dense (0, 1, 2, ... inside a key); ``with_position`` makes it.
-Key columns must not be null.
+``pos`` must be dense (0, 1, 2, ... inside a key); ``with_position`` makes it. Rows with a
+null key or position are kept, but stand outside every sequence.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def with_position(
     )
     local = F.row_number().over(Window.partitionBy(*key, "_bucket").orderBy(*order))
     return (
-        rows.join(starts, [*key, "_bucket"])
+        rows.join(starts, [*key, "_bucket"], "left")
         .withColumn(out, F.col("_start") + local - 1)
         .drop("_bucket", "_start")
     )
@@ -100,10 +100,10 @@ def with_halo(
         chunk_of(F.col(pos) - after, size), chunk_of(F.col(pos) + before, size)
     )
     w = Window.partitionBy(*key, "_chunk").orderBy(pos)
-    spread = df.withColumn("_chunk", F.explode(wanted_by))
+    spread = df.withColumn("_chunk", F.explode_outer(wanted_by))
     for name, col in cols(w).items():
         spread = spread.withColumn(name, col)
-    return spread.where(F.col("_chunk") == chunk_of(pos, size)).drop("_chunk")
+    return spread.where(F.col("_chunk").eqNullSafe(chunk_of(pos, size))).drop("_chunk")
 
 
 def nearest_marks(
@@ -154,7 +154,7 @@ def nearest_marks(
     up = in_chunk.orderBy(pos).rowsBetween(*_UP_TO_HERE)
     down = in_chunk.orderBy(F.desc(pos)).rowsBetween(*_UP_TO_HERE)
     return (
-        rows.join(carry, [*key, "_chunk"])
+        rows.join(carry, [*key, "_chunk"], "left")
         .withColumn(before, F.coalesce(F.last("_mark", ignorenulls=True).over(up), "_left"))
         .withColumn(after, F.coalesce(F.last("_mark", ignorenulls=True).over(down), "_right"))
         .drop("_chunk", "_mark", "_left", "_right")
@@ -179,4 +179,4 @@ def spread_over_chunks(
     by_key = Window.partitionBy(*key)
     parts = rows.groupBy(*key, "_chunk").agg(*[f(c).alias(n) for n, (f, c) in aggs.items()])
     merged = parts.select(*key, "_chunk", *[f(n).over(by_key).alias(n) for n, (f, _) in aggs.items()])
-    return rows.join(merged, [*key, "_chunk"]).drop("_chunk")
+    return rows.join(merged, [*key, "_chunk"], "left").drop("_chunk")
