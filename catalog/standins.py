@@ -70,7 +70,7 @@ def annotation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tasks nested as the labelling tool exports them (at most 15 results per clip)."""
     value = F.struct("start", "end", F.array("label").alias("labels"))
     result = F.struct("event_id", F.struct(F.lit("manual").alias("origin"), value.alias("value")).alias("r"))
-    tasks = annotation_tasks(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_list(result)).alias("rs"))
+    tasks = annotation_tasks(spark, sf_dir).groupBy("file").agg(F.sort_array(F.collect_list(result)).alias("rs"))
     annotation = F.struct(
         F.lit(1).alias("completed_by"),
         F.lit(2).alias("project"),
@@ -149,7 +149,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames as a detector writes them: one row with its few boxes."""
     box = F.struct("place", F.struct("x1", "y1", "x2", "y2").alias("b"))
-    listed = boxes(spark, sf_dir).groupBy("video", "frame").agg(F.array_sort(F.collect_list(box)).alias("bs"))
+    listed = boxes(spark, sf_dir).groupBy("video", "frame").agg(F.sort_array(F.collect_list(box)).alias("bs"))
     return listed.select("video", "frame", F.transform("bs", lambda x: x["b"]).alias("boxes"))
 
 

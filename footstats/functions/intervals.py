@@ -41,18 +41,22 @@ def contained(children: Column, start: Column, end: Column) -> Column:
     )
 
 
-def complement(start: Column, end: Column, children: Column) -> Column:
-    """Gaps that the children leave in ``(start, end)``; zero-length inner gaps are kept."""
-    ordered = F.array_sort(children)
-    n = F.size(children)
-    inner = F.greatest(n - 1, F.lit(0))
-    none = F.array().cast("array<struct<start:double,end:double>>")
-    first, last = F.get(ordered, F.lit(0)), F.element_at(ordered, -1)
-    head = F.when(start < first["start"], F.array(interval(start, first["start"]))).otherwise(none)
-    gaps = F.zip_with(
-        F.slice(ordered, 1, inner),
-        F.slice(ordered, 2, inner),
-        lambda left, right: interval(left["end"], right["start"]),
+def gaps_between(start: Column, end: Column, ordered: Column) -> Column:
+    """Gaps that sorted children leave in ``(start, end)``.
+
+    Outer gaps must be longer than zero, inner ones are kept as they come; without
+    children the whole interval is the gap.
+    """
+    lefts = F.concat(F.array(start), F.transform(ordered, lambda c: c["end"]))
+    rights = F.concat(F.transform(ordered, lambda c: c["start"]), F.array(end))
+    last = F.size(ordered)
+    return F.filter(
+        F.zip_with(lefts, rights, interval),
+        lambda g, i: ((i > 0) & (i < last)) | (last == 0) | (g["start"] < g["end"]),
     )
-    tail = F.when(end > last["end"], F.array(interval(last["end"], end))).otherwise(none)
-    return F.when(n == 0, F.array(interval(start, end))).otherwise(F.concat(head, gaps, tail))
+
+
+def complement(start: Column, end: Column, children: Column) -> Column:
+    """``gaps_between`` for children in any order; they are sorted once per row."""
+    once = F.transform(F.array(F.sort_array(children)), lambda o: gaps_between(start, end, o))
+    return F.get(once, F.lit(0))

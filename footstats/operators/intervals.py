@@ -44,14 +44,16 @@ def complement_intervals(lists: DataFrame, clip_seconds: float = CLIP_SECONDS) -
     """Add the gaps: of Active in each Match, of Standing in each Active, of Match in the clip."""
 
     def gaps(parents: str, children: str) -> Column:
-        return F.flatten(
-            F.transform(
-                parents,
-                lambda p: iv.complement(
-                    p["start"], p["end"], iv.contained(F.col(children), p["start"], p["end"])
-                ),
-            )
+        # First the children of each parent, then the gaps: each list is built once.
+        inside = F.transform(
+            parents,
+            lambda p: F.struct(
+                p["start"].alias("start"),
+                p["end"].alias("end"),
+                F.sort_array(iv.contained(F.col(children), p["start"], p["end"])).alias("inside"),
+            ),
         )
+        return F.flatten(F.transform(inside, lambda x: iv.gaps_between(x["start"], x["end"], x["inside"])))
 
     return (
         lists.withColumn("not_actives", gaps("matches", "actives"))
