@@ -10,10 +10,14 @@ which need no padding.
 
 from __future__ import annotations
 
+import os
+import re
+import string
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,39 +25,72 @@ from pyspark.sql import DataFrame
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
-#: Distinct words whose ids a task remembers.
+#: Distinct words and word cores whose ids a task remembers.
 MEMO_WORDS = 400_000
+#: Marks that the tokenizer keeps apart from the letters before them.
+_MARKS = "".join(c for c in string.punctuation if c != "'")
+
+#: The byte-level alphabet: bytes that print stand for themselves, the others for letters from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 
 
 def token_encoder(tokenizer_file: str, end_id: int):
     """text -> its ids and the end id, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins words across it, so ids are looked up word by word.
+    The tokenizer drops white space and never joins words across it, nor letters with the marks after them.
+    So ids are looked up word by word, and by letters and marks; letters in lower case go straight to the
+    tokenizer's model, as its other steps leave them as they are. All else it encodes whole.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task its core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    memo: dict[str, bytes] = {}
-    end = np.array([end_id], "<u4").tobytes()
+    model = tokenizer.model
+    words: dict[str, bytes] = {}
+    cores: dict[str, bytes] = {"": b""}
+    end = struct.pack("<I", end_id)
     # White space for str.split() alone: such texts are encoded whole.
-    only_python = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-    def as_bytes(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+    only_python = re.compile("[\x1c-\x1f]")
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def core(part: str) -> bytes:
+        found = cores.get(part)
+        if found is None:
+            if part.isascii() and part.isalpha():
+                found = packed([t.id for t in model.tokenize(part)])
+            elif part.isalpha() and part == part.lower() and unicodedata.is_normalized("NFC", part):
+                found = packed([t.id for t in model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+            else:
+                found = packed(tokenizer.encode(part, add_special_tokens=False).ids)
+            cores[part] = found
+        return found
+
+    def word_ids(word: str) -> bytes:
+        letters = word.rstrip(_MARKS)
+        if len(letters) < len(word) and letters.isalpha():
+            return core(letters.lower() if letters.isascii() else letters) + core(word[len(letters) :])
+        return core(word.lower() if word.isascii() and word.isalpha() else word)
 
     def encode(text: str | None) -> bytes:
         if not text:
             return end
-        if any(c in text for c in only_python):
-            return as_bytes(tokenizer.encode(text, add_special_tokens=False)) + end
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(dict.fromkeys(words))
-            memo.update(zip(new, map(as_bytes, tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        return b"".join(map(memo.__getitem__, words)) + end
+        if only_python.search(text):
+            return packed(tokenizer.encode(text, add_special_tokens=False).ids) + end
+        if len(words) > MEMO_WORDS or len(cores) > MEMO_WORDS:
+            words.clear()
+            cores.clear()
+            cores[""] = b""
+        parts = text.split()
+        try:
+            return b"".join(map(words.__getitem__, parts)) + end
+        except KeyError:
+            for word in parts:
+                if word not in words:
+                    words[word] = word_ids(word)
+        return b"".join(map(words.__getitem__, parts)) + end
 
     return encode
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from footstats.llm.common import remainder, table
 from footstats.llm.language import identify_languages, learn_languages
+from footstats.llm.lattice import score_documents
 from footstats.llm.licenses import scan_licenses
 from footstats.llm.packing import pack_documents
+from footstats.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,10 +35,29 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 3) == 1
+    model = learn_toxicity(docs, labels, ~held_out)
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 5) == 1
+    scored = score_documents(table(spark, sf_dir, "documents"), ~held_out, tokenizer_path("piece_bpe_32k.model"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
+    "op8_lattice_score": op8_lattice_score,
 }
 
 ORACLES: dict[str, str] = {}
