@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footstats.llm.common import remainder, table
+from footstats.llm import contamination
+from footstats.llm.contamination import find_contamination
 from footstats.llm.language import identify_languages, learn_languages
 from footstats.llm.lattice import score_documents
 from footstats.llm.licenses import scan_licenses
@@ -52,12 +54,19 @@ def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op8_lattice_score": op8_lattice_score,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_decontamination": contamination.ORACLE_SQL,
+}

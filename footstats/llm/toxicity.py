@@ -9,6 +9,7 @@ that trained neither dictionary.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample: rows of each label, taken by the hash of their id, and bytes of each text.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 8192
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 8192
 #: Sizes of the dictionaries, of windows and of their overlap, in bytes; length of a peculiar sequence.
-TOXIC_BYTES, ORDINARY_BYTES, WINDOW, OVERLAP, SEQUENCE = 4096, 8192, 96, 12, 5
-#: Share of toxic texts that hold a peculiar sequence at least; how often ordinary texts may, against toxic ones.
-COMMON, FOREIGN = 0.01, 0.05
-#: Bytes saved from which a window counts as hit.
-HIT = 3
+TOXIC_BYTES, ORDINARY_BYTES, WINDOW, OVERLAP, SEQUENCE = 1536, 8192, 64, 12, 6
+#: A sequence is peculiar if this many standard deviations more toxic texts hold it than expected, and if
+#: ordinary texts hold it at most this often against toxic ones.
+EXCESS, FOREIGN = 7.0, 0.2
+#: Limits of bytes saved from which windows count as hit.
+HITS = (2, 4, 6)
 
 
 def normal_form(text: str | None) -> bytes:
@@ -47,6 +49,21 @@ def sequences(line: bytes) -> np.ndarray:
     return out
 
 
+def unlike(lines: list[bytes], probes: int = 6) -> list[bytes]:
+    """``lines`` without near copies of earlier ones: those that share half of their smallest word-triple hashes."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for line in lines:
+        words = line.split()
+        triples = [zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))]
+        mixed = np.array(triples, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = [(k, int((mixed ^ (mixed >> np.uint64(29 + k)) * np.uint64(2 * k + 0xC2B2AE3D27D4EB4F)).min())) for k in range(probes)]
+        if 2 * sum(key in seen for key in keys) < probes:
+            out.append(line)
+        seen.update(keys)
+    return out
+
+
 def counted(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(distinct sequences, lines that hold each)."""
     each = [np.unique(sequences(x)) for x in lines]
@@ -54,13 +71,14 @@ def counted(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def peculiar_sequences(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Sequences that toxic texts share and ordinary ones lack: sorted."""
+    """Sequences that are in far more toxic texts than chance explains: sorted."""
     found, n = counted(toxic)
-    found, n = found[keep := n >= max(3, COMMON * len(toxic))], n[keep]
+    found, n = found[keep := n >= 3], n[keep]
     known, times = counted(ordinary)
     at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
     other = np.where(known[at] == found, times[at], 0) if len(known) else np.zeros(len(found))
-    return found[other * len(toxic) <= FOREIGN * n * len(ordinary)]
+    expected = len(toxic) * (n + other) / (len(toxic) + len(ordinary))
+    return found[(n - expected >= EXCESS * np.sqrt(expected)) & (other * len(toxic) <= FOREIGN * n * len(ordinary))]
 
 
 def stretches(line: bytes, peculiar: np.ndarray) -> bytes:
@@ -105,10 +123,9 @@ class ToxicityModel:
         return of(b"\0" * len(self.toxic) + self.ordinary), of(self.toxic + self.ordinary)
 
     def features(self, text: str | None, plain, toxic) -> list[float]:
-        """Mean distance, share of hits, hits (as logarithm) and the largest distance of a text's windows."""
+        """Mean distance, shares of windows from each limit of distance on, and the largest distance."""
         saved = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(normal_form(text))], float)
-        hits = float((saved >= HIT).sum())
-        return [float(saved.mean()), hits / len(saved), float(np.log1p(hits)), float(saved.max())]
+        return [float(saved.mean()), *(float((saved >= h).mean()) for h in HITS), float(min(saved.max(), 12.0) / 4)]
 
     def score(self, features: list[float]) -> float:
         z = float(np.dot(self.weights, [*features, 1.0]))
@@ -152,7 +169,7 @@ def learn_toxicity(
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        lines = {y: [normal_form(t)[:sample_bytes] for t in group.loc[group["y"] == y, "text"]] for y in (0, 1)}
+        lines = {y: unlike([normal_form(t)[:sample_bytes] for t in group.loc[group["y"] == y, "text"]]) for y in (0, 1)}
         if not lines[0] or not lines[1]:
             return pd.DataFrame({"ordinary": [], "toxic": []})
         peculiar = peculiar_sequences(lines[1], lines[0])
@@ -175,7 +192,7 @@ def learn_toxicity(
     got = sample.where("part").select("y", "text").mapInPandas(measure, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in got], float)
     if not len(got) or y.min() == y.max():
-        model.weights = [1.0, 0.0, 0.0, 0.0, -1.0]
+        model.weights = [1.0] + [0.0] * (len(HITS) + 1) + [-1.0]
     else:
         model.weights = logistic(np.array([r["x"] for r in got]), y).tolist()
     return model
