@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footstats.llm.common import remainder, table
-from footstats.llm import contamination
+from footstats.llm import contamination, nearest
 from footstats.llm.contamination import find_contamination
 from footstats.llm.language import identify_languages, learn_languages
 from footstats.llm.lattice import score_documents
 from footstats.llm.licenses import scan_licenses
+from footstats.llm.nearest import nearest_neighbours
 from footstats.llm.packing import pack_documents
 from footstats.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -46,6 +47,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 5) == 1
     scored = score_documents(table(spark, sf_dir, "documents"), ~held_out, tokenizer_path("piece_bpe_32k.model"))
@@ -63,10 +68,12 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op7_vantage_search": op7_vantage_search,
     "op8_lattice_score": op8_lattice_score,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_vantage_search": nearest.ORACLE_SQL,
     "op10_decontamination": contamination.ORACLE_SQL,
 }
