@@ -13,6 +13,7 @@ from footstats.llm.lattice import score_documents
 from footstats.llm.licenses import scan_licenses
 from footstats.llm.nearest import nearest_neighbours
 from footstats.llm.packing import pack_documents
+from footstats.llm.personal import BASE_KINDS, digest, find_personal
 from footstats.llm.toxicity import learn_toxicity, score_toxicity
 
 
@@ -47,6 +48,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(k) for k in BASE_KINDS], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans")
+    )
+
+
 def op7_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -68,6 +81,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_personal_data": op6_personal_data,
     "op7_vantage_search": op7_vantage_search,
     "op8_lattice_score": op8_lattice_score,
     "op10_decontamination": op10_decontamination,
