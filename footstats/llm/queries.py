@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footstats.llm.common import remainder, table
-from footstats.llm import contamination, nearest
+from footstats.llm import contamination, jaccard, nearest
 from footstats.llm.contamination import find_contamination
+from footstats.llm.jaccard import similarity_classes
 from footstats.llm.language import identify_languages, learn_languages
 from footstats.llm.lattice import score_documents
 from footstats.llm.licenses import scan_licenses
@@ -72,6 +73,10 @@ def op8_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -84,10 +89,12 @@ QUERIES = {
     "op6_personal_data": op6_personal_data,
     "op7_vantage_search": op7_vantage_search,
     "op8_lattice_score": op8_lattice_score,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op7_vantage_search": nearest.ORACLE_SQL,
+    "op9_jaccard_join": jaccard.ORACLE_SQL,
     "op10_decontamination": contamination.ORACLE_SQL,
 }
