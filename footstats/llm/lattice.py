@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log1p
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from footstats.llm.common import cut
 
 #: Words that are broadcast with their counts, and words that a task counts before it hands them on.
-HOT_WORDS, PARTIAL_WORDS = 200_000, 200_000
+HOT_WORDS, PARTIAL_WORDS = 100_000, 200_000
 #: Expected count that every piece has before the training texts add theirs.
 PRIOR = 0.1
 WORD_START = "▁"
@@ -40,66 +41,86 @@ class Lattice:
 
     def __init__(self, pieces: list[str], weights: np.ndarray):
         """``weights``: the pieces, then the 256 bytes, then the end of a document."""
-        self.pieces = pieces
-        self.number = {p: i for i, p in enumerate(pieces)}
+        self.size = len(pieces)
         self.weights = weights.tolist()
-        self.begins = {p[:k] for p in pieces for k in range(1, len(p))}
+        # Beginnings of pieces that are no piece themselves have number -1: a search goes on there.
+        self.numbers = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
 
     @property
     def end(self) -> float:
         return self.weights[-1]
 
-    def edges(self, word: str, i: int) -> list[tuple[int, tuple[int, ...]]]:
-        """(end position, numbers of the pieces or bytes) of what can start at ``i``."""
-        out, number, begins = [], self.number, self.begins
-        for j in range(i + 1, len(word) + 1):
-            part = word[i:j]
-            found = number.get(part)
-            if found is not None:
-                out.append((j, (found,)))
-            if part not in begins:
-                break
-        if not out or out[0][0] != i + 1:
-            raw = word[i].encode("utf-8", "surrogatepass")
-            out.insert(0, (i + 1, tuple(len(self.pieces) + b for b in raw)))
+    def edges(self, word: str) -> list[list[tuple[int, float, int]]]:
+        """From each position of a word: (end position, weight, number of the piece or -1 for a character's bytes)."""
+        out, numbers, weights, size = [], self.numbers, self.weights, len(word)
+        for i in range(size):
+            here = []
+            j = i + 1
+            found = numbers.get(word[i])
+            if found is None or found < 0:
+                here.append((j, sum(weights[n] for n in self.byte_numbers(word[i])), -1))
+            else:
+                here.append((j, weights[found], found))
+            while found is not None and j < size:
+                j += 1
+                found = numbers.get(word[i:j])
+                if found is not None and found >= 0:
+                    here.append((j, weights[found], found))
+            out.append(here)
         return out
 
-    def forward(self, word: str) -> tuple[list[float], list[list[tuple[int, tuple[int, ...], float]]]]:
-        """(log probability of reaching each position, edges with weights from each position)."""
-        reach, all_edges, weights = [0.0] + [-math.inf] * len(word), [], self.weights
-        for i in range(len(word)):
-            at, edges = reach[i], []
-            for j, numbers in self.edges(word, i):
-                w = weights[numbers[0]] if len(numbers) == 1 else sum(weights[n] for n in numbers)
-                edges.append((j, numbers, w))
+    def byte_numbers(self, character: str) -> list[int]:
+        return [self.size + b for b in character.encode("utf-8", "surrogatepass")]
+
+    def forward(self, all_edges: list[list[tuple[int, float, int]]]) -> list[float]:
+        """Log probability of reaching each position over all ways."""
+        reach: list[float | None] = [0.0] + [None] * len(all_edges)
+        for i, edges in enumerate(all_edges):
+            at = reach[i]
+            for j, w, _ in edges:
                 a, b = reach[j], at + w
-                if a < b:
-                    a, b = b, a
-                reach[j] = a + math.log1p(math.exp(b - a)) if b > -math.inf else a
-            all_edges.append(edges)
-        return reach, all_edges
+                if a is None:
+                    reach[j] = b
+                elif a >= b:
+                    reach[j] = a + log1p(exp(b - a))
+                else:
+                    reach[j] = b + log1p(exp(a - b))
+        return reach
 
     def log_probability(self, word: str) -> float:
         """Natural log of the probability of a word, over all its segmentations."""
-        return self.forward(WORD_START + word)[0][-1]
+        return self.forward(self.edges(WORD_START + word))[-1]
 
-    def expect(self, word: str, times: float, counts: np.ndarray) -> None:
+    def expect(self, word: str, times: float, counts: list[float]) -> None:
         """Adds the expected uses of each piece in ``times`` occurrences of a word."""
         word = WORD_START + word
-        reach, all_edges = self.forward(word)
-        total, back = reach[-1], [-math.inf] * len(word) + [0.0]
+        all_edges = self.edges(word)
+        reach = self.forward(all_edges)
+        total, back = reach[-1], [0.0] * (len(word) + 1)
         for i in range(len(word) - 1, -1, -1):
-            rest = back[i]
-            for j, numbers, w in all_edges[i]:
-                b = back[j] + w
-                share = times * math.exp(reach[i] + b - total)
-                for n in numbers:
-                    counts[n] += share
-                a = rest
-                if a < b:
-                    a, b = b, a
-                rest = a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+            edges = all_edges[i]
+            if len(edges) == 1:
+                j, w, _ = edges[0]
+                rest = back[j] + w
+            else:
+                rest = None
+                for j, w, _ in edges:
+                    b = back[j] + w
+                    if rest is None:
+                        rest = b
+                    elif rest >= b:
+                        rest += log1p(exp(b - rest))
+                    else:
+                        rest = b + log1p(exp(rest - b))
             back[i] = rest
+            lead = reach[i] - total
+            for j, w, n in edges:
+                share = times * exp(lead + w + back[j])
+                if n >= 0:
+                    counts[n] += share
+                else:
+                    for n in self.byte_numbers(word[i]):
+                        counts[n] += share
 
 
 def vocabulary(model_file: str) -> tuple[list[str], np.ndarray]:
@@ -152,10 +173,11 @@ def fit_weights(counts: DataFrame, documents: int, pieces: list[str], weights: n
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lattice = Lattice(*shared.value)
-            expected = np.zeros(len(weights))
+            counted = [0.0] * len(weights)
             for batch in batches:
                 for word, c in zip(batch["word"], batch["c"]):
-                    lattice.expect(word, c, expected)
+                    lattice.expect(word, c, counted)
+            expected = np.array(counted)
             used = np.flatnonzero(expected)
             yield pd.DataFrame({"piece": used, "n": expected[used]})
 
