@@ -32,3 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
 def remainder(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``: the mark that splits rows into learned and held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

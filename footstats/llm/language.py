@@ -17,7 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = 4
@@ -331,3 +331,19 @@ def identify_languages(docs: DataFrame, models: Models, id_col: str = "doc_id",
     return narrow.mapInPandas(
         predict, f"doc_id {kind}, lang_pred string, score double, bits double, accepted boolean"
     ).withColumnRenamed("doc_id", id_col)
+
+
+def is_accepted(models: Models, spark: SparkSession):
+    """A column function: whether a text is in one of the known languages, for filters that keep all columns."""
+    shared = spark.sparkContext.broadcast(models)
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = shared.value
+        scores = WordScores(known)
+        for batch in texts:
+            yield pd.Series([
+                x is not None and bool(x[0].min() <= known.limits[int(x[0].argmin()), length_class(x[1])]) for x in scores.entropies(batch)
+            ], dtype=bool)
+
+    return accepted

@@ -172,25 +172,27 @@ def train_classifier(posteriors: DataFrame) -> tuple[float, dict[str, float]] |
     return float(fit.intercept), dict(zip(names, map(float, fit.coefficients)))
 
 
-def find_personal(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``spans``, array<struct<kind, start, end, p>> in order, ends exclusive, in code points.
-
-    Base spans have ``p`` 1; added ones the classifier's probability, at least ``limit``, and overlap no base
-    span. Null and empty texts: an empty array. Repeated rows are answered each. ``text`` is passed on under
-    ``text_col``; other columns aren't read.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    text = F.coalesce("text", F.lit(""))
-    based = rows.withColumn("base", base_spans(text))
-    votes = based.select(F.explode(candidate_spans(text, F.col("base"))).alias("c")).select("c.kind", *[f"c.{x}" for x in LABELERS])
+def learn_personal(docs: DataFrame, text_col: str = "text") -> tuple[float, dict[str, float]] | None:
+    """The classifier's (constant, weights) from the votes on all candidates of all texts; None without candidates."""
+    based = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
+    votes = based.select(F.explode(candidate_spans(F.col("text"), F.col("base"))).alias("c")).select("c.kind", *[f"c.{x}" for x in LABELERS])
     patterns = cut(votes.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")))
     posteriors, _ = estimate_reliability(patterns)
-    model = train_classifier(cut(posteriors))
+    return train_classifier(cut(posteriors))
+
 
-    def as_base(b: Column) -> Column:
-        return F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), F.lit(1.0).alias("p"))
+def with_spans(
+    docs: DataFrame, model: tuple[float, dict[str, float]] | None, limit: float = 0.5, text_col: str = "text", spans_col: str = "spans"
+) -> DataFrame:
+    """``docs`` with ``spans_col``: array<struct<kind, start, end, p>> in order, ends exclusive, in code points.
 
-    spans = F.transform("base", as_base)
+    Base spans have ``p`` 1; added ones the classifier's probability, at least ``limit``, and overlap no base
+    span. Null and empty texts: an empty array.
+    """
+    text, base = F.coalesce(text_col, F.lit("")), F.col("base_spans_")
+    spans = F.transform(base, lambda b: F.struct(
+        b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), F.lit(1.0).alias("p")
+    ))
     if model is not None:
         constant, weights = model
 
@@ -202,12 +204,22 @@ def find_personal(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", t
                 z = z + F.when(c["kind"] == k, weights[f"kind_{k}"]).otherwise(0.0)
             return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (1 / (1 + F.exp(-z))).alias("p"))
 
-        added = F.filter(F.transform(candidate_spans(text, F.col("base")), scored), lambda c: c["p"] >= limit)
-        spans = F.concat(spans, added)
+        spans = F.concat(spans, F.filter(F.transform(candidate_spans(text, base), scored), lambda c: c["p"] >= limit))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(BASE_KINDS + ADDED_KINDS) for x in (k, i)])
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p")))
+    keyed = F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), order[s["kind"]].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p")
+    ))
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(*[s[x].alias(x) for x in ("kind", "start", "end", "p")]))
-    return based.select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col), ordered.alias("spans"))
+    return docs.withColumn("base_spans_", base_spans(text)).withColumn(spans_col, ordered).drop("base_spans_")
+
+
+def find_personal(docs: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, text and ``spans`` (see ``with_spans``), learned and found over all of them.
+
+    Null and empty texts: an empty array. Repeated rows are answered each; other columns aren't read.
+    """
+    rows = docs.select(id_col, text_col)
+    return with_spans(rows, learn_personal(rows, text_col), limit, text_col)
 
 
 def digest(spans: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footstats.llm.common import remainder, table
+from footstats.llm.common import remainder, table, tokenizer_path
 from footstats.llm import contamination, jaccard, nearest
 from footstats.llm.contamination import find_contamination
 from footstats.llm.jaccard import similarity_classes
@@ -15,13 +15,13 @@ from footstats.llm.licenses import scan_licenses
 from footstats.llm.nearest import nearest_neighbours
 from footstats.llm.packing import pack_documents
 from footstats.llm.personal import BASE_KINDS, digest, find_personal
+from footstats.llm.tokens import count_edited_tokens, editorial_edits
 from footstats.llm.toxicity import learn_toxicity, score_toxicity
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def op1_edited_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", editorial_edits(F.col("text")))
+    return count_edited_tokens(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_edited_tokens": op1_edited_tokens,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_packing": op4_packing,
