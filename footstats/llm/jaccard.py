@@ -239,7 +239,7 @@ def similarity_classes(
     overlap = F.size(F.array_intersect("x", "y"))
     listed = both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b")
 
-    def multiply(key, group: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(tile_links(group, key[1] == key[2], percent), columns=["a", "b"], dtype="int64")
 
     dealt = members.select("set_id", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(

@@ -116,7 +116,7 @@ def build_trees(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     vectors = vectors.select("id", "v", F.size("v").alias("dim"))
     shards = max(1, -(-vectors.count() // shard_rows))
 
-    def build(key, group: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         ids, matrix = group["id"].to_numpy(), np.array(group["v"].tolist(), float)
         tree = build_tree(matrix, np.arange(len(ids)))
         return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "tree": [pickle.dumps((tree, ids, matrix))]})
