@@ -18,14 +18,17 @@ from footstats.llm.common import cut
 #: Rows up to which a table of test words may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 200_000
 #: Rare words of a window whose lists are intersected.
-RARE_WORDS = 3
+RARE_WORDS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def word_list(text: Column) -> Column:
     """Words of a text: ASCII letters in lower case, digits and all beyond ASCII; none for null."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    # ``lower`` is right, and faster, where all characters are ASCII.
+    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
 def checked(df: DataFrame, rows: int) -> DataFrame:
@@ -34,33 +37,42 @@ def checked(df: DataFrame, rows: int) -> DataFrame:
 
 
 def test_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, phrase, words): each window of ``width`` consecutive words; a shorter item is one window."""
+    """(item_id, s, phrase, words): each window of ``width`` consecutive words; a shorter item is one window."""
     words = items.select(F.col(id_col).alias("item_id"), word_list(F.col(text_col)).alias("all")).where(F.size("all") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("all") - (width - 1), F.lit(1)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - width, F.lit(0)))
     return words.select("item_id", "all", F.explode(starts).alias("s")).select(
-        "item_id", F.slice("all", F.col("s"), F.lit(width)).alias("words")
-    ).select("item_id", F.xxhash64(F.array_join("words", " ")).alias("phrase"), "words").distinct()
+        "item_id", "s", F.slice("all", F.col("s") + 1, F.lit(width)).alias("words")
+    ).select("item_id", "s", F.xxhash64(F.array_join("words", " ")).alias("phrase"), "words").distinct()
 
 
 @dataclass
 class PositionalIndex:
-    """``postings``: (row, place, word) of the rare test words; ``rare``: (phrase, rank, word, offset, n, size)."""
+    """``postings``: (row, place, word) of rare test words; ``rare``: (item_id, s, phrase, size, rank, at, word).
+
+    ``at`` is the place of a window's rare word in its item, so that windows which overlap share their lists.
+    """
 
     postings: DataFrame
     rare: DataFrame
     rare_rows: int
 
     def aligned(self) -> DataFrame:
-        """(row, phrase, rank, start, n, size): postings moved back to where their window would begin."""
-        return self.postings.join(checked(self.rare, self.rare_rows), "word").select(
-            "row", "phrase", "rank", (F.col("place") - F.col("offset")).alias("start"), "n", "size"
+        """(row, item_id, shift, at): postings moved back to where their item would begin."""
+        anchors = self.rare.select("item_id", "at", "word").distinct()
+        return self.postings.join(checked(anchors, self.rare_rows), "word").select(
+            "row", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at"
         )
 
     def phrase_starts(self) -> DataFrame:
         """(row, phrase, start, size): places where all rare words of a window stand as in the window."""
-        return self.aligned().where("start >= 0").groupBy("row", "phrase", "start", "size").agg(
-            F.count_distinct("rank").alias("found"), F.first("n").alias("n")
-        ).where("found = n").drop("found", "n")
+        met = self.aligned().groupBy("row", "item_id", "shift").agg(F.collect_set("at").alias("met"))
+        windows = self.rare.groupBy("item_id", "s", "phrase", "size").agg(F.collect_set("at").alias("needed")).groupBy("item_id").agg(
+            F.collect_list(F.struct("s", "phrase", "size", "needed")).alias("windows"), F.min(F.size("needed")).alias("least")
+        )
+        whole = met.join(checked(windows, self.rare_rows), "item_id").where(F.size("met") >= F.col("least")).select(
+            "row", "shift", F.explode(F.filter("windows", lambda w: F.size(F.array_except(w["needed"], F.col("met"))) == 0)).alias("w")
+        )
+        return whole.select("row", "w.phrase", (F.col("shift") + F.col("w.s")).alias("start"), "w.size").where("start >= 0").distinct()
 
     def near(self, slack: int) -> DataFrame:
         """(row, phrase, start): places of a window's rarest word with all its other rare words within ``slack``.
@@ -69,36 +81,34 @@ class PositionalIndex:
         lie in one: a range join without comparing all pairs of a document.
         """
         step = slack + 1
-        lists = self.aligned().withColumn("cell", F.floor(F.col("start") / step))
+        n = self.rare.groupBy("item_id", "s").agg(F.count("*").alias("n"))
+        owned = self.rare.select("item_id", "at", "s", "phrase", "rank").join(n, ["item_id", "s"])
+        lists = self.aligned().join(checked(owned, self.rare_rows), ["item_id", "at"]).withColumn("cell", F.floor(F.col("shift") / step))
         first = lists.where("rank = 1").select(
-            "row", "phrase", F.col("start").alias("at"), "n", F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell")
+            "row", "item_id", "s", "phrase", "n", F.col("shift").alias("to"),
+            F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"),
         )
-        met = first.join(lists.select("row", "phrase", "cell", "rank", "start"), ["row", "phrase", "cell"])
-        met = met.where(F.abs(F.col("start") - F.col("at")) <= slack)
-        return met.groupBy("row", "phrase", "at", "n").agg(F.count_distinct("rank").alias("found")).where(
+        found = first.join(lists.select("row", "item_id", "s", "cell", "rank", "shift"), ["row", "item_id", "s", "cell"])
+        found = found.where(F.abs(F.col("shift") - F.col("to")) <= slack)
+        return found.groupBy("row", "phrase", "item_id", "s", "to", "n").agg(F.count_distinct("rank").alias("found")).where(
             "found = n"
-        ).select("row", "phrase", F.col("at").alias("start"))
+        ).select("row", "phrase", (F.col("to") + F.col("s")).alias("start")).distinct()
 
 
 def build_index(docs: DataFrame, windows: DataFrame, rare_words: int = RARE_WORDS) -> PositionalIndex:
-    """Index of ``docs`` (row, words) for the rarest words of ``windows`` (phrase, words).
+    """Index of ``docs`` (row, words) for the rarest words of ``windows`` (item_id, s, phrase, words).
 
     All documents are counted for all words of the windows; windows with a word that no document holds
     cannot occur and leave. Then the places of each window's ``rare_words`` rarest words are stored.
     """
-    phrases = windows.select("phrase", "words").distinct()
-    terms = cut(phrases.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word")))
+    terms = cut(windows.select("item_id", "s", "phrase", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word")))
     known = terms.select("word").distinct()
     counts = docs.select(F.explode("words").alias("word")).join(checked(known, known.count()), "word", "left_semi")
     counts = cut(counts.groupBy("word").agg(F.count("*").alias("times")))
-    ranked = terms.join(counts, "word", "left").withColumn(
-        "absent", F.max(F.col("times").isNull()).over(Window.partitionBy("phrase"))
-    ).where("NOT absent").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("phrase").orderBy("times", "offset"))
-    ).where(F.col("rank") <= rare_words)
-    rare = cut(ranked.select(
-        "phrase", "rank", "word", "offset", "size", F.least(F.col("size"), F.lit(rare_words)).alias("n")
-    ))
+    one = Window.partitionBy("item_id", "s")
+    ranked = terms.join(counts, "word", "left").withColumn("absent", F.max(F.col("times").isNull()).over(one)).where("NOT absent")
+    ranked = ranked.withColumn("rank", F.row_number().over(one.orderBy("times", "offset"))).where(F.col("rank") <= rare_words)
+    rare = cut(ranked.select("item_id", "s", "phrase", "size", "rank", (F.col("s") + F.col("offset")).alias("at"), "word"))
     wanted = rare.select("word").distinct()
     places = docs.select("row", F.posexplode("words").alias("place", "word"))
     return PositionalIndex(cut(places.join(checked(wanted, wanted.count()), "word", "left_semi")), rare, rare.count())
@@ -126,11 +136,10 @@ def find_contamination(
     found = index.phrase_starts().groupBy("row").agg(
         F.collect_set(F.struct(F.col("start").cast("int").alias("start"), "size", "phrase")).alias("found")
     )
-    exact = rows.select("row", "text").join(found, "row").select("row", "found", word_list(F.col("text")).alias("words")).select(
-        "row",
-        F.array_sort(F.filter("found", lambda c: F.xxhash64(F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ")) == c["phrase"])).alias("found"),
-    ).where(F.size("found") > 0).dropDuplicates(["row"])
-    exact = cut(exact)
+    held = rows.select("row", "text").join(found, "row")
+    placed = held.select("row", word_list(F.col("text")).alias("words"), "found").select("row", "words", F.explode("found").alias("c"))
+    same = F.xxhash64(F.array_join(F.slice("words", F.col("c.start") + 1, F.col("c.size")), " ")) == F.col("c.phrase")
+    exact = cut(placed.where(same).select("row", "c").groupBy("row").agg(F.array_sort(F.collect_set("c")).alias("found")))
 
     def sweep(acc: Column, c: Column) -> Column:
         end = c["start"] + c["size"]
