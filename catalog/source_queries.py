@@ -41,7 +41,11 @@ def table_roundtrip(spark, d):
 def csv_consolidate(spark, d):
     path = scratch_path(spark, "phases-csv")
     log = dt.frame_phases(frames(spark, d), boxes(spark, d))
-    wr.write_phases(log.select("video", F.col("frame").cast("double").alias("timestamp"), "phase", "n_detections"), path)
+    named = log.select("video", F.col("frame").cast("double").alias("timestamp"), "phase", "n_detections")
+    wr.write_phases(named.where("video < 5"), path)
+    # The other videos' files order their columns differently.
+    turned = named.where("video >= 5").select("phase", "n_detections", "timestamp", "video")
+    turned.repartition("video").write.mode("append").partitionBy("video").option("header", True).csv(path)
     schema = "timestamp double, phase string, n_detections long, video long"
     return rd.consolidate_csv(spark, path, schema)
 
@@ -57,10 +61,11 @@ def binary_manifest(spark, d):
 
 def url_manifest(spark, d):
     path = scratch_path(spark, "videos-text")
-    names = table(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("mat"), "s_name")
-    names.repartition("mat").write.partitionBy("mat").text(path)
+    names = table(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("mat"), "s_name", "s_suppkey")
+    # Folders hold one, two, ... files, so that a listing that misses some is seen.
+    names.withColumn("part", F.col("s_suppkey") % (F.col("mat") + 1)).drop("s_suppkey").repartition("mat", "part").write.partitionBy("mat", "part").text(path)
     urls = rd.manifest(spark, path, "http://localhost:8081/data", "*.txt")
-    return urls.select(F.regexp_replace("value", "/[^/]*$", "").alias("folder")).distinct()
+    return urls.groupBy(F.regexp_replace("value", "/[^/]*$", "").alias("folder")).agg(F.count_distinct("value").alias("files"))
 
 
 def project_manifest(spark, d):
@@ -146,7 +151,8 @@ ORACLES = {
     "csv_consolidate": f"""{_B} SELECT video, CAST(frame AS DOUBLE) AS "timestamp", phase, n_detections FROM phases""",
     "binary_manifest": """SELECT CAST(page_id % 5 AS INTEGER) AS "group",
         CAST(sum(length(base64(encode(html))) + 1) AS BIGINT) AS bytes FROM pages GROUP BY 1""",
-    "url_manifest": "SELECT DISTINCT 'http://localhost:8081/data/mat=' || (s_suppkey % 7) AS folder FROM supplier",
+    "url_manifest": """SELECT DISTINCT 'http://localhost:8081/data/mat=' || (s_suppkey % 7) || '/part=' || (s_suppkey % (s_suppkey % 7 + 1))
+        AS folder, CAST(1 AS BIGINT) AS files FROM supplier""",
     "project_manifest": """SELECT '{"video":"' || s_name || '.mp4","annotations":[]}' AS entry FROM supplier""",
     "yolo_labels": f"{_B} SELECT video, CAST(cls AS VARCHAR) AS cls, x1 AS x, y1 AS y, x2 AS w, y2 AS h FROM boxes",
     "training_metrics": """SELECT CAST(p_partkey AS INTEGER) AS epoch, p_retailprice / 1 AS val_box_loss,

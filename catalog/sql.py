@@ -10,7 +10,7 @@ countdown AS (
   FROM framed),
 readings AS (
   SELECT event_id, video, frame,
-         CASE WHEN event_type = 'error' THEN 'iauzhduh'
+         CASE WHEN event_type = 'error' THEN '(no clock)'
               ELSE printf('%d:%02d', left_s // 60, left_s % 60) END AS raw_text
   FROM countdown),
 parsed AS (
@@ -251,8 +251,10 @@ paths AS (
   SELECT printf('/frames/mat_%02d/%04d/%04d.jpg', label, vec_id // 100, vec_id % 100) AS path,
          label AS mat, CAST(vec_id // 100 AS INTEGER) AS batch_id, CAST(vec_id % 100 AS INTEGER) AS frame_id,
          CAST((vec_id // 100) * 600 + vec_id % 100 AS INTEGER) AS "timestamp",
-         CAST(embedding[1] AS DOUBLE) AS p1, CAST(embedding[2] AS DOUBLE) AS p2,
-         CAST(embedding[3] AS DOUBLE) AS p3, CAST(embedding[4] AS DOUBLE) AS p4
+         list_reduce(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)), lambda a, x: a + x) AS p1,
+         list_reduce(list_transform(embedding[17:32], lambda x: CAST(x AS DOUBLE)), lambda a, x: a + x) AS p2,
+         list_reduce(list_transform(embedding[33:48], lambda x: CAST(x AS DOUBLE)), lambda a, x: a + x) AS p3,
+         list_reduce(list_transform(embedding[49:64], lambda x: CAST(x AS DOUBLE)), lambda a, x: a + x) AS p4
   FROM embeddings),
 predicted AS (
   SELECT *, CASE WHEN p1 >= p2 AND p1 >= p3 AND p1 >= p4 THEN 0 WHEN p2 >= p3 AND p2 >= p4 THEN 1

@@ -30,7 +30,7 @@ def clock_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = F.pmod(
         F.lit(240) - F.floor((block * 200 + F.least(rest, F.lit(200))) / 10), F.lit(240)
     )
-    text = F.when(F.col("event_type") == "error", "iauzhduh").otherwise(
+    text = F.when(F.col("event_type") == "error", "(no clock)").otherwise(
         F.format_string("%d:%02d", F.floor(left / 60), left % 60)
     )
     return framed.select("event_id", "video", "frame", text.alias("raw_text"))
@@ -183,7 +183,10 @@ def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
             "/frames/mat_%02d/%04d/%04d.jpg", "label", F.floor(F.col("vec_id") / 100), F.col("vec_id") % 100
         ).alias("path"),
         F.array(*[F.lit(s) for s in SCENES]).alias("labels"),
-        F.slice("embedding", 1, 4).cast("array<double>").alias("prob"),
+        # A class's score: the sum of its sixteen of the 64 values, so that all count.
+        F.array(*[
+            F.aggregate(F.slice("embedding", 16 * c + 1, 16), F.lit(0.0), lambda a, x: a + x) for c in range(len(SCENES))
+        ]).alias("prob"),
     )
 
 
@@ -222,12 +225,11 @@ def choice_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings by frame path: ten clips of vectors, and a second, shorter feature."""
+    """Embeddings by frame path: ten clips of vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     return vectors.select(
         F.format_string("clips/mat_%02d/0001/%06d.jpg", "label", "vec_id").alias("path"),
         F.col("embedding").cast("array<double>").alias("embedding"),
-        F.slice("embedding", 1, 8).cast("array<double>").alias("embedding_d8"),
     )
 
 
@@ -242,7 +244,10 @@ def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from footstats.operators.features import join_features
+    from pyspark.ml.functions import vector_to_array
 
-    tables = [frame_embeddings(spark, sf_dir)]
-    return join_features(frame_labels(spark, sf_dir), tables, ["emb"])
+    from footstats.operators.features import arrays_to_vectors, dct1d, join_features
+
+    vectors = dct1d(arrays_to_vectors(frame_embeddings(spark, sf_dir), ["embedding"]), "embedding", "embedding_dct")
+    arrays = vectors.withColumns({c: vector_to_array(F.col(c)) for c in ("embedding", "embedding_dct")})
+    return join_features(frame_labels(spark, sf_dir), [arrays], ["emb"])

@@ -2,7 +2,7 @@
 
 Copies of one file may make up a large part of a table. Rows are never paired with each
 other: the known side is reduced to distinct keys (or counts), and the searched side is
-spread over ``salts`` sub-keys so that one content does not end in one task.
+spread where a key is hot, so that one content does not end in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from footstats.functions.paths import file_stem, path_tail
 
-SALTS = 16
+#: Rows of one key that a task may hold; more are spread over several.
+HOT_ROWS = 1_000_000
 
 
 def content_hash(content: Column, algo: str = "sha1") -> Column:
@@ -23,17 +24,24 @@ def content_hash(content: Column, algo: str = "sha1") -> Column:
 
 
 def salted_join(
-    rows: DataFrame, known: DataFrame, key: str, spread: Sequence[str], how: str = "inner", salts: int = SALTS
+    rows: DataFrame, known: DataFrame, key: str, spread: Sequence[str], how: str = "inner", hot_rows: int | None = None
 ) -> DataFrame:
-    """Join ``rows`` to a ``known`` side with about one row per key, on ``(key, salt)``.
+    """Join ``rows`` to a ``known`` side with about one row per key; hot keys are spread.
 
-    ``known`` is copied to every salt; a row picks its salt from ``spread``, columns that
-    differ between rows of equal key, so a hot key is shared by ``salts`` (a power of two)
-    tasks.
+    Keys with more than ``hot_rows`` rows are counted first. Only their known rows are copied, once for each
+    started ``hot_rows``, and their rows take one of these copies by the hash of ``spread``, columns that
+    differ between rows of equal key. All other keys are joined as they are.
     """
-    salt = F.xxhash64(*spread).bitwiseAND(salts - 1).cast("int")
-    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+    hot_rows = hot_rows or HOT_ROWS
+    # At most one key for each ``hot_rows`` rows: small enough to broadcast.
+    hot = F.broadcast(
+        rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias("_parts")).where(F.col("_parts") > 1)
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    salt = F.pmod(F.xxhash64(*spread), parts).cast("int")
+    dealt = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
+    copies = known.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def key_match(
@@ -81,7 +89,9 @@ def join_path_tail(
 def join_stem(
     images: DataFrame, labels: DataFrame, spread: Sequence[str], image: str = "image", label: str = "label_file"
 ) -> DataFrame:
-    """Images with the label file of the same stem (label files have different names)."""
+    """Images with the label file of the same stem; of label files with equal stems, the first by name."""
     left = images.withColumn("_stem", file_stem(F.col(image)))
-    right = labels.withColumn("_stem", file_stem(F.col(label)))
+    others = [c for c in labels.columns if c != label]
+    first = F.min_by(F.struct(label, *others), F.struct(label, F.xxhash64(*labels.columns))).alias("_first")
+    right = labels.groupBy(file_stem(F.col(label)).alias("_stem")).agg(first).select("_stem", *[F.col(f"_first.{c}").alias(c) for c in labels.columns])
     return salted_join(left, right, "_stem", spread).drop("_stem")

@@ -97,7 +97,8 @@ def frame_phases(
     """
     by = list(by)
     height = F.col("y2") - F.col("y1")
-    best = F.struct(_area(), -F.col("place"))
+    # Coordinates last: equal areas and places still have one winner.
+    best = F.struct(_area(), -F.col("place"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     per_frame = boxes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_detections"),
         F.when(F.count(height) == F.count(F.lit(1)), F.avg(height)).alias("_height"),

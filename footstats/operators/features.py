@@ -45,13 +45,14 @@ def lag_features(
     key: Sequence[str] = ("file",),
     order: str = "time",
     cascade: bool = False,
+    keep: bool = False,
     bucket: int = CHUNK_ROWS,
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``<col>_lag_0 … <col>_lag_k``; rows without all lags are dropped.
 
     One pass drops ``k`` rows per key. ``cascade`` drops what filtering after each lag
-    would: ``len(cols) * k * (k + 1) / 2`` rows. ``bucket`` is a stretch of ``order`` that
+    would: ``len(cols) * k * (k + 1) / 2`` rows; ``keep`` drops none. ``bucket`` is a stretch of ``order`` that
     holds few enough rows of a key for one task.
     """
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
@@ -60,7 +61,7 @@ def lag_features(
     def lags(w):
         return {f"{c}_lag_{i}": F.lag(c, i).over(w) for i in range(k + 1) for c in cols}
 
-    first = len(cols) * k * (k + 1) // 2 if cascade else k
+    first = 0 if keep else len(cols) * k * (k + 1) // 2 if cascade else k
     return with_halo(placed, key, "_pos", k, 0, lags, size).where(F.col("_pos") >= first).drop("_pos")
 
 
@@ -91,12 +92,25 @@ def batch_infer(
     """Vector output of any model over batches of rows.
 
     ``make_predict_fn`` loads the model once per worker and returns a function from a
-    batch to a 2-D array; ``tensor_shape`` reshapes array inputs.
+    batch to a 2-D array; ``tensor_shape`` reshapes array inputs. A result with another
+    number of rows than its batch raises ``ValueError``.
     """
+
+    def checked():
+        predict_batch = make_predict_fn()
+
+        def run(*batch):
+            result = predict_batch(*batch)
+            if len(result) != len(batch[0]):
+                raise ValueError(f"{len(batch[0])} rows in a batch, {len(result)} rows in the model's result")
+            return result
+
+        return run
+
     names = [cols] if isinstance(cols, str) else list(cols)
     shapes = {"input_tensor_shapes": [list(tensor_shape)]} if tensor_shape else {}
     predict = predict_batch_udf(
-        make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size, **shapes
+        checked, return_type=ArrayType(FloatType()), batch_size=batch_size, **shapes
     )
     return df.withColumn(out, array_to_vector(predict(*names)))
 
@@ -144,11 +158,14 @@ class DctnTransformer(
 
         @F.pandas_udf("array<double>")
         def corner(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy()).reshape(-1, *shape)
+            known = vectors.notna().to_numpy()
+            if not known.any():
+                return pd.Series([None] * len(vectors), dtype=object)
+            x = np.stack(vectors[known].to_numpy()).reshape(-1, *shape)
             for axis, (k, n) in enumerate(zip(kept, shape), 1):
                 angle = np.pi * np.outer(np.arange(k), 2 * np.arange(n) + 1) / (2 * n)
                 x = np.moveaxis(np.tensordot(x, 2 * np.cos(angle), axes=(axis, 1)), -1, axis)
-            return pd.Series(list(x.reshape(len(x), -1)))
+            return pd.Series(list(x.reshape(len(x), -1)), index=vectors.index[known], dtype=object).reindex(vectors.index)
 
         return df.withColumn(
             self.getOutputCol(), array_to_vector(corner(vector_to_array(F.col(self.getInputCol()))))

@@ -90,11 +90,11 @@ def segment_matches(
 ) -> DataFrame:
     """``(key, frame, running)`` -> ``(key, start_frame, end_frame)``, end exclusive.
 
-    ``max_pause`` counts frames. With ``cumulative_pause=False`` a running frame resets
+    ``max_pause`` counts frames; a null flag is a pause. With ``cumulative_pause=False`` a running frame resets
     the count: only an unbroken pause longer than the limit closes a match.
     """
     key = list(key)
-    rows = flags.select(*key, F.col(frame).cast("long").alias("frame"), F.col(running).cast("int").alias("running"))
+    rows = flags.select(*key, F.col(frame).cast("long").alias("frame"), F.coalesce(F.col(running).cast("int"), F.lit(0)).alias("running"))
     if not cumulative_pause:
         return _segments_between_long_pauses(rows, key, max_pause)
 

@@ -80,10 +80,14 @@ def cross_validate(
     reg_param: Sequence[float] = (0.0,),
     elastic_net: Sequence[float] = (0.0,),
     folds: int = 3,
-    seed: int = 42,
+    key: str = "file",
     parallelism: int = 4,
 ) -> CrossValidatorModel:
-    """Grid search over the pipeline's classifier by weighted F1; folds run in parallel."""
+    """Grid search over the pipeline's classifier by weighted F1; folds run in parallel.
+
+    A fold is ``crc32`` of the ``key`` modulo ``folds``: a file stays in one fold, and the result does not
+    depend on how the table is partitioned.
+    """
     lr = pipeline.getStages()[-1]
     grid = (
         ParamGridBuilder()
@@ -94,9 +98,9 @@ def cross_validate(
     )
     cv = CrossValidator(
         estimator=pipeline, estimatorParamMaps=grid, evaluator=f1_evaluator(label),
-        numFolds=folds, seed=seed, parallelism=parallelism,
+        numFolds=folds, foldCol="_fold", parallelism=parallelism,
     )
-    return cv.fit(train)
+    return cv.fit(train.withColumn("_fold", (F.crc32(F.col(key).cast("string")) % folds).cast("int")))
 
 
 @dataclass
@@ -133,8 +137,12 @@ def fit_recipe(df: DataFrame, recipe: Recipe, model_path: str | None = None) ->
 
     The prepared table is staged, since every fold and every optimiser step reads it.
     """
-    spark = df.sparkSession
-    split = stage(split_crc32(recipe.table(df)), f"fit-{recipe.name}")
+    return fit_prepared(stage(split_crc32(recipe.table(df)), f"fit-{recipe.name}"), recipe, model_path)
+
+
+def fit_prepared(split: DataFrame, recipe: Recipe, model_path: str | None = None) -> DataFrame:
+    """The perf record of a recipe over its own staged table with the column ``split``."""
+    spark = split.sparkSession
     train, test = (split.where(F.col("split") == s) for s in ("train", "test"))
     started = time.monotonic()
     model = cross_validate(recipe.pipeline(), train, recipe.label, **recipe.grid)
@@ -161,32 +169,74 @@ def save_model(model: CrossValidatorModel, path: str) -> CrossValidatorModel:
 
 
 def sweep(df: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
-    """Perf records of many recipes over one staged feature table."""
-    needed = sorted({c for r in recipes for c in (*r.features, r.label)})
-    shared = stage(df.select("file", "time", *needed), "sweep-features")
-    return union_all(*[fit_recipe(shared, r) for r in recipes])
+    """Perf records of many recipes over one staged table.
+
+    Features, split and the lags up to the largest ``k`` are computed and written once; a recipe takes its
+    columns and the rows that have all its lags.
+    """
+    features = sorted({c for r in recipes for c in r.features})
+    labels = sorted({r.label for r in recipes})
+    vectors = arrays_to_vectors(df.select("file", "time", *labels, *features), features)
+    lagged = sorted({c for r in recipes if r.kind.startswith("lagged") for c in r.features})
+    deepest = max((r.k for r in recipes if r.kind.startswith("lagged")), default=0)
+    if lagged:
+        vectors = lag_features(vectors, lagged, deepest, keep=True)
+    shared = stage(split_crc32(vectors), "sweep-features")
+
+    def own(recipe: Recipe) -> DataFrame:
+        if not recipe.kind.startswith("lagged"):
+            return shared.select("file", "time", "split", recipe.label, *recipe.features)
+        cols = lag_columns(recipe.features, recipe.k)
+        whole = F.greatest(*[F.col(c).isNull().cast("int") for c in cols], F.lit(0)) == 0
+        return shared.where(whole).select("file", "time", "split", recipe.label, *cols)
+
+    return union_all(*[fit_prepared(own(r), r) for r in recipes])
+
+
+def recipes_for(
+    models: Sequence[str], labels: Sequence[str], truncations: Sequence[int] = (), lags: Sequence[int] = (),
+    lagged_truncations: Sequence[int] = (), tensors: dict[str, Sequence[int]] | None = None, plain: bool = True,
+    filter_size: Sequence[int] = (3, 3, 5), grid: dict | None = None,
+) -> list[Recipe]:
+    """Recipes of every kind for each model and label, as lists of what to try.
+
+    ``truncations`` keep that many coefficients of ``<model>_dct``; ``lags`` are plain lags; each of
+    ``lagged_truncations`` is a pair (coefficients, lag); ``tensors`` gives the shape of each model that also
+    takes the n-dimensional transform.
+    """
+    out = []
+    for model in models:
+        for label in labels:
+            common = {"label": label, "grid": dict(grid or {})}
+            if plain:
+                out.append(Recipe(model, [model], **common))
+            if tensors and model in tensors:
+                out.append(Recipe(f"{model}_dctn", [model], kind="dctn", tensor_shape=tensors[model], filter_size=filter_size, **common))
+            out += [Recipe(f"{model}_dct_d{d}", [f"{model}_dct"], kind="truncated", d=d, **common) for d in truncations]
+            out += [Recipe(f"{model}_lag{k}", [model], kind="lagged", k=k, **common) for k in lags]
+            out += [
+                Recipe(f"{model}_dct_d{d}_lag{k}", [f"{model}_dct"], kind="lagged_truncated", d=d, k=k, **common)
+                for d, k in lagged_truncations
+            ]
+    return out
 
 
-# Fixed names of the evaluation: models, labels and sizes of the full sweep.
+# Fixed values of the evaluation: its models, labels, tensor shapes, coefficients and lags.
 MODELS = ["emb_entity_detection_v1", "emb_entity_detection_v2", "emb_entity_detection_v3", "emb_vanilla_yolov8n"]
 LABELS = ["is_match", "is_active", "is_standing"]
-SMALL_TENSOR, VANILLA_TENSOR = (3, 12, 20), (80, 12, 20)
+LAGGED_MODELS = ["emb_entity_detection_v2", "emb_entity_detection_v3"]
+TENSORS = {
+    "emb_entity_detection_v2": (3, 12, 20),
+    "emb_entity_detection_v3": (3, 12, 20),
+    "emb_vanilla_yolov8n": (80, 12, 20),
+}
+COEFFICIENTS = [8, 16, 32, 64]
+PLAIN_LAGS = [1]
+COEFFICIENTS_AND_LAGS = [(16, 1), (16, 2), (16, 3), (16, 5), (32, 1), (32, 2), (32, 3), (32, 5)]
 
 
 def evaluation_recipes() -> list[Recipe]:
     """The 99 models of the evaluation."""
-    tuned = MODELS[1:3]
-    out = []
-    for label in LABELS:
-        out += [Recipe(m, [m], label) for m in MODELS]
-        out += [Recipe(f"{m}_dct_d{d}", [f"{m}_dct"], label, "truncated", d=d) for m in tuned for d in (8, 16, 32, 64)]
-        out += [
-            Recipe(f"{m}_dctn", [m], label, "dctn", tensor_shape=VANILLA_TENSOR if m == MODELS[3] else SMALL_TENSOR)
-            for m in MODELS[1:]
-        ]
-        out += [Recipe(f"{m}_lag1", [m], label, "lagged", k=1) for m in tuned]
-        out += [
-            Recipe(f"{m}_dct_d{d}_lag{k}", [f"{m}_dct"], label, "lagged_truncated", d=d, k=k)
-            for m in tuned for d in (16, 32) for k in (1, 2, 3, 5)
-        ]
-    return out
+    return recipes_for(MODELS, LABELS, tensors=TENSORS) + recipes_for(
+        LAGGED_MODELS, LABELS, COEFFICIENTS, PLAIN_LAGS, COEFFICIENTS_AND_LAGS, plain=False
+    )

@@ -15,7 +15,12 @@ _LOWEST = 1075 * _STEPS_PER_OCTAVE
 def _bucket(x: Column) -> Column:
     """Non-decreasing in ``x`` over all doubles."""
     size = F.floor(F.log2(F.abs(x)) * _STEPS_PER_OCTAVE) + _LOWEST
-    return F.when(x == 0, F.lit(0).cast("long")).otherwise(F.signum(x).cast("long") * size)
+    endless = F.abs(x) == float("inf")
+    return (
+        F.when(x == 0, F.lit(0).cast("long"))
+        .when(endless, F.signum(x).cast("long") * (4 * _LOWEST))
+        .otherwise(F.signum(x).cast("long") * size)
+    )
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, by: Sequence[str], out: str) -> DataFrame:
@@ -23,7 +28,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, by: Sequence[str], out: st
 
     Rank selection in three steps, each with partial aggregation: count values per
     logarithmic bucket, find the buckets that hold the two ranks around ``q``, and rank
-    the distinct values of only these buckets.
+    the distinct values of only these buckets. NaN counts as null; infinities are values.
     """
     by = list(by) or ["_all"]
     values = (df if by != ["_all"] else df.withColumn("_all", F.lit(0))).select(
@@ -52,5 +57,6 @@ def exact_quantile(df: DataFrame, col: str, q: float, by: Sequence[str], out: st
     )
     at = lambda k: F.max(F.when(holds(k, F.col("_hi"), F.col("_n")), F.col("_x")))
     picked = ranked.groupBy(*by, "_total").agg(at(low).alias("_v0"), at(high).alias("_v1"))
-    result = picked.withColumn(out, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (rank - low))
+    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (rank - low)
+    result = picked.withColumn(out, F.when((F.col("_v0") == F.col("_v1")) | (rank == low), F.col("_v0")).otherwise(between))
     return result.select(*[c for c in by if c != "_all"], out)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from footstats.functions.paths import file_stem
 from footstats.sources.schemas import PERF, SECOND_LABELS
@@ -67,16 +68,35 @@ def combine_json(spark: SparkSession, folder: str, schema: str, multi_line: bool
 
 
 def consolidate_csv(spark: SparkSession, folder: str, schema: str, suffix: str = "_phases") -> DataFrame:
-    """All CSV files of a folder as one table; ``video`` is the file name without ``suffix``.
+    """All CSV files of a folder as one table by column *name*; ``video`` is the file name without ``suffix``.
 
-    A leading byte-order mark is ignored. Folders written by ``write_phases`` already
-    carry ``video`` and keep it.
+    Files may order their columns differently, lack some (null) or have more (left out). A header is a line
+    with at least half of the wanted names. A leading byte-order mark is ignored; a value spans one line.
+    Folders written by ``write_phases`` already carry ``video`` and keep it.
     """
-    rows = spark.read.schema(schema).option("header", True).csv(folder, recursiveFileLookup=False)
-    if "video" in rows.columns:
-        return rows
-    name = F.element_at(F.split(_file_path(), "/"), -1)
-    return rows.select("*", F.regexp_replace(file_stem(name), f"{suffix}$", "").alias("video"))
+    wanted = StructType.fromDDL(schema)
+    lines = spark.read.text(folder, recursiveFileLookup=False)
+    inside = [c for c in lines.columns if c != "value"]  # partition folders
+    names = [f.name for f in wanted if f.name not in inside]
+    lines = lines.select(*inside, F.regexp_replace("value", "^\ufeff", "").alias("value"), _file_path().alias("_file"))
+    fields = F.transform(F.split("value", ","), lambda x: F.trim(F.translate(x, '"', "")))
+    is_header = F.size(F.array_intersect(fields, F.array(*[F.lit(n) for n in names]))) * 2 >= len(names)
+    headers = lines.where(is_header).select("_file", fields.alias("_header")).dropDuplicates(["_file"])
+    rows = lines.where(~is_header & (F.trim("value") != "")).join(headers, "_file")
+    kinds = {f.name: f.dataType.simpleString() for f in wanted}
+    parsed = None
+    for (header,) in headers.select("_header").distinct().collect():  # a few orders of columns, not files
+        part = F.from_csv("value", ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in header))
+        own = rows.where(F.col("_header") == F.array(*[F.lit(n) for n in header])).withColumn("_row", part).select(
+            "_file", *inside, *[(F.col(f"_row.{n}") if n in header else F.lit(None).cast(kinds[n])).alias(n) for n in names]
+        )
+        parsed = own if parsed is None else parsed.unionByName(own)
+    if parsed is None:
+        return spark.createDataFrame([], schema)
+    if "video" in inside or "video" in names:
+        return parsed.select(*[F.col(f.name).cast(f.dataType) for f in wanted])
+    name = F.element_at(F.split("_file", "/"), -1)
+    return parsed.select(*names, F.regexp_replace(file_stem(name), f"{suffix}$", "").alias("video"))
 
 
 def read_perf(spark: SparkSession, glob: str, depth: int = 4) -> DataFrame:
@@ -107,7 +127,7 @@ def read_yolo_labels(spark: SparkSession, folder: str, glob: str = "*.txt") -> D
     """Box label files, one line ``class x y w h`` per box -> ``file, line, cls, x, y, w, h``."""
     lines = (
         spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder)
-        .select(relative_to(_file_path(), folder).alias("file"), F.trim("value").alias("line"))
+        .select(relative_to(_file_path(), folder).alias("file"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
         .where(F.col("line") != "")
     )
     part = F.split("line", r"\s+")

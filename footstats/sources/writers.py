@@ -22,7 +22,7 @@ def write_json(df: DataFrame, path: str, files: int | None = None) -> None:
 
 def write_phases(df: DataFrame, path: str, by: Sequence[str] = ("video",)) -> None:
     """Phase log as CSV with a header, one folder per video."""
-    df.write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
+    df.repartition(*by).write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
 
 
 def write_lines(df: DataFrame, col: str, path: str) -> None:

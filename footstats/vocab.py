@@ -45,5 +45,4 @@ PEAK_STEP = 50
 # Labelling effort: model releases between annotation dates.
 VERSION_CUTS = [("2024-03-01", "v0"), ("2024-03-21", "v1")]
 LAST_VERSION = "v2"
-ORIGINS = ["manual", "prediction", "prediction-changed"]
 CI_Z = 1.96

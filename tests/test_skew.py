@@ -71,9 +71,20 @@ def test_quantile_of_a_hot_group(spark):
     assert got["hot"] == 48.0 and len(got) == 101
 
 
-def test_copies_of_one_file(spark):
+def test_copies_of_one_file(spark, monkeypatch):
+    monkeypatch.setattr(dd, "HOT_ROWS", 2000)
     rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
     known = spark.createDataFrame([("same",)] * 5 + [("3",)], "text string")
     got = dd.hash_semi(rows, known, "text", ["id"])
     assert got.count() == 20_001
     assert largest_task(got) < 10_000
+    # Cold keys are joined once, the hot one is copied for each started 2000 rows.
+    spread = dd.salted_join(rows, known.distinct(), "text", ["id"])
+    assert spread.count() == 20_001
+
+
+def test_unbroken_segments_of_a_hot_video(spark):
+    flags = frames(spark).select("video", "frame", (F.col("x") < 50).cast("int").alias("running"))
+    got = segment_matches(flags, 20, cumulative_pause=False, size=SIZE)
+    whole = segment_matches(flags, 20, cumulative_pause=False, size=10**6)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
