@@ -202,51 +202,47 @@ def similarity_classes(
     fits = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     lead = {x: F.expr(f"{x} - floor(({percent} * {x} + 99) / 100) + 1") for x in ("na", "nb")}
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    pairs = cut(
+    pairs = (
         a.join(b, "s").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
         .where(F.col("shared") + F.greatest(F.col("na") - lead["na"], F.col("nb") - lead["nb"]) >= need)
-    )
+    ).select("a", "b")
 
+    # Rows that pairs and the other blocks hold together form groups, which are cut into tiles.
     many = live.where(F.col("rows") > PAIR_ROWS)
     heads = many.groupBy("s").agg(F.min("set_id").alias("b"))
-    groups = components(many.select("s", F.col("set_id").alias("a")).join(heads, "s").select("a", "b"))
+    chained = many.select("s", F.col("set_id").alias("a")).join(heads, "s").select("a", "b")
+    groups = components(pairs.unionByName(chained))
     tiles = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
-    members = groups.join(groups.groupBy("root").agg(F.count("*").alias("rows")), "root").select(
+    members = groups.join(groups.groupBy("root").agg(F.count("*").alias("rows")), "root").where("rows > 1").select(
         F.col("node").alias("set_id"), "root", tiles.alias("tiles"), F.pmod(F.xxhash64("node", F.lit(5)), tiles).cast("int").alias("tile")
     )
-    members = cut(members)
 
-    # The whole sets of the rows that are left, from their texts.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(members.select("set_id")).distinct()
-    texts = rows.join(sets.join(wanted, "set_id", "left_semi").select("doc_id"), "doc_id", "left_semi").select("text")
+    # The whole sets of the rows that are left, from their texts; each goes to the pairs of tiles it is part of.
+    texts = rows.join(sets.join(members, "set_id").select("doc_id", "root", "tiles", "tile"), "doc_id")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(width)
         for batch in batches:
-            values = [shingles(t) for t in batch["text"]]
-            for at in range(0, len(values), 500):
-                part = [v for v in values[at : at + 500] if len(v)]
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                values = [shingles(t) for t in part["text"]]
                 yield pd.DataFrame({
-                    "set_id": np.array([xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63) for v in part], np.int64),
-                    "n": [len(v) for v in part], "shingles": pd.Series([_signed(v) for v in part], dtype=object),
+                    "root": part["root"].to_numpy(), "tiles": part["tiles"].to_numpy(), "tile": part["tile"].to_numpy(),
+                    "set_id": np.array([xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63) for v in values], np.int64),
+                    "n": [len(v) for v in values], "shingles": pd.Series([_signed(v) for v in values], dtype=object),
                 })
 
-    full = cut(texts.mapInPandas(whole, "set_id long, n int, shingles array<long>"))
-
-    both = pairs.select("a", "b").join(
-        full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a"
-    ).join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    overlap = F.size(F.array_intersect("x", "y"))
-    listed = both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b")
+    full = texts.select("text", "root", "tiles", "tile").mapInPandas(
+        whole, "root long, tiles int, tile int, set_id long, n int, shingles array<long>"
+    )
+    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_id", "n", "shingles"
+    )
 
     def multiply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(tile_links(group, key[1] == key[2], percent), columns=["a", "b"], dtype="int64")
 
-    dealt = members.select("set_id", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "set_id", "root", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")
-    )
-    tiled = dealt.join(full, "set_id").groupBy("root", "lo", "hi").applyInPandas(multiply, "a long, b long")
-    linked = components(listed.unionByName(tiled))
+    linked = components(dealt.groupBy("root", "lo", "hi").applyInPandas(multiply, "a long, b long"))
 
     named = sets.join(linked, sets["set_id"] == linked["node"], "left").select(
         "set_id", "doc_id", F.coalesce("root", "set_id").alias("root")
