@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from footstats.llm.common import cut
 
 #: Rows of a column block up to which its pairs are listed, and rows of a tile.
-PAIR_ROWS, TILE_ROWS = 48, 256
+PAIR_ROWS, TILE_ROWS = 48, 512
 #: Shingles of the product that are multiplied at once.
 TILE_COLUMNS = 4096
+#: Rows left for the product up to which their ids are broadcast to the texts; more meet them in a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Documents and shingles that decide which shingles come last in the order. The order changes the work, not the links.
 ORDER_DOCUMENTS, ORDER_SHINGLES, ORDER_TIMES = 20_000, 200_000, 32
 #: Words whose hashes a task remembers.
@@ -116,25 +118,30 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def tile_links(group: pd.DataFrame, same: bool, percent: int) -> list[tuple[int, int]]:
+def set_number(shingles: np.ndarray) -> int:
+    """64-bit hash of a set, as a signed number."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
+def tile_links(ids: np.ndarray, values: list[np.ndarray], tile: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
     """Links between the rows of two tiles that join all that their product joins (a spanning forest)."""
-    ids, sizes = group["set_id"].to_numpy(), group["n"].to_numpy()
-    rows = np.repeat(np.arange(len(group)), sizes)
-    _, columns, times = np.unique(np.concatenate(group["shingles"].to_numpy()), return_inverse=True, return_counts=True)
+    sizes = np.array([len(v) for v in values])
+    rows = np.repeat(np.arange(len(ids)), sizes)
+    _, columns, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     shared = times[columns] > 1  # a shingle of one row alone adds to no overlap
     rows, columns = rows[shared], np.unique(columns[shared], return_inverse=True)[1]
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    left = np.arange(len(group)) if same else np.flatnonzero(group["tile"].to_numpy() == group["tile"].min())
-    right = left if same else np.flatnonzero(group["tile"].to_numpy() != group["tile"].min())
+    left = np.arange(len(ids)) if same else np.flatnonzero(tile == tile.min())
+    right = left if same else np.flatnonzero(tile != tile.min())
     overlap = np.zeros((len(left), len(right)), np.float32)
     for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, TILE_COLUMNS):
         a, b = np.searchsorted(columns, [start, start + TILE_COLUMNS])
-        block = np.zeros((len(group), TILE_COLUMNS), np.float32)
+        block = np.zeros((len(ids), TILE_COLUMNS), np.float32)
         block[rows[a:b], columns[a:b] - start] = 1
         overlap += block[left] @ block[right].T
     union = sizes[left][:, None] + sizes[right][None, :] - overlap
-    parent = list(range(len(group)))
+    parent = list(range(len(ids)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -177,7 +184,7 @@ def similarity_classes(
                     sets.append(None)
                     leads.append([])
                     continue
-                sets.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                sets.append(set_number(s))
                 if len(last):
                     common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.concatenate([s[~common], s[common]])
@@ -217,30 +224,20 @@ def similarity_classes(
         F.col("node").alias("set_id"), "root", tiles.alias("tiles"), F.pmod(F.xxhash64("node", F.lit(5)), tiles).cast("int").alias("tile")
     )
 
-    # The whole sets of the rows that are left, from their texts; each goes to the pairs of tiles it is part of.
-    texts = rows.join(sets.join(members, "set_id").select("doc_id", "root", "tiles", "tile"), "doc_id")
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler(width)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                values = [shingles(t) for t in part["text"]]
-                yield pd.DataFrame({
-                    "root": part["root"].to_numpy(), "tiles": part["tiles"].to_numpy(), "tile": part["tile"].to_numpy(),
-                    "set_id": np.array([xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63) for v in values], np.int64),
-                    "n": [len(v) for v in values], "shingles": pd.Series([_signed(v) for v in values], dtype=object),
-                })
-
-    full = texts.select("text", "root", "tiles", "tile").mapInPandas(
-        whole, "root long, tiles int, tile int, set_id long, n int, shingles array<long>"
-    )
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "set_id", "n", "shingles"
-    )
+    # Texts of the rows that are left go to the pairs of tiles they are part of; whole sets are made there.
+    members = cut(sets.join(members, "set_id").select("doc_id", "root", "tiles", "tile"))
+    if members.count() <= BROADCAST_ROWS:
+        members = F.broadcast(members)
+    dealt = rows.join(members, "doc_id").select(
+        "text", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    ).select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "text")
 
     def multiply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(tile_links(group, key[1] == key[2], percent), columns=["a", "b"], dtype="int64")
+        shingles = Shingler(width)
+        values = [shingles(t) for t in group["text"]]
+        ids = np.array([set_number(v) for v in values], np.int64)
+        links = tile_links(ids, values, group["tile"].to_numpy(), key[1] == key[2], percent)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     linked = components(dealt.groupBy("root", "lo", "hi").applyInPandas(multiply, "a long, b long"))
 
