@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_a
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -68,7 +68,15 @@ def lag_features(
 def arrays_to_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Array columns become ML vectors; vector columns stay."""
     arrays = [c for c in cols if isinstance(df.schema[c].dataType, ArrayType)]
-    return df.withColumns({c: array_to_vector(F.col(c).cast("array<double>")) for c in arrays})
+    return df.withColumns({c: _vector_or_null(F.col(c).cast("array<double>")) for c in arrays})
+
+
+def _vector_or_null(values: Column) -> Column:
+    return F.when(values.isNotNull(), array_to_vector(F.coalesce(values, F.array().cast("array<double>"))))
+
+
+def _array_or_null(vector: Column) -> Column:
+    return F.when(vector.isNotNull(), vector_to_array(vector))
 
 
 def dct1d(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -168,5 +176,5 @@ class DctnTransformer(
             return pd.Series(list(x.reshape(len(x), -1)), index=vectors.index[known], dtype=object).reindex(vectors.index)
 
         return df.withColumn(
-            self.getOutputCol(), array_to_vector(corner(vector_to_array(F.col(self.getInputCol()))))
+            self.getOutputCol(), _vector_or_null(corner(_array_or_null(F.col(self.getInputCol()))))
         )

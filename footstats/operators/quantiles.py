@@ -57,6 +57,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, by: Sequence[str], out: st
     )
     at = lambda k: F.max(F.when(holds(k, F.col("_hi"), F.col("_n")), F.col("_x")))
     picked = ranked.groupBy(*by, "_total").agg(at(low).alias("_v0"), at(high).alias("_v1"))
-    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (rank - low)
+    # From an endless value no step leads anywhere else.
+    between = F.when(F.abs("_v0") == float("inf"), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (rank - low))
     result = picked.withColumn(out, F.when((F.col("_v0") == F.col("_v1")) | (rank == low), F.col("_v0")).otherwise(between))
     return result.select(*[c for c in by if c != "_all"], out)
