@@ -10,6 +10,7 @@ from catalog.standins import feature_table, frame_embeddings, frame_labels, tabl
 from footstats.operators import features as ft
 from footstats.operators import models as md
 from footstats.operators import statistics as st
+from footstats.sources.staging import scratch_path
 
 _total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
 
@@ -123,6 +124,19 @@ def sweep(spark, d):
     return _shown(md.sweep(feature_table(spark, d), recipes))
 
 
+def model_reload(spark, d):
+    """Fit, save, load: the loaded model scores every row as the fitted one does."""
+    table_ = RECIPES["fit_truncated"].table(feature_table(spark, d))
+    fitted = md.cross_validate(md.pipeline_truncated(["emb"], "is_active", 16), table_, "is_active", reg_param=(0.1,))
+    fitted.write().overwrite().save(path := scratch_path(spark, "model"))
+    loaded = md.CrossValidatorModel.load(path)
+    score = vector_to_array("probability")
+    one, two = (m.transform(table_).select("file", "time", score.alias(n)) for m, n in ((fitted, "p"), (loaded, "q")))
+    return one.join(two, ["file", "time"]).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p") != F.col("q")).alias("differing")
+    )
+
+
 QUERIES = {
     **{
         f.__name__: f
@@ -133,6 +147,7 @@ QUERIES = {
     },
     **{name: _fit(recipe) for name, recipe in RECIPES.items()},
     "sweep": sweep,
+    "model_reload": model_reload,
 }
 
 
@@ -185,6 +200,7 @@ ORACLES = {
     "fit_lagged": _fit_sql([("emb_lag1", "is_active", 1, 2)]),
     "fit_lagged_truncated": _fit_sql([("emb_d8_lag2", "is_active", 2, 2)]),
     "sweep": _fit_sql([(f, label, k, 1) for label in ("is_match", "is_active") for f, k in _SWEPT]),
+    "model_reload": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM embeddings",
     "feature_join": """SELECT printf('clips/mat_%02d/0001.mp4', label) AS file, vec_id AS time,
         CAST(vec_id % 2 AS INTEGER) AS is_match,
         round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS full_sum,

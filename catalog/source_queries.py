@@ -32,6 +32,45 @@ def json_combined(spark, d):
     return back.select("frame_number", "filename", "raw_text")
 
 
+def json_array(spark, d):
+    """Files that each hold one array of records over several lines, as annotation servers export them."""
+    path = scratch_path(spark, "arrays-json")
+    record = F.to_json(F.struct("s_suppkey", "s_name"))
+    # An array holds the records of one stretch of a thousand keys.
+    arrays = table(spark, d, "supplier").groupBy(F.expr("s_suppkey div 1000").alias("part")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value")
+    )
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    return rd.read_json_array(spark, f"{path}/part=*", "s_suppkey long, s_name string")
+
+
+def json_single(spark, d):
+    """A small result as one file."""
+    path = scratch_path(spark, "perf-json")
+    wr.write_json(perf_records(spark, d).select("label", "train_size").repartition(4), path, files=1)
+    back = spark.read.schema("label string, train_size long").json(path)
+    return back.groupBy("label").agg(
+        F.count(F.lit(1)).alias("models"), F.sum("train_size").alias("train_size"), F.count_distinct("_metadata.file_path").alias("files")
+    )
+
+
+def csv_head(spark, d):
+    """The first rows of a total order, through a CSV file."""
+    path = scratch_path(spark, "parts-csv")
+    wr.write_csv(table(spark, d, "part").select("p_partkey", "p_retailprice"), path)
+    back = spark.read.csv(path, schema="p_partkey long, p_retailprice double", header=True)
+    return back.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
+
+
+def subtitle_files(spark, d):
+    """Cues written in order, one folder per video, and read back: lines and cue numbers of each file."""
+    path = scratch_path(spark, "subtitles")
+    wr.write_subtitles(subtitle_rows(spark, d).select("video", "cue", "text"), path)
+    lines = spark.read.text(path)
+    cue = F.when(F.col("value").rlike(r"^\d+$"), F.col("value").cast("long"))
+    return lines.groupBy(F.col("video").cast("long").alias("video")).agg(F.count(cue).alias("cues"), F.sum(cue).alias("numbers"))
+
+
 def table_roundtrip(spark, d):
     path = scratch_path(spark, "detections")
     wr.write_table(boxes(spark, d), path, 4)
@@ -136,7 +175,7 @@ def perf_files(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        json_roundtrip, json_combined, table_roundtrip, csv_consolidate, binary_manifest, url_manifest,
+        json_roundtrip, json_combined, json_array, json_single, csv_head, subtitle_files, table_roundtrip, csv_consolidate, binary_manifest, url_manifest,
         project_manifest, yolo_labels, training_metrics, line_lists, chunk_ids, chunk_files, subtitle_rows, perf_files,
     )
 }
@@ -147,6 +186,12 @@ ORACLES = {
         SELECT file, CAST(time AS BIGINT) AS time, is_match, is_active, is_standing FROM labels""",
     "json_combined": f"""WITH {sql.CLOCK} SELECT frame AS frame_number, CAST(video AS VARCHAR) AS filename, raw_text
         FROM readings""",
+    "json_array": "SELECT s_suppkey, s_name FROM supplier",
+    "json_single": f"""WITH {sql.PERF} SELECT label, count(*) AS models, CAST(sum(p_size * 10) AS BIGINT) AS train_size,
+        CAST(1 AS BIGINT) AS files FROM perf GROUP BY label""",
+    "csv_head": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20",
+    "subtitle_files": f"""WITH {sql.CLOCK} SELECT video, count(*) AS cues, CAST(sum(frame // 10 + 1) AS BIGINT) AS numbers
+        FROM readings WHERE frame % 10 = 0 GROUP BY video""",
     "table_roundtrip": f"{_B} SELECT * FROM boxes",
     "csv_consolidate": f"""{_B} SELECT video, CAST(frame AS DOUBLE) AS "timestamp", phase, n_detections FROM phases""",
     "binary_manifest": """SELECT CAST(page_id % 5 AS INTEGER) AS "group",

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footstats.operators.sequences import with_position
-from footstats.sources.staging import stage
 
 FPS = 10
 PAUSE_LIMIT_SECONDS = 5
@@ -37,8 +36,8 @@ def clock_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clock_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The readings as a table with frame numbers, as the text recognition leaves it."""
-    return stage(clock_readings(spark, sf_dir), "clock-readings")
+    """The readings with frame numbers, as the text recognition leaves them."""
+    return clock_readings(spark, sf_dir)
 
 
 def annotation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
