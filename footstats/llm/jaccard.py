@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from footstats.llm.common import cut
 
 #: Rows of a column block up to which its pairs are listed, and rows of a tile.
-PAIR_ROWS, TILE_ROWS = 48, 512
+PAIR_ROWS, TILE_ROWS = 128, 512
 #: Shingles of the product that are multiplied at once.
 TILE_COLUMNS = 4096
 #: Rows left for the product up to which their ids are broadcast to the texts; more meet them in a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Documents and shingles that decide which shingles come last in the order. The order changes the work, not the links.
-ORDER_DOCUMENTS, ORDER_SHINGLES, ORDER_TIMES = 20_000, 200_000, 32
+ORDER_DOCUMENTS, ORDER_SHINGLES, ORDER_TIMES = 40_000, 400_000, 32
 #: Words whose hashes a task remembers.
 MEMO_WORDS = 500_000
 
