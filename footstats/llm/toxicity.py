@@ -19,13 +19,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample: rows of each label, taken by the hash of their id, and bytes of each text.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 8192
+from footstats.llm.common import cut
+
+#: Bound of the labelled sample: rows of each label, taken by the hash of their id; their texts are read whole.
+SAMPLE_ROWS = 6000
 #: Sizes of the dictionaries, of windows and of their overlap, in bytes; length of a peculiar sequence.
 TOXIC_BYTES, ORDINARY_BYTES, WINDOW, OVERLAP, SEQUENCE = 1536, 8192, 64, 12, 6
 #: A sequence is peculiar if this many standard deviations more toxic texts hold it than expected, and if
 #: ordinary texts hold it at most this often against toxic ones.
 EXCESS, FOREIGN = 7.0, 0.2
+#: Sequences that a task holds before it hands on their counts.
+TALLY = 4_000_000
 #: Limits of bytes saved from which windows count as hit.
 HITS = (2, 4, 6)
 
@@ -49,36 +53,63 @@ def sequences(line: bytes) -> np.ndarray:
     return out
 
 
-def unlike(lines: list[bytes], probes: int = 6) -> list[bytes]:
-    """``lines`` without near copies of earlier ones: those that share half of their smallest word-triple hashes."""
+def probes(line: bytes, number: int = 6) -> list[int]:
+    """Smallest word-triple hashes of a line, one of each mixing."""
+    words = line.split()
+    triples = [zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))]
+    mixed = np.array(triples, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    least = [(mixed ^ (mixed >> np.uint64(29 + k)) * np.uint64(2 * k + 0xC2B2AE3D27D4EB4F)).min() for k in range(number)]
+    return np.array(least, np.uint64).view(np.int64).tolist()
+
+
+def unlike(probed: list[list[int]]) -> list[int]:
+    """Places of lines that aren't near copies of earlier ones, which share half of their ``probes``."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for line in lines:
-        words = line.split()
-        triples = [zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))]
-        mixed = np.array(triples, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        keys = [(k, int((mixed ^ (mixed >> np.uint64(29 + k)) * np.uint64(2 * k + 0xC2B2AE3D27D4EB4F)).min())) for k in range(probes)]
-        if 2 * sum(key in seen for key in keys) < probes:
-            out.append(line)
+    for at, found in enumerate(probed):
+        keys = list(enumerate(found))
+        if 2 * sum(key in seen for key in keys) < len(keys):
+            out.append(at)
         seen.update(keys)
     return out
 
 
-def counted(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct sequences, lines that hold each)."""
-    each = [np.unique(sequences(x)) for x in lines]
-    return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, int))
+def counted(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct sequences, lines that hold each) of each line's distinct sequences."""
+    return np.unique(np.concatenate(lines), return_counts=True) if lines else (np.zeros(0, np.uint64), np.zeros(0, int))
 
 
-def peculiar_sequences(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Sequences that are in far more toxic texts than chance explains: sorted."""
-    found, n = counted(toxic)
-    found, n = found[keep := n >= 3], n[keep]
-    known, times = counted(ordinary)
-    at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
-    other = np.where(known[at] == found, times[at], 0) if len(known) else np.zeros(len(found))
-    expected = len(toxic) * (n + other) / (len(toxic) + len(ordinary))
-    return found[(n - expected >= EXCESS * np.sqrt(expected)) & (other * len(toxic) <= FOREIGN * n * len(ordinary))]
+def peculiar_sequences(rows: DataFrame, kept: set[int], toxic: int, ordinary: int) -> np.ndarray:
+    """Sequences that are in far more toxic texts than chance explains: sorted.
+
+    Of ``rows`` (h, text, y) those with ``h`` in ``kept`` count, ``toxic`` and ``ordinary`` of them. Tasks count
+    the sequences of whole texts; only what is peculiar comes back.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(kept)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+
+        def handed() -> Iterator[pd.DataFrame]:
+            for y, lines in held.items():
+                found, n = counted(lines)
+                yield pd.DataFrame({"code": found.astype(np.int64), "n": n * (y == 1), "other": n * (y == 0)})
+                lines.clear()
+
+        for batch in batches:
+            for h, text, y in zip(batch["h"], batch["text"], batch["y"]):
+                if h in shared.value:
+                    held[y].append(np.unique(sequences(normal_form(text))))
+                    if sum(map(len, held[0])) + sum(map(len, held[1])) >= TALLY:
+                        yield from handed()
+        yield from handed()
+
+    counts = rows.mapInPandas(tally, "code long, n long, other long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
+    expected = toxic * (F.col("n") + F.col("other")) / (toxic + ordinary)
+    found = counts.where("n >= 3").where(
+        (F.col("n") - expected >= EXCESS * F.sqrt(expected)) & (F.col("other") * toxic <= FOREIGN * F.col("n") * ordinary)
+    )
+    return np.sort(np.array([r["code"] for r in found.select("code").collect()], np.uint64))
 
 
 def stretches(line: bytes, peculiar: np.ndarray) -> bytes:
@@ -146,15 +177,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def learn_toxicity(
-    docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
+    docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> ToxicityModel | None:
     """Dictionaries and calibration from the labelled rows that ``learn`` (over the id) marks.
 
-    At most ``sample_rows`` ids of each label are used, those with the smallest hash, and ``sample_bytes`` of
-    each text; one in three calibrates and trains no dictionary. An id with both labels counts as toxic. None
-    if either label is missing. The two dictionaries are built in one task from this bounded sample; the
-    calibration texts are scored by all.
+    At most ``sample_rows`` ids of each label are used, those with the smallest hash, with their whole texts;
+    one in three calibrates and trains no dictionary. An id with both labels counts as toxic. None if either
+    label is missing. Sequences are counted and calibration texts scored in all tasks; each dictionary is then
+    trained in one task from this bounded number of texts.
     """
     spark = docs.sparkSession
     known = labels.where(learn & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -163,25 +194,39 @@ def learn_toxicity(
     # At most 2 * sample_rows ids: a bounded broadcast.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     sample = sample.join(F.broadcast(ids[0].unionByName(ids[1])), "id").select(
-        "id", "text", "y", (F.pmod(F.shiftright("h", 20), F.lit(3)) == 0).alias("part")
+        "id", "h", "text", "y", (F.pmod(F.shiftright("h", 20), F.lit(3)) == 0).alias("part")
     )
-    rows = sample.where("NOT part").dropDuplicates(["id"]).select("id", F.left("text", F.lit(sample_bytes)).alias("text"), "y")
+    # Written, as several steps read it and must see the same text of an id.
+    rows = cut(sample.where("NOT part").dropDuplicates(["id"]).select("id", "h", "text", "y"))
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "y": batch["y"], "p": [probes(normal_form(t)) for t in batch["text"]]})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    probed = sorted(rows.mapInPandas(probe, f"id {kind}, h long, y int, p array<long>").collect(), key=lambda r: r["id"])
+    lines = {y: [r for r in probed if r["y"] == y] for y in (0, 1)}
+    kept = {y: {lines[y][at]["h"] for at in unlike([r["p"] for r in lines[y]])} for y in (0, 1)}
+    if not kept[0] or not kept[1]:
+        return None
+    peculiar = spark.sparkContext.broadcast(peculiar_sequences(rows, kept[0] | kept[1], len(kept[1]), len(kept[0])))
+    both = spark.sparkContext.broadcast(kept[0] | kept[1])
+
+    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[[h in both.value for h in batch["h"]]]
+            texts = [normal_form(t) for t in batch["text"]]
+            parts = [stretches(x, peculiar.value) if y else x for x, y in zip(texts, batch["y"])]
+            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "part": parts})
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        lines = {y: unlike([normal_form(t)[:sample_bytes] for t in group.loc[group["y"] == y, "text"]]) for y in (0, 1)}
-        if not lines[0] or not lines[1]:
-            return pd.DataFrame({"ordinary": [], "toxic": []})
-        peculiar = peculiar_sequences(lines[1], lines[0])
-        return pd.DataFrame({
-            "ordinary": [trained(ORDINARY_BYTES, lines[0], 64)],
-            "toxic": [trained(TOXIC_BYTES, [stretches(x, peculiar) for x in lines[1]], 16)],
-        })
-
-    built = rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(build, "ordinary binary, toxic binary").first()
-    if built is None:
-        return None
-    model = ToxicityModel(bytes(built["ordinary"]), bytes(built["toxic"]))
+        y, parts = int(group["y"].iloc[0]), group["part"].map(bytes).tolist()
+        return pd.DataFrame({"y": [y], "content": [trained(TOXIC_BYTES, parts, 16) if y else trained(ORDINARY_BYTES, parts, 64)]})
+
+    parts = rows.mapInPandas(samples, f"id {kind}, y int, part binary")
+    built = {r["y"]: bytes(r["content"]) for r in parts.groupBy("y").applyInPandas(build, "y int, content binary").collect()}
+    model = ToxicityModel(built[0], built[1])
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -199,6 +199,25 @@ def test_toxicity_on_held_out_texts(spark):
     assert got[360 + 7] == got[360 + 8]
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    pick = random.Random(6)
+    common = ["".join(pick.choices("aeiounrtslm", k=pick.randint(3, 8))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(240):
+        words = pick.choices(common, k=1600)
+        for _ in range(24 if i % 3 == 0 else 0):
+            words[pick.randrange(1500, 1600)] = pick.choice(["gruzzle", "blathok", "snirkit"])
+        assert len(" ".join(words[:1500])) > 8192
+        rows.append(" ".join(words))
+        labels.append((i, int(i % 3 == 0)))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    model = learn_toxicity(docs, marks, F.col("doc_id") < 180)
+    assert any(w in model.toxic for w in (b"gruzzle", b"blathok", b"snirkit"))
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.7) == bool(y) for i, y in labels if i >= 180]) > 0.9
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
