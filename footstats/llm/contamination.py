@@ -37,17 +37,21 @@ def checked(df: DataFrame, rows: int) -> DataFrame:
 
 
 def test_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, s, phrase, words): each window of ``width`` consecutive words; a shorter item is one window."""
+    """(item_id, item, s, phrase, words): each window of ``width`` consecutive words; a shorter item is one window.
+
+    ``item`` is the hash of an item's words: items with one id, or none, and different texts are told apart.
+    """
     words = items.select(F.col(id_col).alias("item_id"), word_list(F.col(text_col)).alias("all")).where(F.size("all") > 0)
+    words = words.withColumn("item", F.xxhash64(F.array_join("all", " ")))
     starts = F.sequence(F.lit(0), F.greatest(F.size("all") - width, F.lit(0)))
-    return words.select("item_id", "all", F.explode(starts).alias("s")).select(
-        "item_id", "s", F.slice("all", F.col("s") + 1, F.lit(width)).alias("words")
-    ).select("item_id", "s", F.xxhash64(F.array_join("words", " ")).alias("phrase"), "words").distinct()
+    return words.select("item_id", "item", "all", F.explode(starts).alias("s")).select(
+        "item_id", "item", "s", F.slice("all", F.col("s") + 1, F.lit(width)).alias("words")
+    ).select("item_id", "item", "s", F.xxhash64(F.array_join("words", " ")).alias("phrase"), "words").distinct()
 
 
 @dataclass
 class PositionalIndex:
-    """``postings``: (row, place, word) of rare test words; ``rare``: (item_id, s, phrase, size, rank, at, word).
+    """``postings``: (row, place, word) of rare test words; ``rare``: (item, s, phrase, size, rank, at, word).
 
     ``at`` is the place of a window's rare word in its item, so that windows which overlap share their lists.
     """
@@ -57,19 +61,19 @@ class PositionalIndex:
     rare_rows: int
 
     def aligned(self) -> DataFrame:
-        """(row, item_id, shift, at): postings moved back to where their item would begin."""
-        anchors = self.rare.select("item_id", "at", "word").distinct()
+        """(row, item, shift, at): postings moved back to where their item would begin."""
+        anchors = self.rare.select("item", "at", "word").distinct()
         return self.postings.join(checked(anchors, self.rare_rows), "word").select(
-            "row", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at"
+            "row", "item", (F.col("place") - F.col("at")).alias("shift"), "at"
         )
 
     def phrase_starts(self) -> DataFrame:
         """(row, phrase, start, size): places where all rare words of a window stand as in the window."""
-        met = self.aligned().groupBy("row", "item_id", "shift").agg(F.collect_set("at").alias("met"))
-        windows = self.rare.groupBy("item_id", "s", "phrase", "size").agg(F.collect_set("at").alias("needed")).groupBy("item_id").agg(
+        met = self.aligned().groupBy("row", "item", "shift").agg(F.collect_set("at").alias("met"))
+        windows = self.rare.groupBy("item", "s", "phrase", "size").agg(F.collect_set("at").alias("needed")).groupBy("item").agg(
             F.collect_list(F.struct("s", "phrase", "size", "needed")).alias("windows"), F.min(F.size("needed")).alias("least")
         )
-        whole = met.join(checked(windows, self.rare_rows), "item_id").where(F.size("met") >= F.col("least")).select(
+        whole = met.join(checked(windows, self.rare_rows), "item").where(F.size("met") >= F.col("least")).select(
             "row", "shift", F.explode(F.filter("windows", lambda w: F.size(F.array_except(w["needed"], F.col("met"))) == 0)).alias("w")
         )
         return whole.select("row", "w.phrase", (F.col("shift") + F.col("w.s")).alias("start"), "w.size").where("start >= 0").distinct()
@@ -81,34 +85,35 @@ class PositionalIndex:
         lie in one: a range join without comparing all pairs of a document.
         """
         step = slack + 1
-        n = self.rare.groupBy("item_id", "s").agg(F.count("*").alias("n"))
-        owned = self.rare.select("item_id", "at", "s", "phrase", "rank").join(n, ["item_id", "s"])
-        lists = self.aligned().join(checked(owned, self.rare_rows), ["item_id", "at"]).withColumn("cell", F.floor(F.col("shift") / step))
+        n = self.rare.groupBy("item", "s").agg(F.count("*").alias("n"))
+        owned = self.rare.select("item", "at", "s", "phrase", "rank").join(n, ["item", "s"])
+        lists = self.aligned().join(checked(owned, self.rare_rows), ["item", "at"]).withColumn("cell", F.floor(F.col("shift") / step))
         first = lists.where("rank = 1").select(
-            "row", "item_id", "s", "phrase", "n", F.col("shift").alias("to"),
+            "row", "item", "s", "phrase", "n", F.col("shift").alias("to"),
             F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"),
         )
-        found = first.join(lists.select("row", "item_id", "s", "cell", "rank", "shift"), ["row", "item_id", "s", "cell"])
+        found = first.join(lists.select("row", "item", "s", "cell", "rank", "shift"), ["row", "item", "s", "cell"])
         found = found.where(F.abs(F.col("shift") - F.col("to")) <= slack)
-        return found.groupBy("row", "phrase", "item_id", "s", "to", "n").agg(F.count_distinct("rank").alias("found")).where(
+        return found.groupBy("row", "phrase", "item", "s", "to", "n").agg(F.count_distinct("rank").alias("found")).where(
             "found = n"
         ).select("row", "phrase", (F.col("to") + F.col("s")).alias("start")).distinct()
 
 
 def build_index(docs: DataFrame, windows: DataFrame, rare_words: int = RARE_WORDS) -> PositionalIndex:
-    """Index of ``docs`` (row, words) for the rarest words of ``windows`` (item_id, s, phrase, words).
+    """Index of ``docs`` (row, words) for the rarest words of ``windows`` (item, s, phrase, words).
 
     All documents are counted for all words of the windows; windows with a word that no document holds
     cannot occur and leave. Then the places of each window's ``rare_words`` rarest words are stored.
     """
-    terms = cut(windows.select("item_id", "s", "phrase", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word")))
+    windows = windows.select("item", "s", "phrase", "words").distinct()
+    terms = cut(windows.select("item", "s", "phrase", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word")))
     known = terms.select("word").distinct()
     counts = docs.select(F.explode("words").alias("word")).join(checked(known, known.count()), "word", "left_semi")
     counts = cut(counts.groupBy("word").agg(F.count("*").alias("times")))
-    one = Window.partitionBy("item_id", "s")
+    one = Window.partitionBy("item", "s")
     ranked = terms.join(counts, "word", "left").withColumn("absent", F.max(F.col("times").isNull()).over(one)).where("NOT absent")
     ranked = ranked.withColumn("rank", F.row_number().over(one.orderBy("times", "offset"))).where(F.col("rank") <= rare_words)
-    rare = cut(ranked.select("item_id", "s", "phrase", "size", "rank", (F.col("s") + F.col("offset")).alias("at"), "word"))
+    rare = cut(ranked.select("item", "s", "phrase", "size", "rank", (F.col("s") + F.col("offset")).alias("at"), "word"))
     wanted = rare.select("word").distinct()
     places = docs.select("row", F.posexplode("words").alias("place", "word"))
     return PositionalIndex(cut(places.join(checked(wanted, wanted.count()), "word", "left_semi")), rare, rare.count())
@@ -121,8 +126,8 @@ def find_contamination(
     """One row per document: its words, those inside any test window, and the items whose windows it holds.
 
     Null and empty texts have no words. An item without words has no window. Rows that repeat are answered
-    each; rows with one id and different texts are told apart. Columns: ``id_col``, n_words, n_hit, n_items,
-    items_sha256 (item ids sorted as text, joined by commas), contaminated; with ``slack`` also n_near, the
+    each; rows with one id and different texts are told apart, items too. Columns: ``id_col``, n_words, n_hit,
+    n_items (a null id counts as one), items_sha256 (item ids sorted as text, joined by commas), contaminated; with ``slack`` also n_near, the
     windows whose rare words stand within that many words of their order in the window.
     """
     rows = docs.select(
@@ -153,7 +158,9 @@ def find_contamination(
     ).alias("n_hit"))
     phrases = exact.select("row", F.explode(F.array_distinct(F.col("found.phrase"))).alias("phrase"))
     owners = phrases.join(windows.select("phrase", F.col("item_id").cast("string").alias("item_id")), "phrase").distinct()
-    owned = owners.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    owned = owners.groupBy("row").agg(
+        F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed")
+    )
     result = hits.join(owned, "row")
     if slack is not None:
         near = index.near(slack).groupBy("row").agg(F.count_distinct("phrase").alias("n_near"))
@@ -161,7 +168,7 @@ def find_contamination(
     zero = F.lit(0).cast("long")
     columns = [
         F.coalesce("n_hit", zero).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.size("items") + F.col("unnamed"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     ]

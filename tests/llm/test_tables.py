@@ -165,6 +165,17 @@ def test_near_matches(spark):
     assert {(r["doc_id"], r["contaminated"], r["n_near"] > 0) for r in got.collect()} >= {(0, False, True), (1, True, True), (2, False, False)}
 
 
+def test_items_with_one_id_or_none(spark):
+    a, b, c, d = (" ".join(WORDS[k : k + 6]) for k in (0, 10, 20, 30))
+    items = [(1, a), (1, b), (1, "nowhere to be found here"), (None, c), (None, d), (2, a), (None, a)]
+    texts = [a, f"{b} {c}", d, "clean text", f"{a} {b}"]
+    got = find_contamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), width=4)
+    want = [(0, 6, 3, "1,2", True), (1, 12, 2, "1", True), (2, 6, 1, "", True), (3, 0, 0, "", False), (4, 12, 3, "1,2", True)]
+    assert [(r["doc_id"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.orderBy("doc_id").collect()] == [
+        (i, n, k, hashlib.sha256(ids.encode()).hexdigest(), hit) for i, n, k, ids, hit in want
+    ]
+
+
 # --- nearest neighbours
 
 
