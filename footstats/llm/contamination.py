@@ -19,6 +19,8 @@ from footstats.llm.common import cut
 BROADCAST_ROWS = 200_000
 #: Rare words of a window whose lists are intersected.
 RARE_WORDS = 2
+#: A near match lacks at most one word of so many of its window.
+LACKING = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,11 +56,14 @@ class PositionalIndex:
     """``postings``: (row, place, word) of rare test words; ``rare``: (item, s, phrase, size, rank, at, word).
 
     ``at`` is the place of a window's rare word in its item, so that windows which overlap share their lists.
+    ``docs``: (row, words), and ``ranked``, all words of all windows, serve near matches.
     """
 
     postings: DataFrame
     rare: DataFrame
     rare_rows: int
+    docs: DataFrame
+    ranked: DataFrame
 
     def aligned(self) -> DataFrame:
         """(row, item, shift, at): postings moved back to where their item would begin."""
@@ -79,31 +84,65 @@ class PositionalIndex:
         return whole.select("row", "w.phrase", (F.col("shift") + F.col("w.s")).alias("start"), "w.size").where("start >= 0").distinct()
 
     def near(self, slack: int) -> DataFrame:
-        """(row, phrase, start): places of a window's rarest word with all its other rare words within ``slack``.
+        """(row, phrase, start): windows with all but a fifth of their words within ``slack`` of their places.
 
-        The rarest word's places are dealt to the stretches of ``slack + 1`` places around them, the others
-        lie in one: a range join without comparing all pairs of a document.
+        Windows of up to four words lack none. ``start`` is the first place from which the window's words are
+        found so. Of the ``misses + 2`` rarest words of a window two must stand near each other wherever it is
+        found, words that no document holds being among the rarest: only such places are compared whole.
         """
-        step = slack + 1
-        n = self.rare.groupBy("item", "s").agg(F.count("*").alias("n"))
-        owned = self.rare.select("item", "at", "s", "phrase", "rank").join(n, ["item", "s"])
-        lists = self.aligned().join(checked(owned, self.rare_rows), ["item", "at"]).withColumn("cell", F.floor(F.col("shift") / step))
-        first = lists.where("rank = 1").select(
-            "row", "item", "s", "phrase", "n", F.col("shift").alias("to"),
-            F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)])).alias("cell"),
+        whole = Window.partitionBy("item", "s")
+        listed = self.ranked.withColumn("misses", F.floor(F.col("size") / LACKING).cast("int")).withColumn(
+            "absent", F.sum(F.col("times").isNull().cast("int")).over(whole)
+        ).where("absent <= misses AND rank <= misses + 2 AND times IS NOT NULL").withColumn(
+            "least", F.least(F.col("size"), F.col("misses") + 2) - F.col("misses")
         )
-        found = first.join(lists.select("row", "item", "s", "cell", "rank", "shift"), ["row", "item", "s", "cell"])
-        found = found.where(F.abs(F.col("shift") - F.col("to")) <= slack)
-        return found.groupBy("row", "phrase", "item", "s", "to", "n").agg(F.count_distinct("rank").alias("found")).where(
-            "found = n"
-        ).select("row", "phrase", (F.col("to") + F.col("s")).alias("start")).distinct()
+        listed = cut(listed.select("item", "s", "phrase", "size", "misses", "least", "at", "word"))
+        rows = listed.count()
+        anchors = listed.groupBy("item", "at", "word").agg((F.min("least") == 1).alias("alone"))
+        words = listed.select("word").distinct()
+        # Dealt by row, so that nothing is dealt again once a place belongs to many items.
+        places = self.docs.select("row", F.posexplode("words").alias("place", "word"))
+        places = places.join(checked(words, rows), "word", "left_semi").repartition("row")
+        lists = places.join(checked(anchors, rows), "word").select("row", "item", (F.col("place") - F.col("at")).alias("shift"), "at", "alone")
+        order = Window.partitionBy("row", "item").orderBy("shift", "at")
+        gaps = [F.col("shift") - F.lag("shift").over(order), F.lead("shift").over(order) - F.col("shift")]
+        lists = lists.withColumn("gap", F.least(*gaps)).where(F.col("alone") | (F.col("gap") <= 2 * slack))
+        # A cell is a stretch of places where an item may begin; it holds what stands within ``slack`` of them.
+        step = 2 * slack + 1
+        cells = F.sequence(F.floor((F.col("shift") - slack) / step), F.floor((F.col("shift") + slack) / step))
+        met = lists.select("row", "item", "at", F.explode(cells).alias("cell")).groupBy("row", "item", "cell").agg(F.collect_set("at").alias("met"))
+        each = listed.groupBy("item", "s", "phrase", "size", "misses", "least").agg(F.collect_set("at").alias("needed"))
+        each = each.groupBy("item").agg(F.collect_list(F.struct("s", "phrase", "size", "misses", "least", "needed")).alias("windows"))
+        fits = F.filter("windows", lambda w: F.size(F.array_intersect(w["needed"], F.col("met"))) >= w["least"])
+        found = met.join(checked(each, rows), "item").select("row", "cell", F.explode(fits).alias("w")).select(
+            "row", (F.col("cell") * step + F.col("w.s")).cast("int").alias("first"), "w.phrase", "w.size", "w.misses"
+        )
+        found = found.groupBy("row").agg(F.collect_set(F.struct("first", "phrase", "size", "misses")).alias("found"))
+        phrases = self.ranked.select("phrase", "offset", "word").distinct().groupBy("phrase").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("offset", "word"))), lambda x: x["word"]).alias("wanted")
+        )
+        placed = self.docs.join(found, "row").select("row", "words", F.explode("found").alias("c")).select("row", "words", "c.*")
+
+        def stands(start: Column, i: Column) -> Column:
+            low = F.greatest(start + i - slack, F.lit(0))
+            around = F.slice("words", low + 1, F.greatest(start + i + slack + 1 - low, F.lit(0)))
+            return F.array_contains(around, F.element_at("wanted", i + 1))
+
+        def enough(start: Column) -> Column:
+            places = F.sequence(F.lit(0), F.col("size") - 1)
+            return F.size(F.filter(places, lambda i: stands(start, i))) >= F.col("size") - F.col("misses")
+
+        starts = F.filter(F.sequence(F.col("first"), F.col("first") + step - 1), enough)
+        return placed.join(checked(phrases, rows), "phrase").select("row", "phrase", F.array_min(starts).alias("start")).where(
+            "start IS NOT NULL"
+        ).groupBy("row", "phrase").agg(F.min("start").alias("start"))
 
 
 def build_index(docs: DataFrame, windows: DataFrame, rare_words: int = RARE_WORDS) -> PositionalIndex:
     """Index of ``docs`` (row, words) for the rarest words of ``windows`` (item, s, phrase, words).
 
     All documents are counted for all words of the windows; windows with a word that no document holds
-    cannot occur and leave. Then the places of each window's ``rare_words`` rarest words are stored.
+    cannot occur and leave, but for near matches. Then the places of each window's ``rare_words`` rarest words are stored.
     """
     windows = windows.select("item", "s", "phrase", "words").distinct()
     terms = cut(windows.select("item", "s", "phrase", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word")))
@@ -111,12 +150,14 @@ def build_index(docs: DataFrame, windows: DataFrame, rare_words: int = RARE_WORD
     counts = docs.select(F.explode("words").alias("word")).join(checked(known, known.count()), "word", "left_semi")
     counts = cut(counts.groupBy("word").agg(F.count("*").alias("times")))
     one = Window.partitionBy("item", "s")
-    ranked = terms.join(counts, "word", "left").withColumn("absent", F.max(F.col("times").isNull()).over(one)).where("NOT absent")
-    ranked = ranked.withColumn("rank", F.row_number().over(one.orderBy("times", "offset"))).where(F.col("rank") <= rare_words)
-    rare = cut(ranked.select("item", "s", "phrase", "size", "rank", (F.col("s") + F.col("offset")).alias("at"), "word"))
+    ranked = terms.join(counts, "word", "left").withColumn("at", F.col("s") + F.col("offset"))
+    ranked = cut(ranked.withColumn("rank", F.row_number().over(one.orderBy(F.coalesce("times", F.lit(0)), "offset"))))
+    rare = ranked.withColumn("absent", F.max(F.col("times").isNull()).over(one)).where("NOT absent").where(F.col("rank") <= rare_words)
+    rare = cut(rare.select("item", "s", "phrase", "size", "rank", "at", "word"))
     wanted = rare.select("word").distinct()
     places = docs.select("row", F.posexplode("words").alias("place", "word"))
-    return PositionalIndex(cut(places.join(checked(wanted, wanted.count()), "word", "left_semi")), rare, rare.count())
+    postings = cut(places.join(checked(wanted, wanted.count()), "word", "left_semi"))
+    return PositionalIndex(postings, rare, rare.count(), docs, ranked)
 
 
 def find_contamination(
@@ -128,7 +169,7 @@ def find_contamination(
     Null and empty texts have no words. An item without words has no window. Rows that repeat are answered
     each; rows with one id and different texts are told apart, items too. Columns: ``id_col``, n_words, n_hit,
     n_items (a null id counts as one), items_sha256 (item ids sorted as text, joined by commas), contaminated; with ``slack`` also n_near, the
-    windows whose rare words stand within that many words of their order in the window.
+    windows that stand there with all but a fifth of their words within that many words of their places.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")

@@ -81,6 +81,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near matches; apart from ``op10_decontamination``, whose SQL twin has exactly its columns."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=2)
+
+
 QUERIES = {
     "op1_edited_tokens": op1_edited_tokens,
     "op2_language_id": op2_language_id,
@@ -92,6 +97,7 @@ QUERIES = {
     "op8_lattice_score": op8_lattice_score,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op10_near_passages": op10_near_passages,
 }
 
 ORACLES: dict[str, str] = {

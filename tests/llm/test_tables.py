@@ -176,6 +176,36 @@ def test_items_with_one_id_or_none(spark):
     ]
 
 
+def plain_near(texts, items, width, slack):
+    windows = {tuple(w[i : i + width]) for _, t in items if (w := t.split()) for i in range(max(1, len(w) - width + 1))}
+    out = []
+    for i, t in enumerate(texts):
+        w, near = t.split(), 0
+        for window in windows:
+            n = len(window)
+            near += any(
+                sum(window[k] in w[max(p + k - slack, 0) : max(p + k + slack + 1, 0)] for k in range(n)) >= n - n // 5
+                for p in range(-n - slack, len(w) + slack)
+            )
+        out.append((i, near))
+    return out
+
+
+def test_near_passages_match_brute_force(spark):
+    pick = random.Random(12)
+    items = [(i, " ".join(pick.choices(WORDS[:70], k=pick.choice([1, 3, 6, 25])))) for i in range(12)]
+    items += [(20, " ".join(WORDS[70:80] + ["nowhere"] + WORDS[80:95]))]
+    texts = [" ".join(pick.choices(WORDS[:70], k=40)) for _ in range(10)] + [" ".join(WORDS[70:80] + WORDS[80:95])]
+    for _, t in items:
+        w = t.split()
+        texts.append(" ".join("other" if k % 5 == 2 else x for k, x in enumerate(w)))
+        texts.append("start " + " ".join(f"{x} more" if k % 4 == 1 else x for k, x in enumerate(w)))
+    got = find_contamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), slack=2)
+    rows = [(r["doc_id"], r["n_near"]) for r in got.orderBy("doc_id").collect()]
+    assert rows == plain_near(texts, items, 10, 2)
+    assert rows[10][1] > 0 and rows[-1][1] > 0 and rows[-2][1] > 0
+
+
 # --- nearest neighbours
 
 
