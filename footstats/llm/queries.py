@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footstats.llm.common import remainder, table, tokenizer_path
-from footstats.llm import contamination, jaccard, nearest
+from footstats.llm import bitslices, contamination, jaccard, mining, nearest, prefix_trie
+from footstats.llm.bitslices import top_products
 from footstats.llm.contamination import find_contamination
 from footstats.llm.jaccard import similarity_classes
 from footstats.llm.language import identify_languages, learn_languages
 from footstats.llm.lattice import score_documents
 from footstats.llm.licenses import scan_licenses
+from footstats.llm.mining import mine_negatives
 from footstats.llm.nearest import nearest_neighbours
 from footstats.llm.packing import pack_documents
 from footstats.llm.personal import BASE_KINDS, digest, find_personal
+from footstats.llm.prefix_trie import conversation_trie
 from footstats.llm.tokens import count_edited_tokens, editorial_edits
 from footstats.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -86,6 +89,19 @@ def op10_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def op12_bitsliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_edited_tokens": op1_edited_tokens,
     "op2_language_id": op2_language_id,
@@ -98,10 +114,16 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
     "op10_near_passages": op10_near_passages,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_bitsliced_search": op12_bitsliced_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op7_vantage_search": nearest.ORACLE_SQL,
     "op9_jaccard_join": jaccard.ORACLE_SQL,
     "op10_decontamination": contamination.ORACLE_SQL,
+    "op11_hard_negatives": mining.ORACLE_SQL,
+    "op12_bitsliced_search": bitslices.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
