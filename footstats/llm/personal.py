@@ -4,20 +4,17 @@ Certain kinds (e-mail, IP address, card, phone) follow fixed patterns and are al
 broad patterns propose candidates (secrets, local phone numbers, national and bank numbers). Regex, gazetteer
 and context labelers vote for or against each candidate or abstain. Expectation-maximisation over the counts
 of vote patterns estimates how often each labeler votes how for personal and for other spans; a logistic
-regression trained on its posteriors is the final classifier. All of it runs on DataFrame functions; what is
-iterated is the table of vote patterns, whose size is bounded by the number of kinds and labelers.
+regression trained on its posteriors is the final classifier. Proposing, voting, counting and classifying run on
+DataFrame functions; what the driver iterates is the table of vote patterns, whose size is bounded by the number of
+kinds and labelers.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from footstats.llm.common import cut
+from pyspark.sql import types as T
 
 #: Kinds with fixed patterns, in the order of the output, and kinds that the classifier may add.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -126,59 +123,73 @@ def candidate_spans(text: Column, base: Column) -> Column:
     return F.transform(free, voted)
 
 
+def _posteriors(votes: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, dict]:
+    """(posterior of being personal for each vote pattern, estimated rates) from ``votes`` [patterns, labelers] and counts."""
+    total = votes.sum(axis=1)
+    p = np.where(total > 0, 0.85, np.where(total < 0, 0.15, 0.5))
+    rates: dict = {}
+    for _ in range(rounds):
+        yes, no = (n * p).sum(), (n * (1 - p)).sum()
+        up, down = np.log((yes + 1) / (yes + no + 2)), np.log((no + 1) / (yes + no + 2))
+        up, down = np.full(len(n), up), np.full(len(n), down)
+        for i, x in enumerate(LABELERS):
+            for v in (-1, 0, 1):
+                here = votes[:, i] == v
+                rates[x, v] = (float(((n * p)[here].sum() + 1) / (yes + 3)), float(((n * (1 - p))[here].sum() + 1) / (no + 3)))
+                up, down = up + here * np.log(rates[x, v][0]), down + here * np.log(rates[x, v][1])
+        p = 1 / (1 + np.exp(np.clip(down - up, -700, 700)))
+    return p, rates
+
+
 def estimate_reliability(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
     """(patterns with ``p``, the posterior of being personal; the estimated rates) from counts ``n`` of vote patterns.
 
-    ``patterns``: kind, one column for each labeler (-1, 0, 1), n. Starts from the sum of votes. Each round is
-    one aggregation to a single row; rates are smoothed by one count, so that no vote is ever certain.
+    ``patterns``: kind, one column for each labeler (-1, 0, 1), n. Starts from the sum of votes; rates are smoothed by one
+    count, so that no vote is ever certain. There are at most kinds x 3 ** labelers patterns (972): they are brought
+    to the driver once and iterated there.
     """
-    total = reduce(lambda a, b: a + b, [F.col(x) for x in LABELERS])
-    p: Column = F.when(total > 0, 0.85).when(total < 0, 0.15).otherwise(0.5)
-    rates: dict = {}
-    for _ in range(rounds):
-        sums = [F.sum(F.col("n") * p).alias("yes"), F.sum(F.col("n") * (1 - p)).alias("no")]
-        for x in LABELERS:
-            for v in (-1, 0, 1):
-                here = F.col("n") * (F.col(x) == v).cast("double")
-                sums += [F.sum(here * p).alias(f"yes_{x}_{v}"), F.sum(here * (1 - p)).alias(f"no_{x}_{v}")]
-        row = patterns.agg(*sums).first()
-        if row["yes"] is None:
-            return patterns.withColumn("p", F.lit(0.0)), rates
-        prior = (row["yes"] + 1) / (row["yes"] + row["no"] + 2)
-        rates = {
-            (x, v): ((row[f"yes_{x}_{v}"] + 1) / (row["yes"] + 3), (row[f"no_{x}_{v}"] + 1) / (row["no"] + 3))
-            for x in LABELERS for v in (-1, 0, 1)
-        }
-        yes, no = F.lit(prior), F.lit(1 - prior)
-        for x in LABELERS:
-            yes = yes * F.when(F.col(x) == 1, rates[x, 1][0]).when(F.col(x) == 0, rates[x, 0][0]).otherwise(rates[x, -1][0])
-            no = no * F.when(F.col(x) == 1, rates[x, 1][1]).when(F.col(x) == 0, rates[x, 0][1]).otherwise(rates[x, -1][1])
-        p = yes / (yes + no)
-    return patterns.withColumn("p", p), rates
-
-
-def train_classifier(posteriors: DataFrame) -> tuple[float, dict[str, float]] | None:
-    """(constant, weight by labeler and added kind) of a logistic regression on posteriors; None without rows."""
-    kinds = [F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"kind_{k}") for k in ADDED_KINDS]
-    rows = posteriors.select(*LABELERS, *kinds, F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("p")).alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("p"))).alias("weight")),
-    )).alias("x")).select("*", "x.label", "x.weight").where("weight > 0")
-    if rows.isEmpty():
+    rows = patterns.collect()
+    if not rows:
+        return patterns.withColumn("p", F.lit(0.0)), {}
+    votes = np.array([[r[x] for x in LABELERS] for r in rows])
+    p, rates = _posteriors(votes, np.array([float(r["n"]) for r in rows]), rounds)
+    schema = T.StructType([*patterns.schema.fields, T.StructField("p", T.DoubleType())])
+    return patterns.sparkSession.createDataFrame([(*r, float(x)) for r, x in zip(rows, p)], schema), rates
+
+
+def _logistic(x: np.ndarray, p: np.ndarray, n: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
+    """Weights, the constant last, of a ridge-penalised logistic regression on targets ``p`` with weights ``n`` (Newton steps)."""
+    x = np.column_stack([x, np.ones(len(x))])
+    n = n / n.sum()
+    ridge = np.diag([*[penalty] * (x.shape[1] - 1), 1e-9])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (n * q * (1 - q))) @ x + ridge, x.T @ (n * (p - q)) - ridge @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def train_classifier(patterns: list, rounds: int = ROUNDS) -> tuple[float, dict[str, float]] | None:
+    """(constant, weight by labeler and added kind) of a logistic regression on the posteriors of counted vote patterns; None without any."""
+    if not patterns:
         return None
-    names = [*LABELERS, *[f"kind_{k}" for k in ADDED_KINDS]]
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    fit = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50, standardization=False).fit(ready)
-    return float(fit.intercept), dict(zip(names, map(float, fit.coefficients)))
+    # In one order: sums of floating point depend on it.
+    patterns = sorted(patterns, key=lambda r: (r["kind"], *[r[x] for x in LABELERS]))
+    votes, n = np.array([[r[x] for x in LABELERS] for r in patterns], float), np.array([float(r["n"]) for r in patterns])
+    p, _ = _posteriors(votes, n, rounds)
+    kinds = np.array([[float(r["kind"] == k) for k in ADDED_KINDS] for r in patterns])
+    *weights, constant = _logistic(np.column_stack([votes, kinds]), p, n).tolist()
+    return constant, dict(zip([*LABELERS, *[f"kind_{k}" for k in ADDED_KINDS]], weights))
 
 
 def learn_personal(docs: DataFrame, text_col: str = "text") -> tuple[float, dict[str, float]] | None:
     """The classifier's (constant, weights) from the votes on all candidates of all texts; None without candidates."""
     based = docs.select(F.coalesce(text_col, F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
     votes = based.select(F.explode(candidate_spans(F.col("text"), F.col("base"))).alias("c")).select("c.kind", *[f"c.{x}" for x in LABELERS])
-    patterns = cut(votes.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")))
-    posteriors, _ = estimate_reliability(patterns)
-    return train_classifier(cut(posteriors))
+    return train_classifier(votes.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect())
 
 
 def with_spans(
