@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_rows(rows: DataFrame, run, schema: str, id_col: str = "doc_id") -> DataFrame:
+    """``rows.mapInPandas(run, "<id_col> ..., " + schema)`` with the id in its own type.
+
+    On the way through pandas the id is text: integers beside a null would turn into floating point there.
+    """
+    kind = rows.schema[id_col].dataType
+    made = rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"{id_col} string, {schema}")
+    return made.withColumn(id_col, F.col(id_col).cast(kind))
+
+
 def remainder(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``: the mark that splits rows into learned and held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footstats.llm.common import cut
+from footstats.llm.common import cut, map_rows
 
 #: Rows of a column block up to which its pairs are listed, and rows of a tile.
 PAIR_ROWS, TILE_ROWS = 128, 512
@@ -158,19 +158,19 @@ def tile_links(ids: np.ndarray, values: list[np.ndarray], tile: np.ndarray, same
     return out
 
 
-def similarity_classes(
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """64-bit hash of id and text: tells rows apart where ids are null or repeated."""
+    return F.xxhash64(id_col, text_col)
+
+
+def similar_rows(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: ``n_shingles`` and ``component_id``, the smallest id that links reach.
+) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, key, n, set_id) of each row, (set_id, doc_id, root) of each set): rows link as ``similarity_classes`` says.
 
-    Two documents link when the overlap of their sets of ``width``-word shingles is at least ``percent``
-    hundredths of the union. Words lie between ASCII white space, A-Z in lower case; fewer words than
-    ``width`` are one shingle. Null, empty or blank text: no shingle, linked with nothing, its own class.
-    Repeated rows stand in one class; rows with one id but other texts are told apart. Shingles and sets are
-    told by 64-bit hashes. Other columns aren't read.
+    ``key`` is the ``row_key``, ``n`` the size of the row's set, ``root`` names the class; rows without shingles have no set.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     late = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
 
     def outline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,14 +190,14 @@ def similarity_classes(
                     s = np.concatenate([s[~common], s[common]])
                 leads.append(_signed(s[: prefix_length(len(s), percent)]))
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n": sizes, "set_id": pd.array(sets, "Int64"), "lead": pd.Series(leads, dtype=object),
+                "doc_id": batch["doc_id"], "key": batch["key"], "n": sizes, "set_id": pd.array(sets, "Int64"), "lead": pd.Series(leads, dtype=object),
             })
 
-    outlined = cut(rows.mapInPandas(outline, f"doc_id {kind}, n int, set_id long, lead array<long>"))
-    sets = cut(outlined.where("set_id IS NOT NULL").groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id")))
+    outlined = cut(map_rows(rows, outline, "key long, n int, set_id long, lead array<long>"))
+    sets = cut(outlined.where("set_id IS NOT NULL").groupBy("set_id", "n").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")))
 
     # Column blocks of the leading shingles, over one row for each set.
-    entries = outlined.join(sets.select("set_id", "doc_id"), ["set_id", "doc_id"], "left_semi").select(
+    entries = outlined.join(sets.select("set_id", "key"), ["set_id", "key"], "left_semi").select(
         "set_id", "n", F.explode("lead").alias("s")
     )
     blocks = entries.groupBy("s").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -225,10 +225,10 @@ def similarity_classes(
     )
 
     # Texts of the rows that are left go to the pairs of tiles they are part of; whole sets are made there.
-    members = cut(sets.join(members, "set_id").select("doc_id", "root", "tiles", "tile"))
+    members = cut(sets.join(members, "set_id").select("key", "root", "tiles", "tile"))
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
-    dealt = rows.join(members, "doc_id").select(
+    dealt = rows.join(members, "key").dropDuplicates(["key"]).select(
         "text", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     ).select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "text")
 
@@ -244,9 +244,25 @@ def similarity_classes(
     named = sets.join(linked, sets["set_id"] == linked["node"], "left").select(
         "set_id", "doc_id", F.coalesce("root", "set_id").alias("root")
     )
+    return outlined.select("doc_id", "key", "n", "set_id"), named
+
+
+def similarity_classes(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: ``n_shingles`` and ``component_id``, the smallest id that links reach.
+
+    Two documents link when the overlap of their sets of ``width``-word shingles is at least ``percent``
+    hundredths of the union. Words lie between ASCII white space, A-Z in lower case; fewer words than
+    ``width`` are one shingle. Null, empty or blank text: no shingle, linked with nothing, its own class.
+    Repeated rows stand in one class; rows with one id but other texts are told apart, also where that id is null:
+    null ids link like others, and only a class of null ids alone has a null ``component_id``. Shingles, sets and
+    rows are told by 64-bit hashes. An empty table has no rows. Other columns aren't read.
+    """
+    outlined, named = similar_rows(docs, width, percent, id_col, text_col)
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = named.select("set_id", "root").join(smallest, "root").select("set_id", "component_id")
-    return outlined.select("doc_id", "n", "set_id").join(classes, "set_id", "left").select(
+    return outlined.join(classes, "set_id", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )

@@ -17,14 +17,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footstats.llm.common import map_rows
+
 ORDER = 4
 #: Bound of the labelled sample: rows for each language, taken by the hash of their id.
 SAMPLE_ROWS = 3000
-#: Bound of a model: its most frequent n-grams of the full order, for each language.
-MAX_GRAMS = 200_000
 #: Words (in number) that a task remembers with their scores, and their longest length.
 MEMO_WORDS, MEMO_LENGTH = 300_000, 64
 #: Words of the texts that are scored together; characters of the words that are looked up together.
@@ -41,7 +41,11 @@ _SHIFT = np.uint64(21)  # bits of a code point
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Number signs such as the squared or the half are word characters, too, but no letters.
+    return [w for word in found for w in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def batches_of(words: list[str]) -> Iterator[list[str]]:
@@ -247,7 +251,7 @@ def learn_languages(
 
     At most ``sample_rows`` rows of each language are used, those with the smallest hash of their id; one in
     five of them only calibrates. The counting is a Spark job; the driver receives the n-grams of the bounded
-    sample, at most ``MAX_GRAMS`` for each language.
+    sample, each once with its count: all of them, as the discounts rest on the rare ones.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
@@ -278,19 +282,17 @@ def learn_languages(
 
     counts = (
         sample.where("NOT part").select("lang", "text").mapInPandas(count, "lang string, gram array<int>, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-        .where(F.col("place") <= MAX_GRAMS).drop("place").toPandas()
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     )
     known = sorted(counts["lang"].unique())
     if not known:
         return Models([], np.zeros(0), [], [])
-    parts = [kneser_ney(np.array(g["gram"].tolist(), np.uint32), g["n"].to_numpy()) for _, g in counts.sort_values("lang").groupby("lang")]
+    parts = [kneser_ney(np.array(g["gram"].tolist(), np.uint32), g["n"].to_numpy()) for _, g in counts.groupby("lang", sort=True)]
     models = merged(known, parts)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(models))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = WordScores(shared.value)
+        scores = WordScores(received(shared.value))
         for batch in batches:
             out = [(lang, *x) for lang, x in zip(batch["lang"], scores.entropies(batch["text"])) if x]
             yield pd.DataFrame(out, columns=["lang", "bits", "n"])
@@ -300,17 +302,24 @@ def learn_languages(
     return models
 
 
+def received(fields: dict) -> Models:
+    """Models from what was broadcast: plain values, as a worker may be unable to import this package."""
+    models = Models.__new__(Models)
+    vars(models).update(fields)
+    return models
+
+
 def identify_languages(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``lang_pred``, ``score`` (0 to 1), ``bits`` (per character) and ``accepted``.
 
     Text that is null or has no letter: ``und``, score 0, not accepted. Equal entropies: the language that
     sorts first. Nothing but the text decides; repeated rows are scored alike, other columns aren't read.
-    A map over rows with the models (bounded by ``MAX_GRAMS``) broadcast.
+    A map over rows with the models (bounded by the labelled sample) broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(models))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known = received(shared.value)
         scores = WordScores(known)
         for batch in batches:
             out = []
@@ -327,19 +336,18 @@ def identify_languages(docs: DataFrame, models: Models, id_col: str = "doc_id",
             yield made
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInPandas(
-        predict, f"doc_id {kind}, lang_pred string, score double, bits double, accepted boolean"
+    return map_rows(
+        narrow, predict, "lang_pred string, score double, bits double, accepted boolean"
     ).withColumnRenamed("doc_id", id_col)
 
 
 def is_accepted(models: Models, spark: SparkSession):
     """A column function: whether a text is in one of the known languages, for filters that keep all columns."""
-    shared = spark.sparkContext.broadcast(models)
+    shared = spark.sparkContext.broadcast(vars(models))
 
     @F.pandas_udf("boolean")
     def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
+        known = received(shared.value)
         scores = WordScores(known)
         for batch in texts:
             yield pd.Series([

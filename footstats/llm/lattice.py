@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footstats.llm.common import cut
+from footstats.llm.common import cut, map_rows
 
 #: Words that are broadcast with their counts, and words that a task counts before it hands them on.
 HOT_WORDS, PARTIAL_WORDS = 100_000, 200_000
@@ -237,13 +237,13 @@ def score_documents(
                     n += times
                     got = known.get(word)
                     if got is None:
-                        rest.append((row, doc_id, word.decode("utf-8", "replace"), times, 0, 0, 0.0, 0.0))
+                        rest.append((doc_id, row, word.decode("utf-8", "replace"), times, 0, 0, 0.0, 0.0))
                     else:
                         base += times * got[0]
                         lp += times * got[1]
                         n_known += times * got[2]
                 # The document's own row joins nothing: no word holds a line end.
-                out.append((row, doc_id, f"\n{row}", 0, n, n_known, base, lp))
+                out.append((doc_id, row, f"\n{row}", 0, n, n_known, base, lp))
                 out += rest
                 row += 1
                 if len(out) > 50_000:
@@ -251,11 +251,10 @@ def score_documents(
                     out = []
             yield pd.DataFrame(out, columns=names, dtype=object)
 
-    names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "lp_hot"]
+    names = ["doc_id", "row", "word", "times", "n_tokens", "n_known", "base", "lp_hot"]
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    words = narrow.mapInPandas(
-        meet, f"row long, doc_id {kind}, word string, times long, n_tokens long, n_known long, base double, lp_hot double"
+    words = map_rows(
+        narrow, meet, "row long, word string, times long, n_tokens long, n_known long, base double, lp_hot double"
     )
     times, c = F.col("times"), F.coalesce("c", F.lit(0))
     return (

@@ -15,6 +15,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from footstats.llm.common import map_rows
+
 #: The base phrases and their labels.
 BASE_PHRASES = {
     "mit license": "mit",
@@ -22,21 +24,22 @@ BASE_PHRASES = {
     "general public license": "gpl",
 }
 
-#: Short notices in normal form (lower-case words, single spaces), their label and the edits allowed.
+#: Short notices in normal form (lower-case words, single spaces), their label, the edits allowed, and the words that tell the
+#: license from its neighbours: these stand as they are, edits lie around them only.
 NOTICES = [
-    ("mit", "released under the mit license", 3),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 7),
-    ("apache", "licensed under the apache license version 2 0", 4),
-    ("gpl", "licensed under the gnu general public license", 4),
-    ("lgpl", "licensed under the gnu lesser general public license", 4),
-    ("cc-by-nc", "licensed under cc by nc 4 0", 2),
-    ("cc-by", "licensed under a creative commons attribution", 4),
-    ("bsd", "redistribution and use in source and binary forms with or without modification", 7),
-    ("mpl", "subject to the terms of the mozilla public license", 4),
+    ("mit", "released under the mit license", 3, "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", 7, ""),
+    ("apache", "licensed under the apache license version 2 0", 4, "apache"),
+    ("gpl", "licensed under the gnu general public license", 4, "gnu general public"),
+    ("lgpl", "licensed under the gnu lesser general public license", 4, "lesser general public"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", 2, "cc by nc"),
+    ("cc-by", "licensed under a creative commons attribution", 4, "creative commons attribution"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", 7, ""),
+    ("mpl", "subject to the terms of the mozilla public license", 4, "mozilla"),
 ]
 
 SCHEMA = (
-    "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
+    "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
     "score double, matches array<struct<label:string,start:long,end:long,errors:int>>"
 )
 
@@ -50,6 +53,7 @@ class Notice:
     label: str
     phrase: bytes
     edits: int
+    fixed: bytes
     seeds: tuple[tuple[int, bytes], ...]
 
 
@@ -59,8 +63,20 @@ def split_seeds(phrase: bytes, edits: int) -> tuple[tuple[int, bytes], ...]:
     return tuple((a, phrase[a:b]) for a, b in zip(cuts, cuts[1:]))
 
 
-def prepared(notices: list[tuple[str, str, int]]) -> list[Notice]:
-    return [Notice(label, p.encode(), k, split_seeds(p.encode(), k)) for label, p, k in notices]
+def prepared(notices: list[tuple]) -> list[Notice]:
+    """Notices of (label, phrase, edits) or (label, phrase, edits, words that must stand as they are)."""
+    return [Notice(label, p.encode(), k, (fixed or [""])[0].encode(), split_seeds(p.encode(), k)) for label, p, k, *fixed in notices]
+
+
+def edited_pattern(notice: Notice):
+    """Pattern of the phrase with bounded edits; its fixed words, and the blanks beside them, are taken literally."""
+    if not notice.fixed:
+        return regex.compile(b"(?:" + regex.escape(notice.phrase) + b"){e<=%d}" % notice.edits, regex.ENHANCEMATCH)
+    at = notice.phrase.index(notice.fixed)
+    before, after = notice.phrase[:at], notice.phrase[at + len(notice.fixed) :]
+    around = [b"(?:" + regex.escape(x.strip(b" ")) + b"){e<=%d}" % notice.edits if x else b"" for x in (before, after)]
+    fixed = (b" " if before else b"(?<![^ ])") + regex.escape(notice.fixed) + (b" " if after else b"(?![^ ])")
+    return regex.compile(around[0] + fixed + around[1], regex.ENHANCEMATCH)
 
 
 def normal_form(text: str | None) -> bytes:
@@ -91,6 +107,8 @@ def fuzzy_matches(line: bytes, notice: Notice, pattern) -> list[tuple[int, int,
     out = []
     for a, b in windows(line, notice):
         for m in pattern.finditer(line, a, b):
+            if sum(m.fuzzy_counts) > notice.edits:
+                continue  # the parts around fixed words share the bound
             start = line.count(b" ", 0, m.start() + 1) - 1
             end = line.count(b" ", 0, m.end()) - line.endswith(b" ", m.start(), m.end())
             out.append((start, max(end, start + 1), sum(m.fuzzy_counts)))
@@ -98,7 +116,7 @@ def fuzzy_matches(line: bytes, notice: Notice, pattern) -> list[tuple[int, int,
 
 
 def scan_licenses(
-    docs: DataFrame, notices: list[tuple[str, str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, notices: list[tuple] | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: base places of license phrases, labels with fuzzy notices, and the spans found.
 
@@ -112,7 +130,7 @@ def scan_licenses(
     base = [(f" {p} ".encode(), label) for p, label in BASE_PHRASES.items()]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [(n, regex.compile(b"(?:" + regex.escape(n.phrase) + b"){e<=%d}" % n.edits, regex.ENHANCEMATCH)) for n in wanted]
+        patterns = [(n, edited_pattern(n)) for n in wanted]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -140,5 +158,4 @@ def scan_licenses(
             yield out
 
     narrow = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    schema = SCHEMA.replace("doc_id long", f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}", 1)
-    return narrow.mapInPandas(scan, schema).withColumnRenamed("doc_id", id_col)
+    return map_rows(narrow, scan, SCHEMA).withColumnRenamed("doc_id", id_col)

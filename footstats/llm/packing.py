@@ -22,8 +22,10 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from footstats.llm.common import map_rows
+
 SCHEMA = (
-    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 #: Distinct words and word cores whose ids a task remembers.
 MEMO_WORDS = 400_000
@@ -169,4 +171,4 @@ def pack_documents(
                     sequence = []
         yield table()
 
-    return narrow.mapInPandas(pack, SCHEMA).withColumnRenamed("doc_id", id_col)
+    return map_rows(narrow, pack, SCHEMA).withColumnRenamed("doc_id", id_col)

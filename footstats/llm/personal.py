@@ -29,7 +29,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Broad patterns of candidates: bank number; local phone; national number; secret.
 _CANDIDATE = (
     r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"
-    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[A-Za-z]{2,8}[_-])?[A-Za-z0-9]{16,64})(?![A-Za-z0-9])"
+    r"|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[A-Za-z]{2,8}[_-])?[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])"
 )
 #: Gazetteer: words that name personal data where they stand right before it.
 NAMES = (

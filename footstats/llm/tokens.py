@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footstats.llm.common import map_rows
+
 #: Fixed value: how the vocabulary's tokenizer splits a text before it merges bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that a split looks beyond a pre-token's end (white space before a word, "'l" before an "l").
@@ -153,7 +155,6 @@ def count_edited_tokens(
     A map over rows: a document's tree lives in one row's task only.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = token_counter(ranks_file)
@@ -169,8 +170,8 @@ def count_edited_tokens(
                 out.append((doc_id, before, tree.total, tree.pretokens, n, tree.encoded - encoded, len(tree.text)))
             yield pd.DataFrame(out, columns=["doc_id", "tokens_before", "tokens_after", "pretokens", "n_edits", "reencoded", "n_chars"])
 
-    return narrow.mapInPandas(
-        run, f"doc_id {kind}, tokens_before long, tokens_after long, pretokens long, n_edits long, reencoded long, n_chars long"
+    return map_rows(
+        narrow, run, "tokens_before long, tokens_after long, pretokens long, n_edits long, reencoded long, n_chars long"
     ).withColumnRenamed("doc_id", id_col)
 
 

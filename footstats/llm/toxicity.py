@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footstats.llm.common import cut
+from footstats.llm.common import cut, map_rows
 
 #: Bound of the labelled sample: rows of each label, taken by the hash of their id; their texts are read whole.
 SAMPLE_ROWS = 6000
@@ -183,7 +183,8 @@ def learn_toxicity(
     """Dictionaries and calibration from the labelled rows that ``learn`` (over the id) marks.
 
     At most ``sample_rows`` ids of each label are used, those with the smallest hash, with their whole texts;
-    one in three calibrates and trains no dictionary. An id with both labels counts as toxic. None if either
+    one in three calibrates and trains no dictionary; of near copies among the others one trains, so that no sequence is peculiar
+    for its copies alone; of several texts of an id the least. An id with both labels counts as toxic. None if either
     label is missing. Sequences are counted and calibration texts scored in all tasks; each dictionary is then
     trained in one task from this bounded number of texts.
     """
@@ -197,7 +198,7 @@ def learn_toxicity(
         "id", "h", "text", "y", (F.pmod(F.shiftright("h", 20), F.lit(3)) == 0).alias("part")
     )
     # Written, as several steps read it and must see the same text of an id.
-    rows = cut(sample.where("NOT part").dropDuplicates(["id"]).select("id", "h", "text", "y"))
+    rows = cut(sample.where("NOT part").groupBy("id", "h", "y").agg(F.min("text").alias("text")))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -227,12 +228,13 @@ def learn_toxicity(
     parts = rows.mapInPandas(samples, f"id {kind}, y int, part binary")
     built = {r["y"]: bytes(r["content"]) for r in parts.groupBy("y").applyInPandas(build, "y int, content binary").collect()}
     model = ToxicityModel(built[0], built[1])
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair = shared.value.compressors()
+        known = ToxicityModel(**shared.value)
+        pair = known.compressors()
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "x": [shared.value.features(t, *pair) for t in batch["text"]]})
+            yield pd.DataFrame({"y": batch["y"], "x": [known.features(t, *pair) for t in batch["text"]]})
 
     got = sample.where("part").select("y", "text").mapInPandas(measure, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in got], float)
@@ -250,10 +252,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     (labels missing) every score is 0. Repeated rows get equal scores; other columns aren't read. A map over
     rows with two dictionaries of fixed size broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values, as a worker may be unable to import this package.
+    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known = shared.value and ToxicityModel(**shared.value)
         pair = known.compressors() if known else None
         for batch in batches:
             yield pd.DataFrame({
@@ -262,5 +265,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
             })
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInPandas(score, f"doc_id {kind}, score double").withColumnRenamed("doc_id", id_col)
+    return map_rows(narrow, score, "score double").withColumnRenamed("doc_id", id_col)

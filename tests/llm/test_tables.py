@@ -316,3 +316,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[email]" in personal[len(texts) - 1]["text"] and personal[len(texts) - 1]["n_chars"] == len(personal[len(texts) - 1]["text"])
     assert set(packed) == set(personal) == set(tests)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(now.collect())
+
+
+def test_rows_of_null_ids_link_like_others(spark):
+    base = WORDS[:40]
+    near = [*base[:20], "other", *base[20:]]
+    rows = [(7, " ".join(base)), (None, " ".join(near)), (None, " ".join(near)), (3, "quite another text of words"), (None, "a b c d e f g h"), (3, " ".join(base[:39]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similarity_classes(docs, width=3, percent=80).collect()
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got) == [
+        (-1, 6, -1), (-1, 39, 3), (-1, 39, 3), (3, 3, 3), (3, 37, 3), (7, 38, 3),
+    ]
+
+
+def test_near_copy_stage_keeps_rows_of_null_and_shared_ids(spark):
+    base = " ".join(WORDS[:60])
+    rows = [
+        (7, base), (None, base + " more"), (None, "a text that no other row holds at all"), (3, "one more of its own kind here"), (3, "and a different one that shares the id"),
+        (9, None), (10, ""), (11, " "), (5, base), (5, base), (None, "a text that no other row holds at all"),
+    ]
+    docs = spark.createDataFrame([(*r, None, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "-") for r in kept.collect()) == sorted([
+        (5, base), (-1, "a text that no other row holds at all"), (3, "one more of its own kind here"), (3, "and a different one that shares the id"),
+        (9, "-"), (10, "-"), (11, " "),
+    ])
+    assert corpus_pipeline.without_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_decontamination_stage_tells_rows_apart(spark, tmp_path):
+    item = " ".join(WORDS[40:56])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x {item}"), (None, "clean one"), (3, f"{item} y"), (3, "another clean one"), (4, None)]
+    docs = spark.createDataFrame([(*r, None, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_test_items(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == [(-1, "clean one"), (3, "another clean one"), (4, "")]
+    assert kept.columns == docs.columns

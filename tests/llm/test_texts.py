@@ -121,7 +121,7 @@ def test_seeds_find_all_that_a_full_search_finds():
     import regex
 
     pick = random.Random(3)
-    for label, phrase, k in NOTICES:
+    for label, phrase, k, *_ in NOTICES:
         notice = prepared([(label, phrase, k)])[0]
         assert b"".join(s for _, s in split_seeds(notice.phrase, k)) == notice.phrase
         pattern = regex.compile(b"(?:" + regex.escape(notice.phrase) + b"){e<=%d}" % k, regex.ENHANCEMATCH)
@@ -296,3 +296,60 @@ def test_reliability_of_labelers(spark):
 @pytest.mark.parametrize("function", [scan_licenses, find_personal])
 def test_empty_tables(spark, function):
     assert function(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+# --- neighbours, ids, letters and long secrets
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("released under the BSD license", ""), ("released under the GPL license", ""), ("released under the ISC license", ""),
+    ("released under the X11 license", ""), ("released under the permit license", ""), ("reelased undr the MIT license", "mit"),
+    ("released under the MIT licence", "mit"), ("licensed under CC BY-SA 4.0", ""), ("licensed under CC BY-ND 4.0", ""),
+    ("licenced under CC BY-NC 4.0", "cc-by-nc"), ("licensed under the GNU Affero General Public License", "gpl"),
+    ("licensed under the GNU Lesser General Public License", "gpl,lgpl"), ("licensed undr the GNU General Public Licence", "gpl"),
+    ("licensed undr the Apache Licence, Version 2.0", "apache"), ("subject to the terms of the Modzilla Public License", ""),
+    ("subject to terms of the Mozilla Public License", "mpl"),
+])
+def test_neighbour_licenses_are_told_apart(spark, text, labels):
+    assert scan_licenses(frame(spark, [text])).first()["labels"] == labels
+
+
+def test_ids_pass_unaltered_beside_null_ids(spark):
+    from footstats.llm.jaccard import similarity_classes
+    from footstats.llm.lattice import score_documents
+    from footstats.llm.tokens import count_edited_tokens
+
+    ids = [2**60 + 1, None, 2**60 + 3]
+    docs = spark.createDataFrame([(i, f"the words of a text {i}", "aa") for i in ids], "doc_id long, text string, lang string").coalesce(1)
+    none = F.array().cast("array<struct<start:int,end:int,new:string>>")
+    made = [
+        count_edited_tokens(docs.withColumn("edits", none), tokenizer_path("byte_bpe_50k.tiktoken")),
+        identify_languages(docs, learn_languages(docs, F.lit(True))), scan_licenses(docs), score_toxicity(docs, None), find_personal(docs),
+        pack_documents(docs, tokenizer_path("word_bpe_49k.json")), similarity_classes(docs),
+        score_documents(docs, F.lit(True), tokenizer_path("piece_bpe_32k.model"), rounds=0),
+    ]
+    for out in made:
+        assert {r["doc_id"] for r in out.collect()} == set(ids)
+    assert {r["component_id"] for r in made[6].collect()} == set(ids)
+
+
+def test_number_signs_are_no_letters(spark):
+    docs = frame(spark, ["² ½ ①", "Ⅷ ½", "a²b", "x"], ["aa", "aa", "aa", "aa"])
+    got = {r["doc_id"]: r["lang_pred"] for r in identify_languages(docs, learn_languages(docs, F.lit(True))).collect()}
+    assert got == {0: "und", 1: "und", 2: "aa", 3: "aa"}
+
+
+def test_language_models_of_and_for_empty_tables(spark):
+    none = frame(spark, ["x"], ["aa"]).limit(0)
+    models = learn_languages(none, F.lit(True))
+    assert identify_languages(none, models).count() == 0
+    assert identify_languages(frame(spark, ["x"]), models).first()["lang_pred"] == "und"
+
+
+def test_secrets_of_any_length_are_found(spark):
+    pick = random.Random(9)
+    keys = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (40, 64, 65, 66, 128, 3000)]
+    got = find_personal(frame(spark, [f"the secret token = {k} is here" for k in keys])).collect()
+    for r in got:
+        key = keys[r["doc_id"]]
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == [("secret", 19, 19 + len(key))]
