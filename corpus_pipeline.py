@@ -1,7 +1,8 @@
 """A training corpus from raw documents: each stage works on all its predecessor kept.
 
-A stage takes (spark, docs, sf_dir) and returns the documents it keeps; the last returns packed pieces. Rows
-without an id leave with the near copies, as they cannot be told apart; of rows with one id, one stays.
+A stage takes (spark, docs, sf_dir) and returns the documents it keeps; the last returns packed pieces. Rows are told
+apart by id and text, so rows with a null id, or with one id and other texts, are documents of their own. An empty table
+gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 from footstats.llm.common import cut, remainder, table, tokenizer_path
 from footstats.llm.contamination import find_contamination
-from footstats.llm.jaccard import similarity_classes
+from footstats.llm.jaccard import row_key, similar_rows
 from footstats.llm.language import is_accepted, learn_languages
 from footstats.llm.packing import pack_documents
 from footstats.llm.personal import learn_personal, redact, with_spans
 
+#: Column that tells rows apart inside a stage.
+KEY = "row_key_"
+
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or far from every learned language go."""
@@ -24,16 +28,22 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    classes = similarity_classes(docs, width=5, percent=80)
-    first = classes.where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row stays: that of the smallest id (null last), of
+    equal ids that of the smallest row key; of equal rows one. Texts without words are no copies and all stay."""
+    rows, sets = similar_rows(docs, width=5, percent=80)
+    order = F.struct(F.col("r.doc_id").isNull(), F.col("r.doc_id"), F.col("r.key"))
+    first = rows.alias("r").join(sets.select("set_id", "root"), "set_id").groupBy("root").agg(F.min_by("r.key", order).alias(KEY)).select(KEY)
+    keyed = docs.withColumn(KEY, row_key())
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    copies = keyed.where(worded).join(first, KEY, "left_semi").dropDuplicates([KEY])
+    return copies.unionByName(keyed.where(~worded)).drop(KEY)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    keyed = docs.withColumn(KEY, row_key())
+    found = find_contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return keyed.join(found.where("contaminated").select(KEY), KEY, "left_anti").drop(KEY)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
