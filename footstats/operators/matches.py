@@ -1,82 +1,140 @@
-"""Match segmentation over running / paused frames, and rest ratios.
+"""Match segmentation over runs of running and paused frames, and rest ratios.
 
 A running frame opens a match if none is open. Paused frames are counted since the last
 closed match (running frames do not reset the count, pauses before the match count
 too); the paused frame that takes the count above the limit closes the open match,
 exclusive. A match still open at the end of a video is dropped.
 
-The scan carries state (open?, paused count up to the limit), so a video cannot simply
-be split. Each chunk is first turned into a table "entry state -> exit state", the small
-tables are chained per video, and then every chunk is replayed from its known entry.
+Frames are first reduced to runs of equal flags inside chunks of a video. Segmentation
+carries a state (open?, paused count up to the limit), so a chunk is a function from entry
+state to exit state; such functions compose. With several chunks they are joined by a
+prefix scan: groups of ``FAN`` neighbours are composed level by level, the entry states
+are handed down the same levels, and every chunk is replayed from its own. No step holds
+more than one chunk's runs or ``FAN`` functions of a video.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footstats.operators.sequences import CHUNK_ROWS, chunk_of, nearest_marks
+from footstats.operators.sequences import CHUNK_ROWS, chunk_of
+from footstats.sources.staging import stage
 
+#: Neighbours whose functions are composed in one step of the scan.
+FAN = 64
 _NOT_OPEN, _AS_ENTERED = -1, -2
 
 
+def frame_runs(
+    flags: DataFrame, key: Sequence[str] = ("video",), frame: str = "frame", flag: str = "running", size: int = CHUNK_ROWS
+) -> DataFrame:
+    """(key, chunk, start, frames, flag): stretches of consecutive frames with one flag, cut at chunk borders.
+
+    A missing or repeated frame number ends a stretch, so its frames are ``start`` to ``start + frames - 1``.
+    """
+    w = Window.partitionBy(*key, "chunk").orderBy("_frame")
+    rows = flags.select(*key, F.col(frame).cast("long").alias("_frame"), F.col(flag).alias("flag")).withColumn("chunk", chunk_of("_frame", size))
+    goes_on = F.col("flag").eqNullSafe(F.lag("flag").over(w)) & F.coalesce(F.lag("_frame").over(w) == F.col("_frame") - 1, F.lit(False))
+    numbered = rows.withColumn("_new", (~goes_on).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    return numbered.groupBy(*key, "chunk", "_run").agg(
+        F.min("_frame").alias("start"), F.count(F.lit(1)).alias("frames"), F.first("flag").alias("flag")
+    ).drop("_run")
+
+
 class _Chunk:
-    """Paused frames of one chunk in frame order, with what follows each of them."""
-
-    def __init__(self, frames: np.ndarray, running: np.ndarray, limit: int):
-        order = np.argsort(frames, kind="stable")
-        self.frames, run = frames[order], running[order].astype(bool)
-        self.limit = limit
-        self.paused = np.flatnonzero(~run)
-        self.running = np.flatnonzero(run)
-        # With an end mark behind the last frame.
-        self._starts = np.append(self.running, len(self.frames))
-        self._numbers = np.append(self.frames, _NOT_OPEN)
-
-    def start_after(self, at):
-        """Local index of the first running frame after local index ``at`` (else size)."""
-        return self._starts[np.searchsorted(self.running, at, side="right")]
-
-    def closing(self, start, needed):
-        """Index into ``paused`` that closes a match opened at ``start``."""
-        return np.maximum(needed, np.searchsorted(self.paused, start))
+    """Runs of one chunk. Its paused frames have ordinals 0, 1, 2 ...; a running run stands before one of them."""
+
+    def __init__(self, runs: pd.DataFrame, limit: int, cumulative: bool):
+        runs = runs.sort_values("start", kind="stable")
+        start, frames = runs["start"].to_numpy(), runs["frames"].to_numpy()
+        paused = runs["flag"].to_numpy() == 0
+        before = np.cumsum(np.where(paused, frames, 0)) - np.where(paused, frames, 0)
+        self.limit, self.cumulative, self.total = limit, cumulative, int(frames[paused].sum())
+        # With an end mark behind the last running run.
+        self.opens, self.opens_before = np.append(start[~paused], _NOT_OPEN), np.append(before[~paused], self.total)
+        self.pause_start, self.pause_before = start[paused], before[paused]
+        # Unbroken pauses lie between neighbouring running runs; the first may go on from the chunk before.
+        edges = np.unique(np.concatenate([[0], self.opens_before, [self.total]]))
+        self.long_pauses = np.append(edges[:-1][np.diff(edges) > limit], self.total)
+
+    def frame_of(self, ordinal):
+        run = np.searchsorted(self.pause_before, ordinal, side="right") - 1
+        return self.pause_start[run] + ordinal - self.pause_before[run]
+
+    def closing(self, run, seen):
+        """Ordinal of the paused frame that closes a match opened by running run ``run`` (-1: before the chunk); ``total`` or more if none does."""
+        carried = run < 0
+        base = np.where(carried, 0 if self.cumulative else self.opens_before[0], self.opens_before[run])
+        if self.cumulative:
+            return np.maximum(seen + self.limit, base)
+        later = self.long_pauses[np.searchsorted(self.long_pauses, base)] + self.limit
+        return np.where(carried & (self.opens_before[0] > seen + self.limit), seen + self.limit, later)
 
     def follow(self, is_open, count, entry_start):
-        """Run all entry states at once; yields (start, closing, done) per closed match.
-
-        Returns exit (start frame or marker, count).
-        """
-        n, total, size = len(count), len(self.paused), len(self.frames)
-        start = np.where(is_open, -1, self.start_after(-1))
-        start_frame = np.where(is_open, entry_start, self._numbers[start])
-        seen = -np.asarray(count)  # paused frames of this chunk already consumed
-        live = np.arange(n)
-        exit_start = np.full(n, _NOT_OPEN, dtype=np.int64)
-        exit_count = np.zeros(n, dtype=np.int64)
-        closed = []
+        """Run all entry states at once: (exit start frame or mark, exit count, [(states, start, end)] of closed matches)."""
+        n = len(count)
+        run = np.where(is_open, -1, np.searchsorted(self.opens_before[:-1], 0))
+        start = np.where(is_open, entry_start, self.opens[run])
+        seen, live, closed = -np.asarray(count), np.arange(n), []
+        exit_start, exit_count = np.full(n, _NOT_OPEN, dtype=np.int64), np.zeros(n, dtype=np.int64)
         while len(live):
-            end = self.closing(start[live], seen[live] + self.limit)
-            stays = (start[live] >= size) | (end >= total)
+            end = self.closing(run[live], seen[live])
+            stays = (start[live] == _NOT_OPEN) | (end >= self.total)
             done = live[stays]
-            exit_start[done] = np.where(start[done] < size, start_frame[done], _NOT_OPEN)
-            exit_count[done] = np.minimum(total - seen[done], self.limit)
+            exit_start[done] = start[done]
+            exit_count[done] = np.minimum(self.total - seen[done], self.limit)
             live, end = live[~stays], end[~stays]
-            at = self.paused[end]
-            closed.append((live, start_frame[live], self.frames[at]))
+            if len(live):
+                closed.append((live, start[live], self.frame_of(end)))
             seen[live] = end + 1
-            start[live] = self.start_after(at)
-            start_frame[live] = self._numbers[start[live]]
+            run[live] = np.searchsorted(self.opens_before[:-1], end + 1)
+            start[live] = self.opens[run[live]]
+        if not self.cumulative and len(self.opens) > 1:  # the last running run has set the count back
+            exit_count[:] = min(self.total - int(self.opens_before[-2]), self.limit)
+        elif not self.cumulative:
+            exit_count[:] = np.minimum(self.total + np.asarray(count), self.limit)
         return exit_start, exit_count, closed
 
 
-def _entry_states(limit: int):
-    count = np.tile(np.arange(limit + 1), 2)
-    is_open = np.repeat([False, True], limit + 1)
-    return is_open, count
+def _scanned_entries(tables: DataFrame, key: list[str], key_ddl: str, limit: int, top: int) -> DataFrame:
+    """(key, chunk, entry_start, entry_count) from the functions (key, chunk, state, start) of all chunks, numbered 0 to ``top``."""
+    k, opened = len(key), np.repeat([False, True], limit + 1)
+
+    def compose(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        state, start = np.arange(2 * (limit + 1)), np.where(opened, _AS_ENTERED, _NOT_OPEN)
+        part = part.sort_values("chunk")
+        for to, began in zip(part["state"], part["start"]):
+            start = np.where(began[state] == _AS_ENTERED, start, began[state])
+            state = to[state]
+        return pd.DataFrame([[*group, state.astype("int32"), start]])
+
+    def hand_down(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part, out = part.sort_values("chunk"), []
+        start, count = int(part["entry_start"].iloc[0]), int(part["entry_count"].iloc[0])
+        for chunk, to, began in zip(part["chunk"], part["state"], part["start"]):
+            out.append([*group[:k], chunk, start, count])
+            at = (limit + 1 if start != _NOT_OPEN else 0) + count
+            start = start if began[at] == _AS_ENTERED else int(began[at])
+            count = int(to[at]) % (limit + 1)
+        return pd.DataFrame(out)
+
+    above = F.floor(F.col("chunk") / FAN)
+    levels = [tables]
+    while top > 0:
+        levels.append(levels[-1].groupBy(*key, above.alias("chunk")).applyInPandas(compose, f"{key_ddl}, chunk long, state array<int>, start array<long>"))
+        top //= FAN
+    entries = levels[-1].select(*key, "chunk", F.lit(_NOT_OPEN).cast("long").alias("entry_start"), F.lit(0).cast("long").alias("entry_count"))
+    for children in reversed(levels[:-1]):
+        parents = entries.withColumnRenamed("chunk", "_group")
+        entries = children.withColumn("_group", above).join(parents, [*key, "_group"]).groupBy(*key, "_group").applyInPandas(
+            hand_down, f"{key_ddl}, chunk long, entry_start long, entry_count long"
+        )
+    return entries
 
 
 def segment_matches(
@@ -91,80 +149,33 @@ def segment_matches(
     """``(key, frame, running)`` -> ``(key, start_frame, end_frame)``, end exclusive.
 
     ``max_pause`` counts frames; a null flag is a pause. With ``cumulative_pause=False`` a running frame resets
-    the count: only an unbroken pause longer than the limit closes a match.
+    the count: only an unbroken pause longer than the limit closes a match. The runs are staged, as up to
+    three steps read them; their number is that of changes of the flag, not of frames.
     """
-    key = list(key)
-    rows = flags.select(*key, F.col(frame).cast("long").alias("frame"), F.coalesce(F.col(running).cast("int"), F.lit(0)).alias("running"))
-    if not cumulative_pause:
-        return _segments_between_long_pauses(rows, key, max_pause)
-
-    limit = int(max_pause)
-    chunked = rows.withColumn("_chunk", chunk_of("frame", size))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in key)
+    key, limit = list(key), int(max_pause)
+    flag = (F.coalesce(F.col(running).cast("int"), F.lit(0)) != 0).cast("int")
+    runs = stage(frame_runs(flags.select(*key, frame, flag.alias("running")), key, frame, "running", size), "match-runs")
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema if f.name in key)
     k = len(key)
+    first, last = runs.agg(F.min("chunk"), F.max("chunk")).first()
+    runs = runs.withColumn("chunk", F.col("chunk") - (first or 0))
 
-    def transfer(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Exit start (offset in the chunk, or a mark) and paused count for every entry state."""
-        chunk = _Chunk(pdf["frame"].to_numpy() - group[k] * size, pdf["running"].to_numpy(), limit)
-        is_open, count = _entry_states(limit)
-        start, paused, _ = chunk.follow(is_open, count, _AS_ENTERED)
-        return pd.DataFrame([[*group, start.astype("int32"), paused.astype("int32")]])
-
-    tables = chunked.groupBy(*key, "_chunk").applyInPandas(
-        transfer, f"{key_ddl}, _chunk long, exit_start array<int>, exit_count array<int>"
-    )
-
-    def chain(group: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Walk the chunks of a video in order; gives the state each of them is entered with."""
-        start, count, last = _NOT_OPEN, 0, None
-        for part in parts:
-            out = []
-            for chunk, starts, counts in zip(part["_chunk"], part["exit_start"], part["exit_count"]):
-                if last is not None and chunk <= last:
-                    raise ValueError(f"chunk {chunk} after {last}")
-                out.append([*group, chunk, start, count])
-                state = (limit + 1 if start != _NOT_OPEN else 0) + count
-                count, last = int(counts[state]), chunk
-                if starts[state] != _AS_ENTERED:
-                    start = _NOT_OPEN if starts[state] == _NOT_OPEN else int(starts[state]) + int(chunk) * size
-            yield pd.DataFrame(out)
-
-    entries = (
-        tables.repartition(*key)
-        .sortWithinPartitions(*key, "_chunk")
-        .groupBy(*key)
-        .applyInPandas(chain, f"{key_ddl}, _chunk long, _start long, _count long")
-    )
+    def transfer(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        is_open, count = np.repeat([False, True], limit + 1), np.tile(np.arange(limit + 1), 2)
+        start, paused, _ = _Chunk(part, limit, cumulative_pause).follow(is_open, count, _AS_ENTERED)
+        return pd.DataFrame([[*group, (np.where(start != _NOT_OPEN, limit + 1, 0) + paused).astype("int32"), start]])
 
-    def replay(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = _Chunk(pdf["frame"].to_numpy(), pdf["running"].to_numpy(), limit)
-        start, count = int(pdf["_start"].iloc[0]), int(pdf["_count"].iloc[0])
-        _, _, closed = chunk.follow(np.array([start != _NOT_OPEN]), np.array([count]), start)
-        return pd.DataFrame([[*group[:k], s[0], e[0]] for _, s, e in closed if len(s)], columns=range(k + 2))
+    def replay(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        start, count = int(part["entry_start"].iloc[0]), int(part["entry_count"].iloc[0])
+        _, _, closed = _Chunk(part, limit, cumulative_pause).follow(np.array([start != _NOT_OPEN]), np.array([count]), start)
+        return pd.DataFrame([[*group[:k], s[0], e[0]] for _, s, e in closed], columns=range(k + 2))
 
-    return (
-        chunked.join(entries, [*key, "_chunk"])
-        .groupBy(*key, "_chunk")
-        .applyInPandas(replay, f"{key_ddl}, start_frame long, end_frame long")
-    )
-
-
-def _segments_between_long_pauses(rows: DataFrame, key: list[str], limit: int) -> DataFrame:
-    marked = nearest_marks(rows, key, "frame", F.col("running") != 0, (), "_before", "_after")
-    stop = F.coalesce(F.col("_after.frame"), F.col("last_pos") + 1)
-    pause_starts = F.coalesce(F.col("_before.frame"), F.col("first_pos") - 1) + 1
-    # The frame a long pause would close on is the candidate end of a match.
-    ends = marked.where((F.col("running") == 0) & (F.col("frame") == pause_starts + limit)).select(
-        *key, F.col("frame").alias("end_frame"), pause_starts.alias("_pause"), stop.alias("_resume")
-    )
-    opened = rows.where("running != 0").groupBy(*key).agg(F.min("frame").alias("_first"))
-    previous = F.lag("_resume").over(Window.partitionBy(*key).orderBy("end_frame"))
-    return (
-        ends.join(opened, key)
-        .withColumn("start_frame", F.coalesce(previous, "_first"))
-        .where(F.col("start_frame") < F.col("_pause"))
-        .select(*key, "start_frame", "end_frame")
-    )
+    if last == first:  # no video goes beyond one chunk
+        entered = runs.withColumn("entry_start", F.lit(_NOT_OPEN).cast("long")).withColumn("entry_count", F.lit(0).cast("long"))
+    else:
+        tables = stage(runs.groupBy(*key, "chunk").applyInPandas(transfer, f"{key_ddl}, chunk long, state array<int>, start array<long>"), "match-functions")
+        entered = runs.join(_scanned_entries(tables, key, key_ddl, limit, last - first), [*key, "chunk"])
+    return entered.groupBy(*key, "chunk").applyInPandas(replay, f"{key_ddl}, start_frame long, end_frame long")
 
 
 def rest_ratios(
@@ -177,22 +188,19 @@ def rest_ratios(
 ) -> DataFrame:
     """Paused and running frames of each match, and their shares.
 
-    Frames meet segments on ``(key, range of frames)``, so neither a long video nor a
-    long match is compared as a whole; segments of a video do not overlap.
+    Runs of frames meet segments on ``(key, range of frames)``, so neither a long video nor a
+    long match is compared as a whole; segments of a video do not overlap. Null flags count for neither.
     """
     key = list(key)
     pieces = segments.withColumn(
-        "_range", F.explode(F.sequence(chunk_of("start_frame", width), chunk_of(F.col("end_frame") - 1, width)))
-    )
-    points = flags.select(
-        *key, F.col(frame).alias("_frame"), F.col(running).alias("_running"), chunk_of(frame, width).alias("_range")
-    )
-    inside = points.join(pieces, [*key, "_range"]).where(
-        (F.col("_frame") >= F.col("start_frame")) & (F.col("_frame") < F.col("end_frame"))
+        "chunk", F.explode(F.sequence(chunk_of("start_frame", width), chunk_of(F.col("end_frame") - 1, width)))
     )
+    joined = frame_runs(flags, key, frame, running, width).join(pieces, [*key, "chunk"])
+    shared = F.least(F.col("start") + F.col("frames"), "end_frame") - F.greatest("start", "start_frame")
+    inside = joined.withColumn("_shared", shared).where("_shared > 0")
     counts = inside.groupBy(*key, "start_frame", "end_frame").agg(
-        F.count(F.when(F.col("_running") == 0, 1)).alias("count_zero"),
-        F.count(F.when(F.col("_running") != 0, 1)).alias("count_not_zero"),
+        F.sum(F.when(F.col("flag") == 0, F.col("_shared")).otherwise(0)).alias("count_zero"),
+        F.sum(F.when(F.col("flag") != 0, F.col("_shared")).otherwise(0)).alias("count_not_zero"),
     )
     total = F.col("count_zero") + F.col("count_not_zero")
     return counts.withColumn("zero_ratio", F.col("count_zero") / total).withColumn(

@@ -1,5 +1,6 @@
 """Chunked sequence operators against plain Python loops, with chunks far smaller than the data."""
 
+import itertools
 import math
 import random
 
@@ -211,19 +212,22 @@ def test_short_runs_golden(spark):
 # --- matches ----------------------------------------------------------------------------
 
 
-def scan(flags, limit, cumulative=True):
-    found, start, zeros = [], None, 0
-    for i, running in enumerate(flags):
+def plain_segments(flags, limit, cumulative=True):
+    """The rule over runs: paused frames spent since the last match, and where a pause takes them above the limit."""
+    runs = [(running, [i for i, _ in group]) for running, group in itertools.groupby(enumerate(flags), key=lambda x: bool(x[1]))]
+    found, opened, spent = [], None, 0
+    for running, frames in runs:
         if running:
-            start = i if start is None else start
-            zeros = zeros if cumulative else 0
+            opened = frames[0] if opened is None else opened
+            continue
+        if not cumulative:
+            spent = 0
+        left = max(limit - spent, 0)  # paused frames the match may still take
+        if opened is not None and len(frames) > left:
+            found.append((opened, frames[left]))
+            opened, spent = None, len(frames) - left - 1
         else:
-            zeros += 1
-            if start is not None and zeros > limit:
-                found.append((start, i))
-                start, zeros = None, 0
-                if not cumulative:
-                    zeros = -(10**9)  # the rest of this pause is spent
+            spent += len(frames)
     return found
 
 
@@ -249,20 +253,45 @@ def test_segments_golden(spark):
 def test_segments_random(spark, size, limit):
     rng = random.Random(size * 10 + limit)
     videos = {f"v{k}": series(rng, rng.randint(1, 60), [0, 1] if k % 3 else [0, 0, 0, 1]) for k in range(25)}
-    assert segments(spark, videos, limit, size) == {v: scan(x, limit) for v, x in videos.items()}
+    assert segments(spark, videos, limit, size) == {v: plain_segments(x, limit) for v, x in videos.items()}
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+@pytest.mark.parametrize("limit", [0, 1, 3])
+def test_segments_unbroken_pause(spark, size, limit):
+    rng = random.Random(3 + size)
+    videos = {f"v{k}": series(rng, 50, [0, 0, 0, 1] if k % 2 else [0, 1]) for k in range(20)}
+    got = segments(spark, videos, limit, size, cumulative=False)
+    assert got == {v: plain_segments(x, limit, False) for v, x in videos.items()}
+
+
+@pytest.mark.parametrize("cumulative", [True, False])
+def test_segments_over_several_levels_of_the_scan(spark, cumulative, monkeypatch):
+    monkeypatch.setattr(mt, "FAN", 2)
+    rng = random.Random(11)
+    videos = {f"v{k}": [x for _ in range(40) for x in [rng.choice([0, 1])] * rng.randint(1, 9)] for k in range(4)}
+    got = segments(spark, videos, 12, 5, cumulative)
+    assert got == {v: plain_segments(x, 12, cumulative) for v, x in videos.items()}
+
+
+def test_segments_with_missing_frames_and_flags(spark):
+    rows = [("v", f, x) for f, x in [(10, 1), (11, None), (20, 0), (21, 0), (22, 1), (30, 1), (31, 0), (40, 0), (41, 0), (50, None)]]
+    df = frame_df(spark, rows, "video string, frame long, running int")
+    for size in (1, 4, 100):
+        assert [(r.start_frame, r.end_frame) for r in mt.segment_matches(df, 2, size=size).orderBy("start_frame").collect()] == [(10, 21), (22, 41)]
+    assert mt.segment_matches(df.limit(0), 2).collect() == []
 
 
-def test_segments_unbroken_pause(spark):
-    rng = random.Random(3)
-    videos = {f"v{k}": series(rng, 50, [0, 0, 0, 1]) for k in range(20)}
-    got = segments(spark, videos, 3, 1000, cumulative=False)
-    assert got == {v: scan(x, 3, False) for v, x in videos.items()}
+def test_frame_runs(spark):
+    rows = [("v", f, x) for f, x in [(0, 1), (1, 1), (2, 0), (3, None), (4, None), (6, None), (7, 0), (8, 0), (9, 0)]]
+    got = mt.frame_runs(frame_df(spark, rows, "video string, frame long, running int"), size=8).orderBy("start").collect()
+    assert [(r.chunk, r.start, r.frames, r.flag) for r in got] == [(0, 0, 2, 1), (0, 2, 1, 0), (0, 3, 2, None), (0, 6, 1, None), (0, 7, 1, 0), (1, 8, 2, 0)]
 
 
 def test_rest_ratios(spark):
     rng = random.Random(5)
     flags = series(rng, 300, [0, 1])
-    found = scan(flags, 20)
+    found = plain_segments(flags, 20)
     df = frame_df(spark, [("v", i, x) for i, x in enumerate(flags)], "video string, frame long, running int")
     segs = spark.createDataFrame([("v", s, e) for s, e in found], "video string, start_frame long, end_frame long")
     got = mt.rest_ratios(df, segs, width=16).orderBy("start_frame").collect()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footstats.operators import dedup as dd
-from footstats.operators.matches import segment_matches
+from footstats.operators.matches import frame_runs, segment_matches
 from footstats.operators.quantiles import exact_quantile
 from footstats.operators.sequences import nearest_marks, spread_over_chunks, with_halo, with_position
 
@@ -66,6 +66,12 @@ def test_segments_of_a_hot_video(spark):
     assert largest_task(got) < got.count() / 3
 
 
+def test_runs_of_a_hot_video(spark):
+    flags = frames(spark).select("video", "frame", (F.col("x") < 50).cast("int").alias("running"))
+    runs = frame_runs(flags, size=SIZE)
+    assert runs.count() < 1500 and largest_task(runs) < runs.count() / 3
+
+
 def test_quantile_of_a_hot_group(spark):
     got = {r.video: r.q for r in exact_quantile(frames(spark), "x", 0.5, ["video"], "q").collect()}
     assert got["hot"] == 48.0 and len(got) == 101
@@ -88,3 +94,4 @@ def test_unbroken_segments_of_a_hot_video(spark):
     got = segment_matches(flags, 20, cumulative_pause=False, size=SIZE)
     whole = segment_matches(flags, 20, cumulative_pause=False, size=10**6)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    assert largest_task(got) < got.count() / 3
