@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import sql
 from catalog.standins import FPS, PAUSE_LIMIT_SECONDS, clock_readings, clock_table
 from footstats.operators.clock import fill_clock, parse_clock
-from footstats.operators.matches import mean_rest_ratio, rest_ratios
+from footstats.operators.matches import mean_rest_ratio, run_ratios
 from footstats.plans.clock_flow import clock_matches, clock_timeline, smoothed_clock
 
 
@@ -43,8 +43,8 @@ def _matches(cumulative):
 
 
 def _ratios(spark, d):
-    flags, segments = clock_matches(clock_table(spark, d), FPS, PAUSE_LIMIT_SECONDS)
-    return rest_ratios(flags, segments)
+    runs, segments = clock_matches(clock_table(spark, d), FPS, PAUSE_LIMIT_SECONDS)
+    return run_ratios(runs, segments)
 
 
 def rest_ratio(spark, d):

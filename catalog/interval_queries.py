@@ -7,6 +7,7 @@ from catalog.standins import annotation_export
 from footstats.functions import intervals as iv
 from footstats.operators import intervals as ops
 from footstats.operators import statistics as st
+from footstats.sources.staging import stage
 from footstats.plans.label_flow import raw_intervals, second_labels
 
 
@@ -52,7 +53,8 @@ def _labels(step):
 
 
 def covering_join(spark, d):
-    long = intervals_long(spark, d)
+    # Points and intervals come from one staged table.
+    long = stage(intervals_long(spark, d), "intervals")
     points = ops.recording_points(ops.file_bounds(long), 1)
     return ops.join_covering(points, long).groupBy("file", "time").agg(
         *[F.count(F.when(F.col("label") == l, 1)).alias(l.lower()) for l in ("Match", "Active", "Standing")]

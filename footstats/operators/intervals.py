@@ -129,19 +129,44 @@ def discretize(nested: DataFrame, step: float = 5) -> DataFrame:
     return points.select("file", "time", *[covered(l).alias(f"is_{l.lower()}") for l in INTERVAL_LABELS])
 
 
+def interval_cells(first: Column, last: Column, levels: int, fan: int) -> Column:
+    """array<struct<level, cell>> that together are the base cells ``first`` to ``last``, each once.
+
+    A cell of level k holds ``fan`` cells of level k - 1. At both ends less than ``fan`` cells of a level stand out of those
+    of the next; only the top level may have more, so the number grows with the logarithm of the length.
+    """
+    from_ = [F.ceil(first / fan**k) for k in range(levels)]
+    to = [F.floor((last + 1) / fan**k) - 1 for k in range(levels)]
+    none = F.array().cast("array<long>")
+
+    def run(a: Column, b: Column) -> Column:
+        return F.when(a <= b, F.sequence(a, b)).otherwise(none)
+
+    cells = []
+    for k in range(levels):
+        mine = run(from_[k], to[k])
+        if k + 1 < levels:
+            ends = F.concat(run(from_[k], fan * from_[k + 1] - 1), run(fan * (to[k + 1] + 1), to[k]))
+            mine = F.when(from_[k + 1] <= to[k + 1], ends).otherwise(mine)
+        cells.append(F.transform(mine, lambda c, k=k: F.struct(F.lit(k).alias("level"), c.alias("cell"))))
+    return F.concat(*cells)
+
+
 def join_covering(
-    points: DataFrame, intervals: DataFrame, key: Sequence[str] = ("file",), width: float = 64
+    points: DataFrame, intervals: DataFrame, key: Sequence[str] = ("file",), width: float = 64, levels: int = 4, fan: int = 8
 ) -> DataFrame:
     """Pairs of a point ``[time, next_time]`` and an interval of the same key that covers it.
 
-    The range test runs inside ``(key, stretch of time)``: an interval is copied to each
-    stretch it touches, a point belongs to one, so pairs come out once.
+    Points and intervals meet in a hierarchy of stretches of time, of ``width``, ``width * fan``, … : an interval is copied to
+    the few stretches it consists of, a point to its stretch on each level, and of an interval's stretches one
+    holds the point, so pairs come out once. An interval of hours makes some dozen rows.
     """
-    stretch = lambda c: F.floor(F.col(c) / F.lit(width))
-    spread = intervals.withColumn("_stretch", F.explode(F.sequence(stretch("start"), stretch("end"))))
+    base = lambda c: F.floor(F.col(c) / F.lit(width))
+    spread = intervals.withColumn("_at", F.explode(interval_cells(base("start"), base("end"), levels, fan)))
+    own = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(base("time") / fan**k).alias("cell")) for k in range(levels)])
     return (
-        points.withColumn("_stretch", stretch("time"))
-        .join(spread, [*key, "_stretch"])
+        points.withColumn("_at", F.explode(own))
+        .join(spread, [*key, "_at"])
         .where((F.col("start") <= F.col("time")) & (F.col("end") >= F.col("next_time")))
-        .drop("_stretch")
+        .drop("_at")
     )

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footstats.operators.sequences import CHUNK_ROWS, chunk_of
@@ -137,6 +137,11 @@ def _scanned_entries(tables: DataFrame, key: list[str], key_ddl: str, limit: int
     return entries
 
 
+def paused_or_running(running: str = "running") -> Column:
+    """0 or 1; a null flag is a pause."""
+    return (F.coalesce(F.col(running).cast("int"), F.lit(0)) != 0).cast("int")
+
+
 def segment_matches(
     flags: DataFrame,
     max_pause: int,
@@ -146,15 +151,21 @@ def segment_matches(
     cumulative_pause: bool = True,
     size: int = CHUNK_ROWS * 4,
 ) -> DataFrame:
-    """``(key, frame, running)`` -> ``(key, start_frame, end_frame)``, end exclusive.
+    """``(key, frame, running)`` -> ``(key, start_frame, end_frame)``, end exclusive; see ``segment_runs``.
+
+    A null flag is a pause. The runs are staged: their number is that of changes of the flag, not of frames.
+    """
+    runs = frame_runs(flags.select(*key, frame, paused_or_running(running).alias("running")), key, frame, "running", size)
+    return segment_runs(stage(runs, "match-runs"), max_pause, key, cumulative_pause)
+
+
+def segment_runs(runs: DataFrame, max_pause: int, key: Sequence[str] = ("video",), cumulative_pause: bool = True) -> DataFrame:
+    """Staged ``frame_runs`` of 0 and 1 -> ``(key, start_frame, end_frame)``, end exclusive.
 
-    ``max_pause`` counts frames; a null flag is a pause. With ``cumulative_pause=False`` a running frame resets
-    the count: only an unbroken pause longer than the limit closes a match. The runs are staged, as up to
-    three steps read them; their number is that of changes of the flag, not of frames.
+    ``max_pause`` counts frames. With ``cumulative_pause=False`` a running frame resets the count: only an
+    unbroken pause longer than the limit closes a match. Up to three steps read the runs.
     """
     key, limit = list(key), int(max_pause)
-    flag = (F.coalesce(F.col(running).cast("int"), F.lit(0)) != 0).cast("int")
-    runs = stage(frame_runs(flags.select(*key, frame, flag.alias("running")), key, frame, "running", size), "match-runs")
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema if f.name in key)
     k = len(key)
     first, last = runs.agg(F.min("chunk"), F.max("chunk")).first()
@@ -186,18 +197,26 @@ def rest_ratios(
     running: str = "running",
     width: int = 4096,
 ) -> DataFrame:
-    """Paused and running frames of each match, and their shares.
+    """Paused and running frames of each match, and their shares; null flags count for neither. See ``run_ratios``."""
+    return run_ratios(frame_runs(flags, key, frame, running, width), segments, key, width)
 
-    Runs of frames meet segments on ``(key, range of frames)``, so neither a long video nor a
-    long match is compared as a whole; segments of a video do not overlap. Null flags count for neither.
+
+def run_ratios(runs: DataFrame, segments: DataFrame, key: Sequence[str] = ("video",), width: int = 4096) -> DataFrame:
+    """The same from ``frame_runs``, whatever chunks they were cut at.
+
+    Runs and matches meet on ``(key, range of frames)``, both cut at the borders of ranges, so neither a long video nor a
+    long match is compared as a whole; segments of a video do not overlap.
     """
     key = list(key)
-    pieces = segments.withColumn(
-        "chunk", F.explode(F.sequence(chunk_of("start_frame", width), chunk_of(F.col("end_frame") - 1, width)))
-    )
-    joined = frame_runs(flags, key, frame, running, width).join(pieces, [*key, "chunk"])
-    shared = F.least(F.col("start") + F.col("frames"), "end_frame") - F.greatest("start", "start_frame")
-    inside = joined.withColumn("_shared", shared).where("_shared > 0")
+
+    def ranges(first: str, end: Column):
+        return F.explode(F.sequence(chunk_of(first, width), chunk_of(end - 1, width)))
+
+    cut = runs.withColumn("_end", F.col("start") + F.col("frames")).withColumn("_range", ranges("start", F.col("_end")))
+    pieces = segments.withColumn("_range", ranges("start_frame", F.col("end_frame")))
+    border = F.col("_range") * width
+    shared = F.least("_end", "end_frame", border + width) - F.greatest("start", "start_frame", border)
+    inside = cut.join(pieces, [*key, "_range"]).withColumn("_shared", shared).where("_shared > 0")
     counts = inside.groupBy(*key, "start_frame", "end_frame").agg(
         F.sum(F.when(F.col("flag") == 0, F.col("_shared")).otherwise(0)).alias("count_zero"),
         F.sum(F.when(F.col("flag") != 0, F.col("_shared")).otherwise(0)).alias("count_not_zero"),

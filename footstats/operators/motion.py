@@ -87,21 +87,17 @@ def rolling_mean(
     return with_halo(df, key, frame, window - 1, 0, lambda w: {out: F.avg(col).over(span(w))}, size)
 
 
-def join_key_values(
-    df: DataFrame, values: DataFrame, key: Sequence[str], pos: str, size: int = CHUNK_ROWS
-) -> DataFrame:
-    """Attach one-row-per-key ``values`` through ``(key, chunk)`` so a long key stays split."""
-    rows = df.withColumn("_chunk", chunk_of(pos, size))
-    per_chunk = rows.select(*key, "_chunk").distinct().join(values, list(key))
-    return rows.join(per_chunk, [*key, "_chunk"]).drop("_chunk")
-
-
 def major_actions(
     df: DataFrame, col: str = "smoothed_intensity", q: float = PEAK_QUANTILE, step: int = PEAK_STEP,
     key: Sequence[str] = VIDEO, frame: str = "frame", size: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Every ``step``-th of the rows above the ``q`` quantile of their video (if it is positive)."""
-    limits = exact_quantile(df, col, q, key, "threshold").where(F.col("threshold") > 0)
-    peaks = join_key_values(df, limits, key, frame, size).where(F.col(col) > F.col("threshold"))
+    """Every ``step``-th of the rows above the ``q`` quantile of their video (if it is positive).
+
+    Three scans of ``df``: counts, values around the limit, peaks. A limit goes to each chunk of its video, so a long video stays split.
+    """
+    limits = exact_quantile(df, col, q, key, "threshold", extent=frame).where(F.col("threshold") > 0)
+    chunks = F.sequence(chunk_of(f"{frame}_first", size), chunk_of(f"{frame}_last", size))
+    limits = limits.withColumn("_chunk", F.explode(chunks)).drop(f"{frame}_first", f"{frame}_last")
+    peaks = df.withColumn("_chunk", chunk_of(frame, size)).join(limits, [*key, "_chunk"]).where(F.col(col) > F.col("threshold")).drop("_chunk")
     numbered = with_position(peaks, key, [frame], chunk_of(frame, size), "_n")
     return numbered.where(F.col("_n") % step == 0).drop("_n")

@@ -43,42 +43,38 @@ def with_position(
     """Dense 0-based position of each row in its key.
 
     ``bucket`` must not decrease along ``order`` and bounds the rows of one window
-    task (a minute of timestamps, a range of ids). Positions are the local row number
-    plus the rows of all earlier buckets, so no task sees a whole key.
+    task (a minute of timestamps, a range of ids). The input is read and sorted once: rows
+    are staged with their number inside ``(key, bucket)``, and the counts that
+    shift these numbers come from two columns of the staged table.
     """
     key = list(key)
-    rows = df.withColumn("_bucket", bucket)
-    starts = (
-        rows.groupBy(*key, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *key,
-            "_bucket",
-            F.coalesce(
-                F.sum("_rows").over(
-                    Window.partitionBy(*key).orderBy("_bucket").rowsBetween(*_BEFORE_HERE)
-                ),
-                F.lit(0),
-            ).alias("_start"),
-        )
-    )
     local = F.row_number().over(Window.partitionBy(*key, "_bucket").orderBy(*order))
+    rows = stage(df.withColumn("_bucket", bucket).withColumn("_local", local), "positions")
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(*_BEFORE_HERE)
+    starts = rows.groupBy(*key, "_bucket").agg(F.max("_local").alias("_rows")).select(
+        *key, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
+    )
     return (
         rows.join(starts, [*key, "_bucket"], "left")
-        .withColumn(out, F.col("_start") + local - 1)
-        .drop("_bucket", "_start")
+        .withColumn(out, F.col("_start") + F.col("_local") - 1)
+        .drop("_bucket", "_local", "_start")
     )
 
 
 def with_global_position(df: DataFrame, order: Sequence[str | Column], out: str = "pos") -> DataFrame:
     """Dense 0-based rank over the whole table, for an order that has no natural bucket.
 
-    Rows are range partitioned by ``order`` and staged with their partition number, which
-    from then on is plain data and serves as the bucket.
+    Rows are range partitioned and sorted once and staged in that order with their partition number and their
+    place in it; one count for each partition (so a table of bounded size) shifts the places.
     """
-    ranges = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    rows = stage(ranges, "ranges").withColumn("_all", F.lit(0))
-    return with_position(rows, ["_all"], order, F.col("_part"), out).drop("_all", "_part")
+    in_part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stage(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_local", in_part), "ranges")
+    before = Window.orderBy("_part").rowsBetween(*_BEFORE_HERE)
+    starts = rows.groupBy("_part").agg(F.max("_local").alias("_last")).select(
+        "_part", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_start")
+    )
+    return rows.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_local")).drop("_part", "_local", "_start")
 
 
 def with_halo(

@@ -14,7 +14,8 @@ from footstats.operators.clock import (
     smooth_clock,
     suppress_short_runs,
 )
-from footstats.operators.matches import segment_matches
+from footstats.operators.matches import frame_runs, segment_runs
+from footstats.operators.sequences import CHUNK_ROWS
 from footstats.sources.staging import stage
 from footstats.vocab import CLOCK_FPS, MATCH_PAUSE_SECONDS
 
@@ -45,7 +46,9 @@ def clock_matches(
     key: Sequence[str] = ("video",),
     cumulative_pause: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(flags, segments) of all videos; flags are staged because both results read them."""
-    timeline = clock_timeline(readings, fps, key)
-    flags = stage(running_flags(timeline, f"direction_over{hold_seconds * fps}frames", key), "clock-flags")
-    return flags, segment_matches(flags, pause_seconds * fps, key, cumulative_pause=cumulative_pause)
+    """(runs, segments) of all videos: runs of running (1) and paused (0) frames are staged and feed ``run_ratios``, too."""
+    smoothed = stage(smoothed_clock(readings, fps, key), "clock-smooth")
+    held = hold_seconds * fps
+    flags = running_flags(suppress_short_runs(smoothed, [held], key), f"direction_over{held}frames", key)
+    runs = stage(frame_runs(flags, key, size=4 * CHUNK_ROWS), "match-runs")
+    return runs, segment_runs(runs, pause_seconds * fps, key, cumulative_pause)

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from footstats.functions.paths import file_stem
 from footstats.sources.schemas import PERF, SECOND_LABELS
@@ -70,25 +70,38 @@ def combine_json(spark: SparkSession, folder: str, schema: str, multi_line: bool
 def consolidate_csv(spark: SparkSession, folder: str, schema: str, suffix: str = "_phases") -> DataFrame:
     """All CSV files of a folder as one table by column *name*; ``video`` is the file name without ``suffix``.
 
-    Files may order their columns differently, lack some (null) or have more (left out). A header is a line
-    with at least half of the wanted names. A leading byte-order mark is ignored; a value spans one line.
-    Folders written by ``write_phases`` already carry ``video`` and keep it.
+    The first line of each file that is not blank is its header, told by its place in the file, whatever it names. Files may order
+    their columns differently, lack some or all of them (null) or have more (left out). A file whose first line names no wanted
+    column but reads like a row (as many fields as columns, a number where a number is wanted) has no header: that is an
+    error, not a loss of rows. A leading byte-order mark is ignored; a value spans one line. Folders written by
+    ``write_phases`` already carry ``video`` and keep it.
     """
     wanted = StructType.fromDDL(schema)
     lines = spark.read.text(folder, recursiveFileLookup=False)
     inside = [c for c in lines.columns if c != "value"]  # partition folders
     names = [f.name for f in wanted if f.name not in inside]
-    lines = lines.select(*inside, F.regexp_replace("value", "^\ufeff", "").alias("value"), _file_path().alias("_file"))
+    # A task reads its stretches of files from front to back, so ids grow along a stretch; stretches have their place in the file.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.select(*inside, F.regexp_replace("value", "^\ufeff", "").alias("value"), _file_path().alias("_file"), place.alias("_at"))
+    lines = lines.where(F.trim("value") != "")
     fields = F.transform(F.split("value", ","), lambda x: F.trim(F.translate(x, '"', "")))
-    is_header = F.size(F.array_intersect(fields, F.array(*[F.lit(n) for n in names]))) * 2 >= len(names)
-    headers = lines.where(is_header).select("_file", fields.alias("_header")).dropDuplicates(["_file"])
-    rows = lines.where(~is_header & (F.trim("value") != "")).join(headers, "_file")
+    first = F.min(F.struct("_at", "value"))
+    headers = lines.groupBy("_file").agg(first.alias("_first")).select("_file", F.col("_first._at").alias("_top"), F.col("_first.value").alias("value"))
+    headers = headers.select("_file", "_top", fields.alias("_header"))
+    rows = lines.join(headers, "_file").where(F.col("_at") != F.col("_top"))
+    numeric = [i for i, n in enumerate(names) if isinstance(wanted[n].dataType, NumericType)]
+    if numeric:
+        number = F.try_element_at("_header", F.lit(numeric[0] + 1)).try_cast("double").isNotNull()
+        nameless = F.size(F.array_intersect("_header", F.array(*[F.lit(n) for n in names]))) == 0
+        bare = headers.where((F.size("_header") == len(names)) & nameless & number).select("_file").limit(3).collect()
+        if bare:
+            raise ValueError(f"files without a header: {', '.join(r['_file'] for r in bare)}")
     kinds = {f.name: f.dataType.simpleString() for f in wanted}
     parsed = None
     for (header,) in headers.select("_header").distinct().collect():  # a few orders of columns, not files
-        part = F.from_csv("value", ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in header))
+        part = F.from_csv("value", ", ".join(f"c{i} {kinds.get(n, 'string')}" for i, n in enumerate(header)))
         own = rows.where(F.col("_header") == F.array(*[F.lit(n) for n in header])).withColumn("_row", part).select(
-            "_file", *inside, *[(F.col(f"_row.{n}") if n in header else F.lit(None).cast(kinds[n])).alias(n) for n in names]
+            "_file", *inside, *[(F.col(f"_row.c{header.index(n)}") if n in header else F.lit(None).cast(kinds[n])).alias(n) for n in names]
         )
         parsed = own if parsed is None else parsed.unionByName(own)
     if parsed is None:

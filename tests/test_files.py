@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from footstats.operators import detections as dt
@@ -77,6 +78,27 @@ def test_csv_with_bom(spark, tmp_path):
     assert sorted(map(tuple, back.select("video", "timestamp").collect())) == [(r.video, r.timestamp) for r in got]
 
 
+def test_consolidated_files_lose_no_rows(spark, tmp_path):
+    put(tmp_path / "c/one_phases.csv", "timestamp,other,more\n0.5,x,y\n1.5,x,y\n")
+    put(tmp_path / "c/none_phases.csv", "\nthis,that,\na,b,c\ntimestamp,phase,detections\n")
+    put(tmp_path / "c/twice_phases.csv", "phase,phase,timestamp\np,q,2.5\n")
+    put(tmp_path / "c/long_phases.csv", "phase,timestamp\n" + "".join(f"p{i},{i}\n" for i in range(5000)))
+    put(tmp_path / "c/empty_phases.csv", "")
+    with_splits = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in with_splits.items():
+        spark.conf.set(k, v)
+    got = rd.consolidate_csv(spark, str(tmp_path / "c"), "timestamp double, phase string, detections string").collect()
+    for k in with_splits:
+        spark.conf.unset(k)
+    rows = {v: sorted((r.timestamp, r.phase, r.detections) for r in got if r.video == v and r.timestamp is not None) for v in ("one", "twice", "long")}
+    assert rows["one"] == [(0.5, None, None), (1.5, None, None)] and rows["twice"] == [(2.5, "p", None)]
+    assert rows["long"] == [(float(i), f"p{i}", None) for i in range(5000)]
+    assert [(r.timestamp, r.phase, r.detections) for r in got if r.video == "none"] == [(None, None, None)] * 2
+    put(tmp_path / "d/bare_phases.csv", "0.0,Ne-waza,2\n1.0,Ne-waza,2\n")
+    with pytest.raises(ValueError, match="bare_phases.csv"):
+        rd.consolidate_csv(spark, str(tmp_path / "d"), "timestamp double, phase string, detections string")
+
+
 def test_training_metrics(spark, tmp_path):
     put(tmp_path / "results.csv", "                  epoch,         val/box_loss,   val/cls_loss,   metrics/precision(B),   metrics/recall(B), lr\n"
         "                  0,     1.5,   2.5,    0.25,   0.75, 1\n")

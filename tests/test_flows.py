@@ -5,7 +5,7 @@ import random
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from footstats.operators.matches import mean_rest_ratio, rest_ratios
+from footstats.operators.matches import mean_rest_ratio, run_ratios
 from footstats.operators.models import Recipe
 from footstats.plans import model_flow as mf
 from footstats.plans.clock_flow import clock_matches
@@ -23,10 +23,10 @@ def test_clock_to_matches(spark):
         text = f"{int(clock) // 60}:{int(clock) % 60:02d}" if frame % 7 else "??"
         rows.append(("v", frame, text))
     readings = spark.createDataFrame(rows, "video string, frame long, raw_text string")
-    flags, segments = clock_matches(readings, fps, pause_seconds=20)
+    runs, segments = clock_matches(readings, fps, pause_seconds=20)
     found = sorted((r.start_frame, r.end_frame) for r in segments.collect())
     assert len(found) == 2 and all(150 <= e % 300 <= 250 for _, e in found)
-    ratios = rest_ratios(flags, segments)
+    ratios = run_ratios(runs, segments)
     assert ratios.count() == 2 and 0 < mean_rest_ratio(ratios).first().mean_zero_ratio < 0.5
 
 

@@ -141,6 +141,19 @@ def test_join_covering(spark, width):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_interval_cells_are_few_and_partition_the_interval(spark):
+    rng = random.Random(8)
+    spans = [(a, a + n) for a, n in [(-70, 200), (0, 0), (5, -1), (0, 511), (1, 510), (0, 8 * 512)] + [(rng.randint(-999, 999), rng.randint(0, 700)) for _ in range(60)]]
+    df = spark.createDataFrame(spans, "a long, b long")
+    for levels, fan in ((1, 8), (3, 8), (4, 2)):
+        for r in df.withColumn("cells", ops.interval_cells(F.col("a"), F.col("b"), levels, fan)).collect():
+            covered = sorted(x for level, cell in r.cells for x in range(cell * fan**level, (cell + 1) * fan**level))
+            assert covered == list(range(r.a, r.b + 1))
+    hours = spark.createDataFrame([(s, s + 7 * 3600.0) for s in (0.0, 63.0, 1000.0, 30000.5)], "start double, end double")
+    base = [F.floor(F.col(c) / 64) for c in ("start", "end")]
+    assert hours.select(F.max(F.size(ops.interval_cells(*base, 4, 8)))).first()[0] < 50
+
+
 def test_label_statistics(spark):
     rows = [("f", 0, 1, 1, 0), ("f", 1, 1, 0, 0), ("g", 0, 0, 0, 0)]
     df = spark.createDataFrame(rows, sc.SECOND_LABELS)

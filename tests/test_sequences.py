@@ -303,6 +303,9 @@ def test_rest_ratios(spark):
         spark.createDataFrame([("v", 0, 3)], "video string, start_frame long, end_frame long"),
     ).first()
     assert (round(golden.zero_ratio, 4), round(golden.not_zero_ratio, 4)) == (0.6667, 0.3333)
+    for size in (7, 64, 4096):  # runs cut elsewhere than the ranges
+        again = mt.run_ratios(mt.frame_runs(df, size=size), segs, width=16).orderBy("start_frame").collect()
+        assert list(map(tuple, again)) == list(map(tuple, got))
     mean = mt.mean_rest_ratio(mt.rest_ratios(df, segs)).first()
     assert mean.mean_zero_ratio == pytest.approx(sum(flags[s:e].count(0) / (e - s) for s, e in found) / len(found))
 
@@ -355,6 +358,24 @@ def test_exact_quantile(spark, q):
         assert r.out == pytest.approx(lo + (hi - lo) * (k - math.floor(k)), rel=1e-12, abs=1e-300)
 
 
+@pytest.mark.parametrize("small", [1, 3, 20])
+def test_exact_quantile_divides_narrow_bands(spark, small):
+    rng = random.Random(small)
+    groups = {
+        "clock": [1.7e12 + rng.randint(0, 86_400_000) for _ in range(200)], "copies": [5.5] * 150 + [5.5 + i * 1e-12 for i in range(50)],
+        "below": [-1e300 * (1 + i * 1e-15) for i in range(99)], "tiny": [5e-324 * i for i in range(40)],
+    }
+    df = frame_df(spark, [(g, x, i) for g, xs in groups.items() for i, x in enumerate(xs)], "g string, x double, at long")
+    for q in (0.1, 0.5, 0.995):
+        got = exact_quantile(df, "x", q, ["g"], "out", extent="at", small=small).collect()
+        assert {(r.g, r.at_first, r.at_last) for r in got} == {(g, 0, len(xs) - 1) for g, xs in groups.items()}
+        for r in got:
+            xs = sorted(groups[r.g])
+            k = q * (len(xs) - 1)
+            lo, hi = xs[math.floor(k)], xs[math.ceil(k)]
+            assert r.out == pytest.approx(lo + (hi - lo) * (k - math.floor(k)), rel=1e-15, abs=1e-323)
+
+
 def test_exact_quantile_without_groups(spark):
     df = spark.range(11).select(F.col("id").cast("double").alias("x"))
     assert exact_quantile(df, "x", 0.995, [], "q").first().q == pytest.approx(9.95)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from footstats.operators import dedup as dd
 from footstats.operators.matches import frame_runs, segment_matches
-from footstats.operators.quantiles import exact_quantile
+from footstats.operators.motion import major_actions
+from footstats.operators.quantiles import _bucket, _inside, exact_quantile
 from footstats.operators.sequences import nearest_marks, spread_over_chunks, with_halo, with_position
 
 HOT = 40_000
@@ -77,6 +78,22 @@ def test_quantile_of_a_hot_group(spark):
     assert got["hot"] == 48.0 and len(got) == 101
 
 
+def test_quantile_of_a_narrow_band(spark):
+    """One group whose values agree in their leading digits, as times do: all lie in one logarithmic bucket."""
+    df = spark.range(HOT).select(F.lit("hot").alias("video"), (F.lit(1.7e12) + F.col("id") * 1000).alias("x"))
+    got = exact_quantile(df, "x", 0.25, ["video"], "q", small=500)
+    assert got.first().q == 1.7e12 + 9_999_750
+    cell = df.groupBy("video").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi")).withColumn("_b", _bucket(F.col("_lo")))
+    inside = _inside(df.withColumnRenamed("x", "_x"), cell, ["video"])
+    assert inside.count() == HOT and largest_task(inside) < HOT / 3
+
+
+def test_major_actions_of_a_hot_video(spark):
+    got = major_actions(frames(spark), "x", 0.5, 3, size=SIZE)
+    assert got.where("video = 'hot'").count() > 6000
+    assert largest_task(got) < got.count() / 3
+
+
 def test_copies_of_one_file(spark, monkeypatch):
     monkeypatch.setattr(dd, "HOT_ROWS", 2000)
     rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
