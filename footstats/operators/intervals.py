@@ -15,6 +15,9 @@ _LISTS = ["matches", "actives", "standings"]
 _GAP_LISTS = ["not_matches", "not_actives", "not_standings"]
 
 
+#: Points of a piece of a recording, level by level.
+PIECE_POINTS = (1 << 12, 1 << 6)
+
 def load_intervals(export: DataFrame) -> DataFrame:
     """Export tasks -> ``file`` and one interval list per label, in annotation order.
 
@@ -109,16 +112,38 @@ def recording_points(bounds: DataFrame, step: float = 5) -> DataFrame:
     )
 
 
+def _cut_pieces(rows: DataFrame, width: int, step: float) -> DataFrame:
+    """Rows of points (``_first``, ``_n``) cut into pieces of ``width`` points with the intervals that may cover one of them."""
+    # No filter for rows without points: below the explode it would compute their lists once more.
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / width))
+    piece = F.explode(F.when(F.col("_n") > 0, pieces).otherwise(F.array().cast("array<long>")))
+    cut = rows.withColumn("_whole", F.col("_n") <= width).withColumn("_piece", piece).withColumn(
+        "_n", F.least(F.lit(width).cast("long"), F.col("_n") - F.col("_piece") * width)
+    ).withColumn("_first", F.col("_first") + F.col("_piece") * width)
+    last = F.col("min_start") + (F.col("_first") + F.col("_n") - 1) * F.lit(step)
+    first_end = F.least(F.col("min_start") + (F.col("_first") + 1) * F.lit(step), "max_end")
+    reaching = F.filter("annotations", lambda a: (a["start"] <= last) & (a["end"] >= first_end))
+    return cut.withColumn("annotations", F.when(F.col("_whole"), F.col("annotations")).otherwise(reaching)).drop("_whole", "_piece")
+
+
 def discretize(nested: DataFrame, step: float = 5) -> DataFrame:
     """``(file, annotations)`` -> ``(file, time, is_match, is_active, is_standing)``.
 
     A point is 1 when one single interval of the label covers it up to the next point;
-    two adjacent intervals do not add up. ``time`` is double (starts may be fractional).
+    two adjacent intervals do not add up. ``time`` is double (starts may be fractional). Points of a long recording
+    are cut into pieces, and these into smaller ones; each takes along only the intervals that reach
+    into it, so no point is compared with all intervals.
     """
-    bounds = nested.withColumn(
-        "min_start", F.array_min(F.transform("annotations", lambda a: a["start"]))
-    ).withColumn("max_end", F.array_max(F.transform("annotations", lambda a: a["end"])))
-    points = recording_points(bounds, step)
+    lowest = F.array_min(F.transform("annotations", lambda a: a["start"]))
+    highest = F.array_max(F.transform("annotations", lambda a: a["end"]))
+    rows = nested.select("file", "annotations", lowest.alias("min_start"), highest.alias("max_end"))
+    rows = rows.withColumn("_first", F.lit(0).cast("long")).withColumn("_n", F.ceil((F.col("max_end") - F.col("min_start")) / F.lit(step)))
+    for width in PIECE_POINTS:
+        rows = _cut_pieces(rows, width, step)
+    at = lambda i: F.col("min_start") + i * F.lit(step)
+    points = rows.withColumn("_i", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1))).select(
+        "file", "annotations", at(F.col("_i")).alias("time"), F.least(at(F.col("_i") + 1), "max_end").alias("next_time")
+    )
 
     def covered(label: str) -> Column:
         return F.exists(
@@ -129,6 +154,10 @@ def discretize(nested: DataFrame, step: float = 5) -> DataFrame:
     return points.select("file", "time", *[covered(l).alias(f"is_{l.lower()}") for l in INTERVAL_LABELS])
 
 
+def _on_level(cells: Column, level: int) -> Column:
+    return F.transform(cells, lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
+
+
 def interval_cells(first: Column, last: Column, levels: int, fan: int) -> Column:
     """array<struct<level, cell>> that together are the base cells ``first`` to ``last``, each once.
 
@@ -148,7 +177,7 @@ def interval_cells(first: Column, last: Column, levels: int, fan: int) -> Column
         if k + 1 < levels:
             ends = F.concat(run(from_[k], fan * from_[k + 1] - 1), run(fan * (to[k + 1] + 1), to[k]))
             mine = F.when(from_[k + 1] <= to[k + 1], ends).otherwise(mine)
-        cells.append(F.transform(mine, lambda c, k=k: F.struct(F.lit(k).alias("level"), c.alias("cell"))))
+        cells.append(_on_level(mine, k))
     return F.concat(*cells)
 
 

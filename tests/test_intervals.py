@@ -1,6 +1,7 @@
 """Interval rules against golden rows and plain loops."""
 
 import json
+import math
 import random
 
 import pytest
@@ -141,6 +142,42 @@ def test_join_covering(spark, width):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_discretize_a_recording_of_many_intervals(spark, monkeypatch):
+    """20 000 short intervals and some long ones: work grows with points and intervals, not with their product."""
+    rng = random.Random(4)
+    labels = ["Match", "Active", "Standing", "Not Match"]
+    spans = [(rng.choice(labels), s, s + rng.choice([0.5, 1.0, 2.5, 7.0])) for s in (i * 1.25 for i in range(20_000))]
+    spans += [("Match", 100.0, 20_000.0), ("Active", 0.25, 60.0), ("Standing", 24_000.0, 25_010.0)]
+    nested = spark.createDataFrame([("f", spans)], "file string, annotations array<struct<labels:string,start:double,end:double>>")
+    got = {r.time: (r.is_match, r.is_active, r.is_standing) for r in ops.discretize(nested, 1).collect()}
+    end = max(e for _, _, e in spans)
+    assert len(got) == math.ceil(end)
+    furthest, at = dict.fromkeys(labels, -1.0), 0
+    ordered = sorted(spans, key=lambda x: x[1])
+    for t in range(math.ceil(end)):
+        while at < len(ordered) and ordered[at][1] <= t:
+            furthest[ordered[at][0]] = max(furthest[ordered[at][0]], ordered[at][2])
+            at += 1
+        assert got[float(t)] == tuple(int(furthest[x] >= min(t + 1, end)) for x in labels[:3])
+
+
+@pytest.mark.parametrize("widths", [(8, 4, 2), (1,), (5, 3)])
+def test_discretize_in_small_pieces(spark, monkeypatch, widths):
+    monkeypatch.setattr(ops, "PIECE_POINTS", widths)
+    rng = random.Random(sum(widths))
+    rows = [(f"f{k}", [(rng.choice(["Match", "Active", "Standing"]), *random_interval(rng)) for _ in range(k)]) for k in range(12)]
+    nested = spark.createDataFrame(rows, "file string, annotations array<struct<labels:string,start:double,end:double>>")
+    got = {(r.file, r.time): (r.is_match, r.is_active, r.is_standing) for r in ops.discretize(nested, 2).collect()}
+    want = {}
+    for f, spans in rows:
+        if spans:
+            low, end = min(s for _, s, _ in spans), max(e for _, _, e in spans)
+            for i in range(math.ceil((end - low) / 2)):
+                t, n = low + i * 2, min(low + (i + 1) * 2, end)
+                want[f, t] = tuple(int(any(x == l and s <= t and e >= n for x, s, e in spans)) for l in ("Match", "Active", "Standing"))
+    assert got == want
+
+
 def test_interval_cells_are_few_and_partition_the_interval(spark):
     rng = random.Random(8)
     spans = [(a, a + n) for a, n in [(-70, 200), (0, 0), (5, -1), (0, 511), (1, 510), (0, 8 * 512)] + [(rng.randint(-999, 999), rng.randint(0, 700)) for _ in range(60)]]
