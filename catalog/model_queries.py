@@ -112,7 +112,15 @@ def _shown(perf):
 
 
 def _fit(recipe):
-    return lambda spark, d: _shown(md.fit_recipe(feature_table(spark, d), recipe))
+    """The perf record with its scores: mean F1 of each grid point over the folds, the chosen point, F1 of the test rows."""
+    def query(spark, d):
+        perf = md.fit_recipe(feature_table(spark, d), recipe)
+        point = F.array_position("avg_metrics", F.array_max("avg_metrics")).cast("int")
+        rounded = [F.round(F.element_at("avg_metrics", i), 3).alias(f"f1_point_{i}") for i in (1, 2)]
+        scores = perf.select("feature", "label", point.alias("chosen_point"), *rounded, F.round("test_metric", 3).alias("test_f1"))
+        return _shown(perf).join(scores, ["feature", "label"])
+
+    return query
 
 
 def sweep(spark, d):
@@ -189,16 +197,69 @@ def _fit_sql(rows):
         GROUP BY feature, label, grid_points"""
 
 
+def _scores_sql(feature, d, x, lag=0, label="is_active", points=_GRID["reg_param"], steps=300):
+    """A perf record by plain gradient descent: ridge-penalised logistic models, each with features scaled on its own rows.
+
+    ``x`` makes the ``d`` features of a row from ``e`` and its lags ``e1``, ``e2``. A fit is a fold left out (-1: none, the
+    final model) and a penalty; all are iterated together.
+    """
+    crc = " ".join(f"WHEN {m} THEN {_CRC[f'clips/mat_{m:02d}/0001.mp4']}" for m in range(10))
+    grid = ", ".join(f"({n}, {reg})" for n, reg in enumerate(points, 1))
+    truth = {"is_match": "vec_id % 2 > 0", "is_active": "embedding[1] > 0"}[label]
+    return f"""WITH RECURSIVE v AS (
+          SELECT vec_id, CASE label {crc} END AS crc, CAST({truth} AS INT) AS y, label AS own,
+                 list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        g AS (SELECT *, lag(e) OVER o AS e1, lag(e, 2) OVER o AS e2, row_number() OVER o AS n FROM v WINDOW o AS (PARTITION BY own ORDER BY vec_id)),
+        t AS (SELECT vec_id, crc, y, {x} AS x FROM g WHERE n > {lag}),
+        r AS (SELECT vec_id, y, x, crc % 100 < 80 AS train, crc % 3 AS part FROM t),
+        f(fold) AS (VALUES (-1), (0), (1), (2)), grid(point, reg) AS (VALUES {grid}),
+        own AS (SELECT fold, vec_id, y, x, train AND part <> fold AS learned,
+                       CASE WHEN fold < 0 THEN NOT train ELSE train AND part = fold END AS scored FROM r, f),
+        sd AS (SELECT fold, list(s ORDER BY i) AS sd FROM (
+                 SELECT fold, i, stddev_samp(x[i]) AS s FROM own, range(1, {d + 1}) k(i) WHERE learned GROUP BY fold, i) GROUP BY fold),
+        z AS MATERIALIZED (
+          SELECT fold, vec_id, y, learned, scored,
+                 list_append(list_transform(list_zip(x, sd), lambda p: coalesce(p[1] / nullif(p[2], 0), 0.0)), 1.0) AS x
+          FROM own JOIN sd USING (fold) WHERE learned OR scored),
+        w(fold, point, reg, step, w) AS (
+          SELECT fold, point, reg, 0, list_transform(range(0, {d + 1}), lambda i: CAST(0 AS DOUBLE)) FROM f, grid
+          UNION ALL
+          SELECT fold, point, reg, step + 1, list(c ORDER BY i) FROM (
+            SELECT fold, point, reg, step, i,
+                   any_value(w[i]) - 1.5 * (avg((p - y) * x[i]) + CASE WHEN i <= {d} THEN reg * any_value(w[i]) ELSE 0 END) AS c
+            FROM (SELECT w.*, z.x, z.y, 1 / (1 + exp(-list_dot_product(w.w, z.x))) AS p
+                  FROM w JOIN z ON z.fold = w.fold AND learned WHERE step < {steps}), range(1, {d + 2}) k(i)
+            GROUP BY fold, point, reg, step, i) GROUP BY fold, point, reg, step),
+        said AS (SELECT w.fold, point, y, CAST(list_dot_product(w.w, z.x) > 0 AS INT) AS said
+                 FROM w JOIN z ON z.fold = w.fold AND scored WHERE step = {steps}),
+        cls AS (SELECT fold, point, l, sum(CAST(y = l AS INT)) AS n, sum(CAST(said = l AS INT)) AS m,
+                       sum(CAST(y = l AND said = l AS INT)) AS hit, count(*) AS total
+                FROM said, (VALUES (0), (1)) c(l) GROUP BY fold, point, l),
+        f1 AS (SELECT fold, point, sum(n / total * coalesce(2 * hit / nullif(n + m, 0), 0)) AS f1 FROM cls GROUP BY fold, point),
+        mean AS (SELECT point, avg(f1) AS f1 FROM f1 WHERE fold >= 0 GROUP BY point),
+        best AS (SELECT point FROM mean ORDER BY f1 DESC, point LIMIT 1)
+        SELECT '{feature}' AS feature, '{label}' AS label, 'f1' AS metric_name, (SELECT CAST(count(*) AS INT) FROM grid) AS grid_points,
+               (SELECT min(f1) >= 0 AND max(f1) <= 1 FROM f1) AS scored, CAST(b.point AS INT) AS chosen_point,
+               (SELECT round(f1, 3) FROM mean WHERE point = 1) AS f1_point_1, (SELECT round(f1, 3) FROM mean WHERE point = 2) AS f1_point_2,
+               round(f1.f1, 3) AS test_f1,
+               (SELECT count(*) FROM r WHERE train) AS train_size, (SELECT count(*) FROM r WHERE train AND y = 1) AS train_positive,
+               (SELECT count(*) FROM r WHERE NOT train) AS test_size, (SELECT count(*) FROM r WHERE NOT train AND y = 1) AS test_positive
+        FROM best b JOIN f1 ON f1.point = b.point AND f1.fold = -1"""
+
+
 # DuckDB has no crc32: the digests of the stand-in's ten file names.
 _CRC = {f"clips/mat_{m:02d}/0001.mp4": zlib.crc32(f"clips/mat_{m:02d}/0001.mp4".encode()) for m in range(10)}
+_CORNER = """list_transform(range(12), lambda j: list_sum(list_transform(range(64), lambda n: 8 * e[n + 1]
+          * cos(pi() * (j // 6) * (2 * (n // 16) + 1) / 8) * cos(pi() * (j // 3 % 2) * (2 * (n // 4 % 4) + 1) / 8)
+          * cos(pi() * (j % 3) * (2 * (n % 4) + 1) / 8))))"""
 _SWEPT = [("emb", 0), ("emb_dctn", 0), ("emb_dct_d16", 0), ("emb_lag1", 1), ("emb_dct_d8_lag2", 2)]
 
 ORACLES = {
-    "fit_plain": _fit_sql([("emb", "is_active", 0, 2)]),
-    "fit_truncated": _fit_sql([("emb_d16", "is_active", 0, 2)]),
-    "fit_dctn": _fit_sql([("emb_dctn", "is_active", 0, 2)]),
-    "fit_lagged": _fit_sql([("emb_lag1", "is_active", 1, 2)]),
-    "fit_lagged_truncated": _fit_sql([("emb_d8_lag2", "is_active", 2, 2)]),
+    "fit_plain": _scores_sql("emb", 64, "e"),
+    "fit_truncated": _scores_sql("emb_d16", 16, "e[1:16]"),
+    "fit_dctn": _scores_sql("emb_dctn", 12, _CORNER),
+    "fit_lagged": _scores_sql("emb_lag1", 128, "list_concat(e, e1)", 1),
+    "fit_lagged_truncated": _scores_sql("emb_d8_lag2", 24, "list_concat(e[1:8], e1[1:8], e2[1:8])", 2),
     "sweep": _fit_sql([(f, label, k, 1) for label in ("is_match", "is_active") for f, k in _SWEPT]),
     "model_reload": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM embeddings",
     "feature_join": """SELECT printf('clips/mat_%02d/0001.mp4', label) AS file, vec_id AS time,
