@@ -102,32 +102,27 @@ RECIPES = {
 
 
 def _shown(perf):
-    """What of a perf record depends on the data alone, and whether its scores are scores."""
+    """What of a perf record depends on the data alone: sizes, the mean F1 of each of the two grid points over the folds, the chosen
+    point and the F1 of the test rows."""
     share = lambda c: (c >= 0) & (c <= 1)
     return perf.select(
         "feature", "label", "metric_name", F.size("avg_metrics").alias("grid_points"),
         (F.forall("avg_metrics", share) & share(F.col("test_metric"))).alias("scored"),
+        F.array_position("avg_metrics", F.array_max("avg_metrics")).cast("int").alias("chosen_point"),
+        *[F.round(F.element_at("avg_metrics", i), 3).alias(f"f1_point_{i}") for i in (1, 2)], F.round("test_metric", 3).alias("test_f1"),
         "train_size", "train_positive", "test_size", "test_positive",
     )
 
 
 def _fit(recipe):
-    """The perf record with its scores: mean F1 of each grid point over the folds, the chosen point, F1 of the test rows."""
-    def query(spark, d):
-        perf = md.fit_recipe(feature_table(spark, d), recipe)
-        point = F.array_position("avg_metrics", F.array_max("avg_metrics")).cast("int")
-        rounded = [F.round(F.element_at("avg_metrics", i), 3).alias(f"f1_point_{i}") for i in (1, 2)]
-        scores = perf.select("feature", "label", point.alias("chosen_point"), *rounded, F.round("test_metric", 3).alias("test_f1"))
-        return _shown(perf).join(scores, ["feature", "label"])
-
-    return query
+    return lambda spark, d: _shown(md.fit_recipe(feature_table(spark, d), recipe))
 
 
 def sweep(spark, d):
     """Every kind of recipe for both labels, over one staged table."""
     recipes = md.recipes_for(
-        ["emb"], ["is_match", "is_active"], truncations=(16,), lags=(1,), lagged_truncations=((8, 2),),
-        tensors={"emb": (4, 4, 4)}, filter_size=(2, 2, 3), grid={"reg_param": (0.01,)},
+        ["emb"], ["is_match", "is_active"], truncations=(8, 16), lags=(1,), lagged_truncations=((8, 2), (16, 1)),
+        tensors={"emb": (4, 4, 4)}, filter_size=(2, 2, 3), grid=_GRID,
     )
     return _shown(md.sweep(feature_table(spark, d), recipes))
 
@@ -180,23 +175,6 @@ def _dct_sql(d):
         FROM x, range({d}) f(k) GROUP BY vec_id, k"""
 
 
-def _fit_sql(rows):
-    """Split sizes of recipes given as (feature, label, lag, grid points)."""
-    values = ", ".join(f"('{f}', '{label}', {k}, {n})" for f, label, k, n in rows)
-    return f"""WITH t AS (
-          SELECT printf('clips/mat_%02d/0001.mp4', label) AS file, vec_id % 2 > 0 AS is_match, embedding[1] > 0 AS is_active,
-                 row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings),
-        s AS (SELECT *, CASE file {" ".join(f"WHEN '{f}' THEN {crc}" for f, crc in _CRC.items())} END % 100 < 80 AS train FROM t),
-        r(feature, label, k, grid_points) AS (VALUES {values})
-        SELECT feature, label, 'f1' AS metric_name, CAST(grid_points AS INTEGER) AS grid_points, true AS scored,
-               count(CASE WHEN train THEN 1 END) AS train_size,
-               count(CASE WHEN train AND y THEN 1 END) AS train_positive,
-               count(CASE WHEN NOT train THEN 1 END) AS test_size,
-               count(CASE WHEN NOT train AND y THEN 1 END) AS test_positive
-        FROM (SELECT r.*, train, CASE r.label WHEN 'is_match' THEN is_match ELSE is_active END AS y FROM r JOIN s ON s.pos >= r.k)
-        GROUP BY feature, label, grid_points"""
-
-
 def _scores_sql(feature, d, x, lag=0, label="is_active", points=_GRID["reg_param"], steps=300):
     """A perf record by plain gradient descent: ridge-penalised logistic models, each with features scaled on its own rows.
 
@@ -252,7 +230,20 @@ _CRC = {f"clips/mat_{m:02d}/0001.mp4": zlib.crc32(f"clips/mat_{m:02d}/0001.mp4".
 _CORNER = """list_transform(range(12), lambda j: list_sum(list_transform(range(64), lambda n: 8 * e[n + 1]
           * cos(pi() * (j // 6) * (2 * (n // 16) + 1) / 8) * cos(pi() * (j // 3 % 2) * (2 * (n // 4 % 4) + 1) / 8)
           * cos(pi() * (j % 3) * (2 * (n % 4) + 1) / 8))))"""
-_SWEPT = [("emb", 0), ("emb_dctn", 0), ("emb_dct_d16", 0), ("emb_lag1", 1), ("emb_dct_d8_lag2", 2)]
+
+
+def _dct_of(vector, d):
+    return f"""list_transform(range({d}), lambda k: CASE WHEN k = 0 THEN sqrt(1 / 64) ELSE sqrt(2 / 64) END
+          * list_sum(list_transform(range(64), lambda n: {vector}[n + 1] * cos(pi() * k * (2 * n + 1) / 128))))"""
+
+
+#: Swept recipes: feature, number of features, what makes them, lag.
+_SWEPT = [
+    ("emb", 64, "e", 0), ("emb_dctn", 12, _CORNER, 0), ("emb_dct_d8", 8, _dct_of("e", 8), 0), ("emb_dct_d16", 16, _dct_of("e", 16), 0),
+    ("emb_lag1", 128, "list_concat(e, e1)", 1),
+    ("emb_dct_d8_lag2", 24, f"list_concat({_dct_of('e', 8)}, {_dct_of('e1', 8)}, {_dct_of('e2', 8)})", 2),
+    ("emb_dct_d16_lag1", 32, f"list_concat({_dct_of('e', 16)}, {_dct_of('e1', 16)})", 1),
+]
 
 ORACLES = {
     "fit_plain": _scores_sql("emb", 64, "e"),
@@ -260,7 +251,9 @@ ORACLES = {
     "fit_dctn": _scores_sql("emb_dctn", 12, _CORNER),
     "fit_lagged": _scores_sql("emb_lag1", 128, "list_concat(e, e1)", 1),
     "fit_lagged_truncated": _scores_sql("emb_d8_lag2", 24, "list_concat(e[1:8], e1[1:8], e2[1:8])", 2),
-    "sweep": _fit_sql([(f, label, k, 1) for label in ("is_match", "is_active") for f, k in _SWEPT]),
+    "sweep": " UNION ALL ".join(
+        f"SELECT * FROM ({_scores_sql(f, d, x, lag, label)})" for label in ("is_match", "is_active") for f, d, x, lag in _SWEPT
+    ),
     "model_reload": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM embeddings",
     "feature_join": """SELECT printf('clips/mat_%02d/0001.mp4', label) AS file, vec_id AS time,
         CAST(vec_id % 2 AS INTEGER) AS is_match,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
@@ -168,11 +169,12 @@ def save_model(model: CrossValidatorModel, path: str) -> CrossValidatorModel:
     return CrossValidatorModel.load(path)
 
 
-def sweep(df: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
+def sweep(df: DataFrame, recipes: Sequence[Recipe], at_once: int = 4) -> DataFrame:
     """Perf records of many recipes over one staged table.
 
     Features, split and the lags up to the largest ``k`` are computed and written once; a recipe takes its
-    columns and the rows that have all its lags.
+    columns and the rows that have all its lags. ``at_once`` recipes are fitted side by side, as the steps of one
+    fit wait for each other; the times of a record are wall times beside the others.
     """
     features = sorted({c for r in recipes for c in r.features})
     labels = sorted({r.label for r in recipes})
@@ -190,7 +192,8 @@ def sweep(df: DataFrame, recipes: Sequence[Recipe]) -> DataFrame:
         whole = F.greatest(*[F.col(c).isNull().cast("int") for c in cols], F.lit(0)) == 0
         return shared.where(whole).select("file", "time", "split", recipe.label, *cols)
 
-    return union_all(*[fit_prepared(own(r), r) for r in recipes])
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return union_all(*pool.map(lambda r: fit_prepared(own(r), r), recipes))
 
 
 def recipes_for(
