@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import sql
 from catalog.standins import boxes, frames, nested_frames, pixels, video_manifest
+from footstats.functions.boxes import parse_boxes
 from footstats.operators import detections as dt
 from footstats.operators import motion as mo
 from footstats.operators import statistics as st
@@ -32,6 +33,15 @@ def primary_center_text(spark, d):
     return _round(dt.primary_centers(cells, "cell").drop("cell"), "cx", "cy")
 
 
+def phase_log(spark, d):
+    """The log keeps the number of boxes and the boxes; the centre is read back from the boxes' cell."""
+    log = dt.frame_phases(frames(spark, d), boxes(spark, d), keep="detections").drop("cx", "cy")
+    kept = dt.primary_centers(log, "detections").withColumn("_boxes", parse_boxes(F.col("detections")))
+    total = F.aggregate("_boxes", F.lit(0.0), lambda a, b: a + b["x1"] + b["x2"] + b["y1"] + b["y2"])
+    kept = kept.select("video", "frame", "phase", "n_detections", F.size("_boxes").cast("long").alias("n_kept"), total.alias("coordinates"), "cx", "cy")
+    return _round(kept, "coordinates", "cx", "cy")
+
+
 def box_features(spark, d):
     return _round(dt.box_features(boxes(spark, d)), "aspect_ratio")
 
@@ -118,7 +128,7 @@ def motion_quantile(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        phase_classify, phase_nested, primary_center_text, box_features, box_percent, box_results, box_filter,
+        phase_classify, phase_log, phase_nested, primary_center_text, box_features, box_percent, box_results, box_filter,
         top3_boxes, task_score, boxes_per_frame, colour_vote, sampled_frames, video_keys, valid_rows,
         motion_filled, motion_intensity, motion_smoothed, major_actions, motion_quantile,
     )
@@ -133,6 +143,9 @@ _QUANTILE = """limits AS (SELECT video, quantile_cont(smoothed_intensity, 0.995)
 ORACLES = {
     "phase_classify": f"""{_B} SELECT video, frame, n_detections, phase, round(cx, 6) AS cx, round(cy, 6) AS cy
         FROM phases""",
+    "phase_log": f"""{_B}, kept AS (SELECT video, frame, count(*) AS n_kept, sum(x1 + x2 + y1 + y2) AS coordinates FROM boxes GROUP BY ALL)
+        SELECT video, frame, phase, n_detections, coalesce(n_kept, 0) AS n_kept, round(coalesce(coordinates, 0), 6) AS coordinates,
+               round(cx, 6) AS cx, round(cy, 6) AS cy FROM phases LEFT JOIN kept USING (video, frame)""",
     "phase_nested": f"""{_B} SELECT video, frame, n_detections, phase, round(cx, 6) AS cx, round(cy, 6) AS cy
         FROM phases WHERE n_detections > 0""",
     "primary_center_text": f"""{_B} SELECT video, frame, round(cx, 6) AS cx, round(cy, 6) AS cy

@@ -27,8 +27,12 @@ def json_combined(spark, d):
     rows = clock_readings(spark, d).select(
         F.col("frame").alias("frame_number"), F.col("video").cast("string").alias("filename"), "raw_text"
     )
-    wr.write_json(rows, path)
-    back = rd.combine_json(spark, path, sc.CLOCK_READINGS, multi_line=False)
+    # One array for each stretch of a thousand frames of a video, all in one folder.
+    arrays = rows.groupBy("filename", F.expr("frame_number div 1000").alias("part")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ",\n"), F.lit("\n]")).alias("value")
+    )
+    arrays.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    back = rd.combine_json(spark, path, sc.CLOCK_READINGS, glob="*.txt")
     return back.select("frame_number", "filename", "raw_text")
 
 

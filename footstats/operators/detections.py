@@ -17,6 +17,8 @@ from footstats.vocab import CLOCK_FPS, ENTITIES, ENTITY_COLOURS, REFEREE_CLASS,
 FRAME = ("video", "frame")
 _CORNERS = ("x1", "y1", "x2", "y2")
 
+COORDINATES = ("x1", "y1", "x2", "y2")
+
 
 def _area() -> Column:
     return bx.area(*(F.col(c) for c in _CORNERS))
@@ -88,26 +90,33 @@ def boxes_per_frame(frames: DataFrame, boxes: DataFrame, by: Sequence[str] = FRA
 
 
 def frame_phases(
-    frames: DataFrame, boxes: DataFrame, by: Sequence[str] = FRAME, threshold: float = STANDING_HEIGHT
+    frames: DataFrame, boxes: DataFrame, by: Sequence[str] = FRAME, threshold: float = STANDING_HEIGHT, keep: str | None = None
 ) -> DataFrame:
     """Number of boxes, phase and centre of the largest box per frame.
 
+    ``keep`` names a column that also carries the boxes themselves, as text ``[[x1, y1, x2, y2], …]`` in the order of
+    ``place`` (``[]`` without boxes): the cell of a phase log that ``primary_centers`` reads. A frame's boxes are few,
+    as a detector bounds them.
+
     Boxes are reduced before they meet the frames; on equal areas the box with the
     smaller ``place`` wins (its order in the detector output).
     """
     by = list(by)
     height = F.col("y2") - F.col("y1")
     # Coordinates last: equal areas and places still have one winner.
-    best = F.struct(_area(), -F.col("place"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    best = F.struct(_area(), -F.col("place"), *[F.col(c) for c in COORDINATES])
     per_frame = boxes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_detections"),
         F.when(F.count(height) == F.count(F.lit(1)), F.avg(height)).alias("_height"),
         F.max_by((F.col("x1") + F.col("x2")) / 2, best).alias("cx"),
         F.max_by((F.col("y1") + F.col("y2")) / 2, best).alias("cy"),
+        *([F.array_sort(F.collect_list(F.struct("place", *COORDINATES))).alias("_boxes")] if keep else []),
     )
+    lists = F.transform("_boxes", lambda b: F.array(*[b[c].cast("double") for c in COORDINATES])) if keep else None
+    kept = [F.coalesce(F.to_json(lists), F.lit("[]")).alias(keep)] if keep else []
     n = F.coalesce("n_detections", F.lit(0).cast("long"))
     return frames.join(per_frame, by, "left").select(
-        *frames.columns, n.alias("n_detections"), bx.phase(n, F.col("_height"), threshold).alias("phase"), "cx", "cy"
+        *frames.columns, n.alias("n_detections"), bx.phase(n, F.col("_height"), threshold).alias("phase"), "cx", "cy", *kept
     )
 
 

@@ -61,9 +61,9 @@ def read_second_labels(spark: SparkSession, path: str | list[str], multi_line: b
     return rows.withColumn("time", F.col("time").cast("long"))
 
 
-def combine_json(spark: SparkSession, folder: str, schema: str, multi_line: bool = True) -> DataFrame:
-    """All JSON files of a folder as one table, with the file each record came from."""
-    reader = spark.read.schema(schema).option("multiLine", multi_line).option("pathGlobFilter", "*.json")
+def combine_json(spark: SparkSession, folder: str, schema: str, multi_line: bool = True, glob: str = "*.json") -> DataFrame:
+    """All JSON files of a folder (arrays of records, or with ``multi_line=False`` a record a line) as one table, with the file each record came from."""
+    reader = spark.read.schema(schema).option("multiLine", multi_line).option("pathGlobFilter", glob)
     return reader.json(folder).select("*", _file_path().alias("source"))
 
 

@@ -1,4 +1,7 @@
-"""Explicit schemas (Spark DDL) of the tables that footage tools leave behind."""
+"""Explicit schemas (Spark DDL) of the tables that footage tools leave behind.
+
+Fixed values: names and types are those of the stored tables.
+"""
 
 ANNOTATION_EXPORT = """
     id long, project long,
@@ -14,12 +17,5 @@ PERF = """
     test_time double, test_metric double, label string,
     train_size long, train_positive long, test_size long, test_positive long
 """
-CLASS_PROBABILITIES = "labels array<string>, path string, prob array<double>"
 CLOCK_READINGS = "frame_number long, filename string, available boolean, minutes int, seconds int, raw_text string"
-DETECTIONS = "frame long, name string, x1 int, y1 int, x2 int, y2 int, aspect_ratio double, confidence double"
 PHASE_LOG = "timestamp double, phase string, detections string"
-PROJECT_MANIFEST = "video string, video_path string, path string, video_name string, name string"
-POSES = """
-    frame_index long, framerate double, pred_boxes array<array<double>>, scores array<double>,
-    pred_classes array<int>, pred_keypoints array<array<array<double>>>
-"""

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of one file inside the folder of a video.
+FILE_ROWS = 1_000_000
+
 
 def write_table(df: DataFrame, path: str, partitions: int | None = None) -> None:
     """Parquet, overwriting; ``partitions`` sets the number of files by an even exchange."""
@@ -20,9 +23,15 @@ def write_json(df: DataFrame, path: str, files: int | None = None) -> None:
     out.write.mode("overwrite").json(path)
 
 
-def write_phases(df: DataFrame, path: str, by: Sequence[str] = ("video",)) -> None:
-    """Phase log as CSV with a header, one folder per video."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
+def _in_order(df: DataFrame, by: Sequence[str], order: str, rows: int):
+    """A writer of bounded files, one folder per ``by``: a hot key is dealt to several tasks, and files follow each other in ``order``."""
+    dealt = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+    return dealt.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(*by)
+
+
+def write_phases(df: DataFrame, path: str, by: Sequence[str] = ("video",), order: str = "timestamp", rows: int = FILE_ROWS) -> None:
+    """Phase log as CSV with a header, one folder per video; files of at most ``rows`` rows, in the order of their names."""
+    _in_order(df, by, order, rows).option("header", True).csv(path)
 
 
 def write_lines(df: DataFrame, col: str, path: str) -> None:
@@ -35,14 +44,16 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_chunks(
-    df: DataFrame, path: str, size: int = 480, frame: str = "frame_index", by: Sequence[str] = ()
+    df: DataFrame, path: str, size: int = 480, frame: str = "frame_index", by: Sequence[str] = (), rows: int = FILE_ROWS
 ) -> None:
-    """Parquet in chunks of ``size`` frames, one folder per chunk (below ``by``, e.g. the video).
+    """Parquet in chunks of ``size`` frames, one folder per chunk (below ``by``, e.g. the video), files of at most ``rows`` rows.
 
-    Small folders suit the readers of one recording; for archives choose a larger ``size``.
+    Small folders suit the readers of one recording; for archives choose a larger ``size``. Without ``by`` the frames of equal number of
+    all videos share a folder; ranges of frames keep its tasks apart all the same.
     """
     chunked = df.withColumn("chunk", F.floor(F.col(frame) / size).cast("int"))
-    chunked.repartition(*by, "chunk").write.mode("overwrite").partitionBy(*by, "chunk").parquet(path)
+    dealt = chunked.repartitionByRange(*by, "chunk", frame).sortWithinPartitions(*by, "chunk", frame)
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(*by, "chunk").parquet(path)
 
 
 def project_manifest(files: DataFrame, col: str = "path") -> DataFrame:
@@ -54,7 +65,8 @@ def project_manifest(files: DataFrame, col: str = "path") -> DataFrame:
     return videos.select(F.col(col).alias("video"), F.array().cast("array<string>").alias("annotations"))
 
 
-def write_subtitles(cues: DataFrame, path: str, by: Sequence[str] = ("video",)) -> None:
-    """Subtitle text in cue order, one folder per video; a long video may take several parts."""
+def write_subtitles(cues: DataFrame, path: str, by: Sequence[str] = ("video",), rows: int = FILE_ROWS) -> None:
+    """Subtitle text in cue order, one folder per video; files of at most ``rows`` cues, in the order of their names."""
     ordered = cues.repartitionByRange(*by, "cue").sortWithinPartitions(*by, "cue")
-    ordered.select(*by, F.col("text").alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+    texts = ordered.select(*by, F.col("text").alias("value"))
+    texts.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(*by).text(path)

@@ -99,6 +99,25 @@ def test_consolidated_files_lose_no_rows(spark, tmp_path):
         rd.consolidate_csv(spark, str(tmp_path / "d"), "timestamp double, phase string, detections string")
 
 
+def test_files_of_a_hot_video_are_bounded_and_in_order(spark, tmp_path):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").otherwise(F.concat(F.lit("v"), F.col("id") % 5)).alias("video"), F.col("id").cast("double").alias("timestamp"))
+    wr.write_phases(rows.repartition(7), str(tmp_path / "p"), rows=400)
+    wr.write_subtitles(rows.select("video", F.col("timestamp").cast("long").alias("cue"), F.col("timestamp").cast("string").alias("text")).repartition(7), str(tmp_path / "s"), rows=400)
+    wr.write_chunks(rows.withColumn("frame_index", F.col("timestamp").cast("long")).repartition(7), str(tmp_path / "c"), size=2500, rows=400)
+    for folder, pattern, skip in ((tmp_path / "p" / "video=hot", "*.csv", 1), (tmp_path / "s" / "video=hot", "*.txt", 0)):
+        parts = [[float(x) for x in f.read_text().split("\n")[skip:] if x] for f in sorted(folder.glob(pattern))]
+        assert len(parts) > 5 and max(map(len, parts)) <= 400
+        assert [x for p in parts for x in p] == [float(i) for i in range(2500)]
+    assert len(list((tmp_path / "c" / "chunk=0").glob("*.parquet"))) > 5
+
+
+def test_arrays_of_a_folder_are_combined(spark, tmp_path):
+    put(tmp_path / "j/a.json", '[\n {"frame_number": 1, "raw_text": "4:00"},\n {"frame_number": 2}\n]')
+    put(tmp_path / "j/b.json", '[{"frame_number": 3}]')
+    got = rd.combine_json(spark, str(tmp_path / "j"), sc.CLOCK_READINGS).collect()
+    assert sorted((r.frame_number, r.source.rsplit("/", 1)[-1]) for r in got) == [(1, "a.json"), (2, "a.json"), (3, "b.json")]
+
+
 def test_training_metrics(spark, tmp_path):
     put(tmp_path / "results.csv", "                  epoch,         val/box_loss,   val/cls_loss,   metrics/precision(B),   metrics/recall(B), lr\n"
         "                  0,     1.5,   2.5,    0.25,   0.75, 1\n")
