@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from catalog.standins import feature_table, frame_embeddings, frame_labels, table
+from catalog.standins import feature_table, frame_embeddings, frame_labels, model_embeddings, table
 from footstats.operators import features as ft
 from footstats.operators import models as md
 from footstats.operators import statistics as st
+from footstats.plans.model_flow import evaluate, evaluation_table
 from footstats.sources.staging import scratch_path
 
 _total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
@@ -127,6 +128,13 @@ def sweep(spark, d):
     return _shown(md.sweep(feature_table(spark, d), recipes))
 
 
+def evaluation_sweep(spark, d):
+    """All 99 models of the evaluation, in common passes."""
+    vectors = [ft.arrays_to_vectors(e, ["embedding"]) for e in model_embeddings(spark, d)]
+    recipes = md.evaluation_recipes(dict.fromkeys(md.TENSORS, (4, 4, 4)), (2, 2, 3), _GRID)
+    return _shown(evaluate(evaluation_table(frame_labels(spark, d), vectors), recipes))
+
+
 def model_reload(spark, d):
     """Fit, save, load: the loaded model scores every row as the fitted one does."""
     table_ = RECIPES["fit_truncated"].table(feature_table(spark, d))
@@ -150,6 +158,7 @@ QUERIES = {
     },
     **{name: _fit(recipe) for name, recipe in RECIPES.items()},
     "sweep": sweep,
+    "evaluation_sweep": evaluation_sweep,
     "model_reload": model_reload,
 }
 

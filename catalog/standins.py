@@ -239,9 +239,19 @@ def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("time"),
         (F.col("vec_id") % 2).cast("int").alias("is_match"),
         (F.get("embedding", F.lit(0)) > 0).cast("int").alias("is_active"),
+        (F.get("embedding", F.lit(1)) > F.get("embedding", F.lit(2))).cast("int").alias("is_standing"),
     )
 
 
+def model_embeddings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Frames as four models see them: the vector as it is, from behind, its steps, its sizes."""
+    e = F.col("embedding")
+    steps = F.zip_with(e, F.concat(F.slice(e, 2, F.size(e)), F.slice(e, 1, 1)), lambda x, y: y - x)
+    seen = [e, F.reverse(e), steps, F.transform(e, lambda x: F.abs(x))]
+    frames = frame_embeddings(spark, sf_dir)
+    return [frames.withColumn("embedding", v) for v in seen]
+
+
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 

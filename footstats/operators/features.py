@@ -75,7 +75,7 @@ def _vector_or_null(values: Column) -> Column:
     return F.when(values.isNotNull(), array_to_vector(F.coalesce(values, F.array().cast("array<double>"))))
 
 
-def _array_or_null(vector: Column) -> Column:
+def array_or_null(vector: Column) -> Column:
     return F.when(vector.isNotNull(), vector_to_array(vector))
 
 
@@ -176,5 +176,5 @@ class DctnTransformer(
             return pd.Series(list(x.reshape(len(x), -1)), index=vectors.index[known], dtype=object).reindex(vectors.index)
 
         return df.withColumn(
-            self.getOutputCol(), _vector_or_null(corner(_array_or_null(F.col(self.getInputCol()))))
+            self.getOutputCol(), _vector_or_null(corner(array_or_null(F.col(self.getInputCol()))))
         )

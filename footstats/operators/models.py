@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -14,8 +15,10 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from footstats.operators.features import DctnTransformer, arrays_to_vectors, lag_features
+from footstats.operators.block_fits import Block, fit_blocks
+from footstats.operators.features import DctnTransformer, array_or_null, arrays_to_vectors, lag_features
 from footstats.operators.splits import split_crc32
 from footstats.operators.statistics import split_sizes, union_all
 from footstats.sources.schemas import PERF
@@ -169,8 +172,91 @@ def save_model(model: CrossValidatorModel, path: str) -> CrossValidatorModel:
     return CrossValidatorModel.load(path)
 
 
+def _points(recipe: Recipe) -> list[tuple[int, float, float]]:
+    """Grid points of a recipe (steps, penalty, share of its absolute part) in the order of ``cross_validate``."""
+    grid = {"max_iter": (100,), "reg_param": (0.0,), "elastic_net": (0.0,)} | recipe.grid
+    return list(itertools.product(grid["max_iter"], grid["reg_param"], grid["elastic_net"]))
+
+
+def is_ridge(recipe: Recipe) -> bool:
+    """Whether no grid point of the recipe has an absolute penalty: ``fit_shared`` takes such recipes."""
+    return all(share == 0 or penalty == 0 for _, penalty, share in _points(recipe))
+
+
+def _corner_column(recipe: Recipe) -> str:
+    return "_".join([recipe.features[0], "corner", *map(str, (*recipe.filter_size, *recipe.tensor_shape))])
+
+
+def _block(recipe: Recipe) -> Block:
+    lagged = recipe.kind.startswith("lagged")
+    columns = lag_columns(recipe.features, recipe.k) if lagged else sorted(recipe.features)
+    return Block(
+        recipe.name, recipe.label, [_corner_column(recipe)] if recipe.kind == "dctn" else columns,
+        [(steps, penalty) for steps, penalty, _ in _points(recipe)],
+        recipe.d if recipe.kind.endswith("truncated") else None, recipe.grid.get("folds", 3),
+    )
+
+
+def _shared_table(df: DataFrame, recipes: Sequence[Recipe], key: str = "file") -> DataFrame:
+    """Every vector that a recipe needs, as an array, written once: plain ones, corners of cosine transforms, lags."""
+    features = sorted({c for r in recipes for c in r.features})
+    labels = sorted({r.label for r in recipes})
+    lagged = sorted({c for r in recipes if r.kind.startswith("lagged") for c in r.features})
+    table = df.select(key, "time", *labels, *features)
+    table = table.withColumns({
+        c: F.col(c).cast("array<double>") if isinstance(df.schema[c].dataType, ArrayType) else array_or_null(F.col(c)) for c in features
+    })
+    if lagged:
+        deepest = max(r.k for r in recipes if r.kind.startswith("lagged"))
+        table = lag_features(table, lagged, deepest, keep=True)
+    for recipe in {_corner_column(r): r for r in recipes if r.kind == "dctn"}.values():
+        if len(recipe.features) != 1:
+            raise ValueError(f"the n-dimensional transform takes one feature, {recipe.name} has {len(recipe.features)}")
+        name = _corner_column(recipe)
+        corner = DctnTransformer(
+            inputCol="_vector", outputCol=name, filterSize=list(recipe.filter_size), tensorShape=list(recipe.tensor_shape)
+        )
+        vectors = arrays_to_vectors(table.withColumn("_vector", F.col(recipe.features[0])), ["_vector"])
+        table = corner.transform(vectors).withColumn(name, array_or_null(F.col(name))).drop("_vector")
+    marked = split_crc32(table, key).withColumns({"_test": F.col("split") == "test", "_crc": F.crc32(F.col(key).cast("string"))})
+    needed = sorted({c for r in recipes for c in _block(r).columns})
+    return stage(marked.select("_test", "_crc", *labels, *needed), "sweep-blocks")
+
+
+def fit_shared(df: DataFrame, recipes: Sequence[Recipe]) -> tuple[DataFrame, DataFrame]:
+    """(perf records, coefficients) of ridge recipes, all fitted together: one pass over the table for each step of all models.
+
+    A recipe takes the rows that have its label and all its vectors, like ``Recipe.table``; splits, folds, scaling and
+    penalty are those of ``fit_recipe``. The times in a record are those of all recipes together. Coefficients are
+    ``feature, label, coefficients, intercept`` of the chosen model, for the values as they are in the table.
+    """
+    recipes = list(recipes)
+    for r in recipes:
+        if not is_ridge(r):
+            raise ValueError(f"{r.name} has an absolute penalty")
+    found = fit_blocks(_shared_table(df, recipes), [_block(r) for r in recipes]) if recipes else []
+    sizes = ("train_size", "train_positive", "test_size", "test_positive")
+    perf = [
+        (m["train_time"], m["avg_metrics"], m["std_metrics"], "f1", m["test_time"], m["test_metric"], m["label"], *[m[s] for s in sizes], m["name"])
+        for m in found
+    ]
+    weights = [(m["name"], m["label"], m["coefficients"], m["intercept"]) for m in found]
+    spark = df.sparkSession
+    return (
+        spark.createDataFrame(perf, f"{PERF.strip()}, feature string"),
+        spark.createDataFrame(weights, "feature string, label string, coefficients array<double>, intercept double"),
+    )
+
+
 def sweep(df: DataFrame, recipes: Sequence[Recipe], at_once: int = 4) -> DataFrame:
-    """Perf records of many recipes over one staged table.
+    """Perf records of many recipes: ridge recipes share their passes (``fit_shared``), others are fitted one by one."""
+    shared, others = [r for r in recipes if is_ridge(r)], [r for r in recipes if not is_ridge(r)]
+    made = [fit_shared(df, shared)[0]] if shared or not others else []
+    return union_all(*made, *([fit_side_by_side(df, others, at_once)] if others else []))
+
+
+def fit_side_by_side(df: DataFrame, recipes: Sequence[Recipe], at_once: int = 4) -> DataFrame:
+    """Perf records of recipes as pipelines over one staged table.
 
     Features, split and the lags up to the largest ``k`` are computed and written once; a recipe takes its
     columns and the rows that have all its lags. ``at_once`` recipes are fitted side by side, as the steps of one
@@ -238,8 +324,10 @@ PLAIN_LAGS = [1]
 COEFFICIENTS_AND_LAGS = [(16, 1), (16, 2), (16, 3), (16, 5), (32, 1), (32, 2), (32, 3), (32, 5)]
 
 
-def evaluation_recipes() -> list[Recipe]:
-    """The 99 models of the evaluation."""
-    return recipes_for(MODELS, LABELS, tensors=TENSORS) + recipes_for(
-        LAGGED_MODELS, LABELS, COEFFICIENTS, PLAIN_LAGS, COEFFICIENTS_AND_LAGS, plain=False
+def evaluation_recipes(
+    tensors: dict[str, Sequence[int]] = TENSORS, filter_size: Sequence[int] = (3, 3, 5), grid: dict | None = None
+) -> list[Recipe]:
+    """The 99 models of the evaluation; vectors of another size than the stored ones bring their own ``tensors``."""
+    return recipes_for(MODELS, LABELS, tensors=tensors, filter_size=filter_size, grid=grid) + recipes_for(
+        LAGGED_MODELS, LABELS, COEFFICIENTS, PLAIN_LAGS, COEFFICIENTS_AND_LAGS, plain=False, grid=grid
     )
