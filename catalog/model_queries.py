@@ -184,36 +184,40 @@ def _dct_sql(d):
         FROM x, range({d}) f(k) GROUP BY vec_id, k"""
 
 
-def _scores_sql(feature, d, x, lag=0, label="is_active", points=_GRID["reg_param"], steps=300):
-    """A perf record by plain gradient descent: ridge-penalised logistic models, each with features scaled on its own rows.
+_WHOLE = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 
-    ``x`` makes the ``d`` features of a row from ``e`` and its lags ``e1``, ``e2``. A fit is a fold left out (-1: none, the
-    final model) and a penalty; all are iterated together.
+
+def _scores_sql(feature, d, x, lag=0, label="is_active", points=_GRID["reg_param"], steps=200, seen=_WHOLE):
+    """A perf record by gradient descent with momentum: ridge-penalised logistic models, each with features scaled on its own rows.
+
+    ``x`` makes the ``d`` features of a row from ``e``, what the model has ``seen``, and its lags ``e1``, ``e2``, …. A fit is a fold
+    left out (-1: none, the final model) and a penalty; all are iterated together.
     """
     crc = " ".join(f"WHEN {m} THEN {_CRC[f'clips/mat_{m:02d}/0001.mp4']}" for m in range(10))
     grid = ", ".join(f"({n}, {reg})" for n, reg in enumerate(points, 1))
-    truth = {"is_match": "vec_id % 2 > 0", "is_active": "embedding[1] > 0"}[label]
+    truth = {"is_match": "vec_id % 2 > 0", "is_active": "embedding[1] > 0", "is_standing": "embedding[2] > embedding[3]"}[label]
+    lags = "".join(f"lag(e, {n}) OVER o AS e{n}, " for n in range(1, lag + 1))
     return f"""WITH RECURSIVE v AS (
           SELECT vec_id, CASE label {crc} END AS crc, CAST({truth} AS INT) AS y, label AS own,
-                 list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-        g AS (SELECT *, lag(e) OVER o AS e1, lag(e, 2) OVER o AS e2, row_number() OVER o AS n FROM v WINDOW o AS (PARTITION BY own ORDER BY vec_id)),
+                 {seen} AS e FROM embeddings),
+        g AS (SELECT *, {lags}row_number() OVER o AS n FROM v WINDOW o AS (PARTITION BY own ORDER BY vec_id)),
         t AS (SELECT vec_id, crc, y, {x} AS x FROM g WHERE n > {lag}),
         r AS (SELECT vec_id, y, x, crc % 100 < 80 AS train, crc % 3 AS part FROM t),
         f(fold) AS (VALUES (-1), (0), (1), (2)), grid(point, reg) AS (VALUES {grid}),
         own AS (SELECT fold, vec_id, y, x, train AND part <> fold AS learned,
                        CASE WHEN fold < 0 THEN NOT train ELSE train AND part = fold END AS scored FROM r, f),
-        sd AS (SELECT fold, list(s ORDER BY i) AS sd FROM (
-                 SELECT fold, i, stddev_samp(x[i]) AS s FROM own, range(1, {d + 1}) k(i) WHERE learned GROUP BY fold, i) GROUP BY fold),
+        sd AS (SELECT fold, list(s ORDER BY i) AS sd, list(m ORDER BY i) AS mean FROM (
+                 SELECT fold, i, stddev_samp(x[i]) AS s, avg(x[i]) AS m FROM own, range(1, {d + 1}) k(i) WHERE learned GROUP BY fold, i) GROUP BY fold),
         z AS MATERIALIZED (
           SELECT fold, vec_id, y, learned, scored,
-                 list_append(list_transform(list_zip(x, sd), lambda p: coalesce(p[1] / nullif(p[2], 0), 0.0)), 1.0) AS x
+                 list_append(list_transform(list_zip(x, sd, mean), lambda p: coalesce((p[1] - p[3]) / nullif(p[2], 0), 0.0)), 1.0) AS x
           FROM own JOIN sd USING (fold) WHERE learned OR scored),
-        w(fold, point, reg, step, w) AS (
-          SELECT fold, point, reg, 0, list_transform(range(0, {d + 1}), lambda i: CAST(0 AS DOUBLE)) FROM f, grid
+        w(fold, point, reg, step, w, o) AS (
+          SELECT fold, point, reg, 0, list_transform(range(0, {d + 1}), lambda i: CAST(0 AS DOUBLE)) AS z, z FROM f, grid
           UNION ALL
-          SELECT fold, point, reg, step + 1, list(c ORDER BY i) FROM (
-            SELECT fold, point, reg, step, i,
-                   any_value(w[i]) - 1.5 * (avg((p - y) * x[i]) + CASE WHEN i <= {d} THEN reg * any_value(w[i]) ELSE 0 END) AS c
+          SELECT fold, point, reg, step + 1, list(c ORDER BY i), list(b ORDER BY i) FROM (
+            SELECT fold, point, reg, step, i, any_value(w[i]) AS b,
+                   1.75 * any_value(w[i]) - 0.75 * any_value(o[i]) - (avg((p - y) * x[i]) + CASE WHEN i <= {d} THEN reg * any_value(w[i]) ELSE 0 END) AS c
             FROM (SELECT w.*, z.x, z.y, 1 / (1 + exp(-list_dot_product(w.w, z.x))) AS p
                   FROM w JOIN z ON z.fold = w.fold AND learned WHERE step < {steps}), range(1, {d + 2}) k(i)
             GROUP BY fold, point, reg, step, i) GROUP BY fold, point, reg, step),
@@ -246,6 +250,33 @@ def _dct_of(vector, d):
           * list_sum(list_transform(range(64), lambda n: {vector}[n + 1] * cos(pi() * k * (2 * n + 1) / 128))))"""
 
 
+#: What the models of ``model_embeddings`` see.
+_SEEN = dict(zip(md.MODELS, [
+    _WHOLE, f"list_reverse({_WHOLE})",
+    "list_transform(range(64), lambda n: CAST(embedding[(n + 1) % 64 + 1] AS DOUBLE) - CAST(embedding[n + 1] AS DOUBLE) / 2)",
+    "list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))",
+]))
+
+
+def _with_lags(make, k):
+    return f"list_concat({', '.join([make('e'), *[make(f'e{n}') for n in range(1, k + 1)]])})"
+
+
+def _evaluated():
+    """The 99 models: feature, number of features, what makes them, lag, label, what the model sees."""
+    for label in md.LABELS:
+        for model, seen in _SEEN.items():
+            yield model, 64, "e", 0, label, seen
+            if model in md.TENSORS:
+                yield f"{model}_dctn", 12, _CORNER, 0, label, seen
+            if model in md.LAGGED_MODELS:
+                for d in md.COEFFICIENTS:
+                    yield f"{model}_dct_d{d}", d, _dct_of("e", d), 0, label, seen
+                yield f"{model}_lag1", 128, "list_concat(e, e1)", 1, label, seen
+                for d, k in md.COEFFICIENTS_AND_LAGS:
+                    yield f"{model}_dct_d{d}_lag{k}", d * (k + 1), _with_lags(lambda e, d=d: _dct_of(e, d), k), k, label, seen
+
+
 #: Swept recipes: feature, number of features, what makes them, lag.
 _SWEPT = [
     ("emb", 64, "e", 0), ("emb_dctn", 12, _CORNER, 0), ("emb_dct_d8", 8, _dct_of("e", 8), 0), ("emb_dct_d16", 16, _dct_of("e", 16), 0),
@@ -263,6 +294,9 @@ ORACLES = {
     "sweep": " UNION ALL ".join(
         f"SELECT * FROM ({_scores_sql(f, d, x, lag, label)})" for label in ("is_match", "is_active") for f, d, x, lag in _SWEPT
     ),
+    "evaluation_sweep": " UNION ALL ".join(
+        f"SELECT * FROM ({_scores_sql(f, d, x, lag, label, seen=seen)})" for f, d, x, lag, label, seen in _evaluated()
+    ),
     "model_reload": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differing FROM embeddings",
     "feature_join": """SELECT printf('clips/mat_%02d/0001.mp4', label) AS file, vec_id AS time,
         CAST(vec_id % 2 AS INTEGER) AS is_match,

@@ -244,9 +244,9 @@ def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_embeddings(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Frames as four models see them: the vector as it is, from behind, its steps, its sizes."""
+    """Frames as four models see them: the vector as it is, from behind, the steps from half a value to the next, sizes."""
     e = F.col("embedding")
-    steps = F.zip_with(e, F.concat(F.slice(e, 2, F.size(e)), F.slice(e, 1, 1)), lambda x, y: y - x)
+    steps = F.zip_with(e, F.concat(F.slice(e, 2, F.size(e)), F.slice(e, 1, 1)), lambda x, y: y - x / 2)
     seen = [e, F.reverse(e), steps, F.transform(e, lambda x: F.abs(x))]
     frames = frame_embeddings(spark, sf_dir)
     return [frames.withColumn("embedding", v) for v in seen]
