@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -84,6 +85,18 @@ def batch_infer(spark, d):
     )
 
 
+def inference_stage(spark, d):
+    """Weights stored, a pipeline of inference and transform saved and loaded: the loaded one answers."""
+    halves = np.kron(np.eye(2), np.ones((32, 1)))
+    ft.save_weights(spark, {"w0": halves}, checkpoint := scratch_path(spark, "weights"))
+    stage = ft.BatchInference(inputCol="embedding", outputCol="halves", batchSize=64, tensorShape=[4, 16], checkpoint=checkpoint)
+    corner = ft.DctnTransformer(inputCol="halves", outputCol="out", filterSize=[2], tensorShape=[2])
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    Pipeline(stages=[stage, corner]).fit(rows).write().overwrite().save(path := scratch_path(spark, "inference"))
+    out = PipelineModel.load(path).transform(rows)
+    return out.select("vec_id", F.posexplode(vector_to_array("out")).alias("i", "v")).select("vec_id", "i", F.round("v", 2).alias("v"))
+
+
 def confusion_metrics(spark, d):
     scores = st.confusion_metrics(table(spark, d, "labels"), "quality", "toxic")
     return scores.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1")})
@@ -153,7 +166,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             feature_join, lag_features, lag_features_cascade, dct1d, slice_d8, embedding_dct_d8, dctn_corner,
-            batch_infer, confusion_metrics,
+            batch_infer, inference_stage, confusion_metrics,
         )
     },
     **{name: _fit(recipe) for name, recipe in RECIPES.items()},
@@ -316,6 +329,9 @@ ORACLES = {
         FROM x, range(2) fa(a), range(2) fb(b), range(3) fc(c) GROUP BY vec_id, a, b, c""",
     "batch_infer": f"""WITH x AS ({_LONG}) SELECT vec_id, CAST(n // 32 AS INTEGER) AS i, round(sum(x), 3) AS v
         FROM x GROUP BY vec_id, n // 32""",
+    "inference_stage": f"""WITH x AS ({_LONG}), h AS (SELECT vec_id, n // 32 AS h, sum(x) AS s FROM x GROUP BY vec_id, n // 32)
+        SELECT vec_id, CAST(k AS INTEGER) AS i, round(sum(2 * s * cos(pi() * k * (2 * h + 1) / 4)), 2) AS v
+        FROM h, range(2) f(k) GROUP BY vec_id, k""",
     "confusion_metrics": """WITH c AS (
           SELECT k AS class, count(CASE WHEN quality = k AND toxic = k THEN 1 END) AS tp,
                  count(CASE WHEN quality <> k AND toxic <> k THEN 1 END) AS tn,

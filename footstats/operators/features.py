@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import importlib
+import math
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_a
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -145,6 +147,90 @@ class HasTensorShape(Params):
         return self.getOrDefault(self.tensorShape)
 
 
+class HasBatchSize(Params):
+    """Rows that a model sees at once."""
+
+    batchSize: Param[int] = Param(Params._dummy(), "batchSize", "rows of a batch", TypeConverters.toInt)
+
+    def getBatchSize(self) -> int:
+        return self.getOrDefault(self.batchSize)
+
+
+class HasCheckpoint(Params):
+    """Where a model's weights lie, and what makes a model of them."""
+
+    checkpoint: Param[str] = Param(Params._dummy(), "checkpoint", "path of stored weights", TypeConverters.toString)
+    loader: Param[str] = Param(
+        Params._dummy(), "loader", "module:function, from weights by name to a function of batches", TypeConverters.toString
+    )
+
+    def getCheckpoint(self) -> str:
+        return self.getOrDefault(self.checkpoint)
+
+    def getLoader(self) -> str:
+        return self.getOrDefault(self.loader)
+
+
+#: Bytes of weights that may be sent to the workers.
+WEIGHT_BYTES = 1 << 30
+
+
+def save_weights(spark: SparkSession, weights: Mapping[str, np.ndarray], path: str) -> None:
+    """Write a model's arrays as a table ``name, shape, values``, replacing older ones."""
+    rows = [(name, list(np.shape(a)), np.asarray(a, float).ravel().tolist()) for name, a in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    """The arrays of ``save_weights``; more than ``WEIGHT_BYTES`` are an error, since they go to every worker."""
+    stored = spark.read.parquet(path)
+    size = 8 * (stored.agg(F.sum(F.size("values"))).first()[0] or 0)
+    if size > WEIGHT_BYTES:
+        raise ValueError(f"{size} bytes of weights in {path}, more than {WEIGHT_BYTES}")
+    return {r["name"]: np.asarray(r["values"]).reshape(r["shape"]) for r in stored.collect()}
+
+
+def dense_layers(weights: Mapping[str, np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """Layers ``w0, b0, w1, b1, …`` with rectified values between them; a missing ``b`` adds nothing."""
+    count = sum(name.startswith("w") for name in weights)
+
+    def predict(batch: np.ndarray) -> np.ndarray:
+        x = batch.reshape(len(batch), -1)
+        for n in range(count):
+            x = (x if n == 0 else np.maximum(x, 0)) @ weights[f"w{n}"] + weights.get(f"b{n}", 0)
+        return x
+
+    return predict
+
+
+class BatchInference(
+    Transformer, HasInputCol, HasOutputCol, HasBatchSize, HasTensorShape, HasCheckpoint, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Inference with a stored model as a pipeline stage that is saved and loaded like any other.
+
+    The stage holds parameters only: the weights stay at ``checkpoint`` (a table of ``save_weights``) and are read when
+    the stage runs; ``loader`` names the function that makes a model of them. Input is a vector or an array of
+    the size of ``tensorShape``; null gives null, a batch arrives in that shape.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, batchSize=None, tensorShape=None, checkpoint=None, loader=None):
+        super().__init__()
+        self._setDefault(batchSize=256, loader=f"{__name__}:{dense_layers.__name__}")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        module, _, name = self.getLoader().partition(":")
+        build = getattr(importlib.import_module(module), name)
+        sent = df.sparkSession.sparkContext.broadcast(load_weights(df.sparkSession, self.getCheckpoint()))
+        shape, col, out = self.getTensorShape(), self.getInputCol(), self.getOutputCol()
+        given = F.col(col) if isinstance(df.schema[col].dataType, ArrayType) else array_or_null(F.col(col))
+        nothing = F.array_repeat(F.lit(0.0), math.prod(shape))
+        filled = df.withColumn("_tensor", F.coalesce(given.cast("array<double>"), nothing))
+        found = batch_infer(filled, "_tensor", lambda: build(sent.value), self.getBatchSize(), out, shape)
+        return found.withColumn(out, F.when(F.col(col).isNotNull(), F.col(out))).drop("_tensor")
+
+
 class DctnTransformer(
     Transformer, HasInputCol, HasOutputCol, HasFilterSize, HasTensorShape, DefaultParamsReadable, DefaultParamsWritable
 ):

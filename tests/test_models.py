@@ -70,6 +70,36 @@ def test_batch_infer_on_bytes(spark):
     assert {tuple(r.y) for r in got} == {(3.0, 97.0), (1.0, 122.0)}
 
 
+def test_inference_stage(spark, tmp_path):
+    """Saved here, loaded in another session: the same answers; null stays null, extra columns stay."""
+    rng = np.random.default_rng(1)
+    weights = {"w0": rng.normal(size=(6, 5)), "b0": rng.normal(size=5), "w1": rng.normal(size=(5, 2))}
+    ft.save_weights(spark, weights, str(tmp_path / "w"))
+    stage = ft.BatchInference(inputCol="x", outputCol="y", batchSize=2, tensorShape=[2, 3], checkpoint=str(tmp_path / "w"))
+    rows = [(i, rng.normal(size=6).tolist() if i != 3 else None, "kept") for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, halo string")
+    Pipeline(stages=[stage]).fit(df).write().overwrite().save(str(tmp_path / "p"))
+    loaded = PipelineModel.load(str(tmp_path / "p"))
+    vectors = ft.arrays_to_vectors(spark.newSession().createDataFrame(rows, df.schema), ["x"])
+    for found in (stage.transform(df), loaded.transform(vectors)):
+        assert found.columns == ["id", "x", "halo", "y"]
+        for r in found.collect():
+            if r.id == 3:
+                assert r.y is None
+            else:
+                x = np.array(rows[r.id][1])
+                assert r.y.toArray() == pytest.approx(np.maximum(x @ weights["w0"] + weights["b0"], 0) @ weights["w1"], rel=1e-4, abs=1e-5)
+    assert loaded.transform(df.limit(0)).count() == 0
+
+
+def test_weights_are_bounded(spark, tmp_path, monkeypatch):
+    ft.save_weights(spark, {"w0": np.ones((3, 2))}, str(tmp_path / "w"))
+    assert ft.load_weights(spark, str(tmp_path / "w"))["w0"].shape == (3, 2)
+    monkeypatch.setattr(ft, "WEIGHT_BYTES", 40)
+    with pytest.raises(ValueError):
+        ft.load_weights(spark, str(tmp_path / "w"))
+
+
 @pytest.mark.parametrize("k,cascade_rows", [(1, 29), (2, 27), (3, 24), (5, 15)])
 def test_lag_row_counts(spark, k, cascade_rows):
     df = spark.createDataFrame([("f", t * 3, [float(t)]) for t in range(30)], "file string, time long, x array<double>")
