@@ -3,11 +3,13 @@
 Test items are cut into windows of consecutive words. The index stores where the training documents hold the
 windows' rarest words (document, place); the lists of a window's rare words, each moved back by the word's
 place in the window, are intersected, and what is left is compared with the document's words. Built from
-DataFrame operations alone; sizes are checked before anything is broadcast.
+DataFrame operations alone; sizes are checked before anything is broadcast. Near matches (all but a fifth of a
+window's words, each within some words of its place) are found where the rare words are read, from the words around them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,8 @@ from footstats.llm.common import cut
 BROADCAST_ROWS = 200_000
 #: Rare words of a window whose lists are intersected.
 RARE_WORDS = 2
+#: Bits of the map that sorts out words before their surroundings are copied.
+MAP_BITS = 1 << 17
 #: A near match lacks at most one word of so many of its window.
 LACKING = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,6 +37,11 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
+def line_words(line: Column) -> Column:
+    """The words of a line in which they are parted by one blank each."""
+    return F.array_remove(F.split(line, " "), "")
+
+
 def checked(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -83,59 +92,77 @@ class PositionalIndex:
         )
         return whole.select("row", "w.phrase", (F.col("shift") + F.col("w.s")).alias("start"), "w.size").where("start >= 0").distinct()
 
-    def near(self, slack: int) -> DataFrame:
+    def near(self, slack: int, width: int) -> DataFrame:
         """(row, phrase, start): windows with all but a fifth of their words within ``slack`` of their places.
 
         Windows of up to four words lack none. ``start`` is the first place from which the window's words are
-        found so. Of the ``misses + 2`` rarest words of a window two must stand near each other wherever it is
-        found, words that no document holds being among the rarest: only such places are compared whole.
+        found so. Of the ``misses + 1`` rarest words of a window one must stand wherever it is found, and two of the
+        ``misses + 2`` rarest, words that no document holds being among the rarest. Postings of these words carry
+        the words around them, so that all is compared where they are read and only matches are dealt.
         """
-        whole = Window.partitionBy("item", "s")
-        listed = self.ranked.withColumn("misses", F.floor(F.col("size") / LACKING).cast("int")).withColumn(
-            "absent", F.sum(F.col("times").isNull().cast("int")).over(whole)
-        ).where("absent <= misses AND rank <= misses + 2 AND times IS NOT NULL").withColumn(
-            "least", F.least(F.col("size"), F.col("misses") + 2) - F.col("misses")
-        )
-        listed = cut(listed.select("item", "s", "phrase", "size", "misses", "least", "at", "word"))
-        rows = listed.count()
-        anchors = listed.groupBy("item", "at", "word").agg((F.min("least") == 1).alias("alone"))
-        words = listed.select("word").distinct()
-        # Dealt by row, so that nothing is dealt again once a place belongs to many items.
-        places = self.docs.select("row", F.posexplode("words").alias("place", "word"))
-        places = places.join(checked(words, rows), "word", "left_semi").repartition("row")
-        lists = places.join(checked(anchors, rows), "word").select("row", "item", (F.col("place") - F.col("at")).alias("shift"), "at", "alone")
-        order = Window.partitionBy("row", "item").orderBy("shift", "at")
-        gaps = [F.col("shift") - F.lag("shift").over(order), F.lead("shift").over(order) - F.col("shift")]
-        lists = lists.withColumn("gap", F.least(*gaps)).where(F.col("alone") | (F.col("gap") <= 2 * slack))
-        # A cell is a stretch of places where an item may begin; it holds what stands within ``slack`` of them.
-        step = 2 * slack + 1
-        cells = F.sequence(F.floor((F.col("shift") - slack) / step), F.floor((F.col("shift") + slack) / step))
-        met = lists.select("row", "item", "at", F.explode(cells).alias("cell")).groupBy("row", "item", "cell").agg(F.collect_set("at").alias("met"))
-        each = listed.groupBy("item", "s", "phrase", "size", "misses", "least").agg(F.collect_set("at").alias("needed"))
-        each = each.groupBy("item").agg(F.collect_list(F.struct("s", "phrase", "size", "misses", "least", "needed")).alias("windows"))
-        fits = F.filter("windows", lambda w: F.size(F.array_intersect(w["needed"], F.col("met"))) >= w["least"])
-        found = met.join(checked(each, rows), "item").select("row", "cell", F.explode(fits).alias("w")).select(
-            "row", (F.col("cell") * step + F.col("w.s")).cast("int").alias("first"), "w.phrase", "w.size", "w.misses"
+        each = self.ranked.groupBy("item", "s", "phrase", "size").agg(
+            F.array_sort(F.collect_list(F.struct("offset", "word", "rank", "times"))).alias("w")
+        ).withColumn("misses", F.floor(F.col("size") / LACKING).cast("int"))
+        each = each.where(F.size(F.filter("w", lambda x: x["times"].isNull())) <= F.col("misses"))
+        seeds = F.filter("w", lambda x: x["times"].isNotNull() & (x["rank"] <= F.col("misses") + 1))
+        each = each.select("item", "s", "phrase", "size", "misses", "w", F.explode(seeds).alias("seed"))
+        beside = F.filter("w", lambda x: (x["rank"] <= F.col("misses") + 2) & (x["offset"] != F.col("seed.offset")))
+        each = each.select(
+            F.col("seed.word").alias("word"), "item", (F.col("s") + F.col("seed.offset")).alias("at"), (F.col("size") == 1).alias("alone"),
+            F.transform(beside, lambda x: x["word"]).alias("beside"),
+            F.struct("phrase", "size", "misses", F.col("seed.offset").alias("offset"), F.transform("w", lambda x: x["word"]).alias("wanted")).alias("window"),
         )
-        found = found.groupBy("row").agg(F.collect_set(F.struct("first", "phrase", "size", "misses")).alias("found"))
-        phrases = self.ranked.select("phrase", "offset", "word").distinct().groupBy("phrase").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("offset", "word"))), lambda x: x["word"]).alias("wanted")
-        )
-        placed = self.docs.join(found, "row").select("row", "words", F.explode("found").alias("c")).select("row", "words", "c.*")
+        each = cut(each.groupBy("word", "item", "at").agg(
+            F.max("alone").alias("alone"), F.array_distinct(F.flatten(F.collect_list("beside"))).alias("beside"), F.collect_list("window").alias("windows")
+        ))
+        anchors = each.select("word", "item", "at", "alone", "beside")
+        held = may_hold(each.select("word"))
+
+        reach = width - 1 + 2 * slack
+        first = lambda i: F.greatest(i - reach, F.lit(0))
+        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: held(F.get("words", i)))
+        around = F.transform(places, lambda i: F.struct(
+            i.alias("place"), F.get("words", i).alias("word"), first(i).alias("first"),
+            F.slice("words", first(i) + 1, i - first(i) + reach + 1).alias("around"),
+        ))
+        listed = self.docs.where(F.size("words") > 0).select("row", F.inline(around))
+        met = listed.join(checked(anchors, each.count()), "word").where(F.col("alone") | F.arrays_overlap("around", "beside"))
+
+        def known(w: Column) -> Column:
+            return F.size(F.filter(w["wanted"], lambda x: F.array_contains("around", x))) >= w["size"] - w["misses"]
+
+        near = met.join(each.select("word", "item", "at", "windows"), ["word", "item", "at"]).select(
+            "row", "place", "first", "around", F.explode(F.filter("windows", known)).alias("w")
+        ).select("row", "place", "first", "around", "w.*")
 
         def stands(start: Column, i: Column) -> Column:
-            low = F.greatest(start + i - slack, F.lit(0))
-            around = F.slice("words", low + 1, F.greatest(start + i + slack + 1 - low, F.lit(0)))
-            return F.array_contains(around, F.element_at("wanted", i + 1))
+            low = F.greatest(start + i - slack, F.col("first"))
+            part = F.slice("around", low - F.col("first") + 1, F.greatest(start + i + slack + 1 - low, F.lit(0)))
+            return F.array_contains(part, F.get("wanted", i))
 
         def enough(start: Column) -> Column:
             places = F.sequence(F.lit(0), F.col("size") - 1)
             return F.size(F.filter(places, lambda i: stands(start, i))) >= F.col("size") - F.col("misses")
 
-        starts = F.filter(F.sequence(F.col("first"), F.col("first") + step - 1), enough)
-        return placed.join(checked(phrases, rows), "phrase").select("row", "phrase", F.array_min(starts).alias("start")).where(
-            "start IS NOT NULL"
-        ).groupBy("row", "phrase").agg(F.min("start").alias("start"))
+        middle = F.col("place") - F.col("offset")
+        starts = F.filter(F.sequence(middle - slack, middle + slack), enough)
+        return near.select("row", "phrase", F.array_min(starts).alias("start")).where("start IS NOT NULL").groupBy("row", "phrase").agg(
+            F.min("start").alias("start")
+        )
+
+
+def may_hold(words: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a word can be among ``words``, never false for one that is: a bitmap of hashes of ``MAP_BITS`` bits."""
+    slot = F.pmod(F.hash("word"), F.lit(MAP_BITS))
+    cells = words.select((slot / 32).cast("int").alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), slot % 32).alias("bit"))
+    bits = {r["cell"]: r["bits"] for r in cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).collect()}
+    bitmap = F.expr(f"array({','.join(f'{bits.get(i, 0)}L' for i in range(MAP_BITS // 32))})")
+
+    def test(word: Column) -> Column:
+        slot = F.pmod(F.hash(word), F.lit(MAP_BITS))
+        return F.get(bitmap, (slot / 32).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), slot % 32)) != 0
+
+    return test
 
 
 def build_index(docs: DataFrame, windows: DataFrame, rare_words: int = RARE_WORDS) -> PositionalIndex:
@@ -171,10 +198,12 @@ def find_contamination(
     n_items (a null id counts as one), items_sha256 (item ids sorted as text, joined by commas), contaminated; with ``slack`` also n_near, the
     windows that stand there with all but a fifth of their words within that many words of their places.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")
-    )
-    listed = rows.select("row", word_list(F.col("text")).alias("words"))
+    # The texts are read once; their words are written in one line each, as a list of them would be slow to read.
+    rows = cut(docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
+        F.array_join(word_list(F.col(text_col)), " ").alias("line"),
+    ))
+    listed = rows.select("row", line_words(F.col("line")).alias("words"))
     windows = cut(test_windows(items, width, item_col, item_text_col))
     index = build_index(listed, windows)
 
@@ -182,8 +211,8 @@ def find_contamination(
     found = index.phrase_starts().groupBy("row").agg(
         F.collect_set(F.struct(F.col("start").cast("int").alias("start"), "size", "phrase")).alias("found")
     )
-    held = rows.select("row", "text").join(found, "row")
-    placed = held.select("row", word_list(F.col("text")).alias("words"), "found").select("row", "words", F.explode("found").alias("c"))
+    held = rows.select("row", "line").join(found, "row")
+    placed = held.select("row", line_words(F.col("line")).alias("words"), "found").select("row", "words", F.explode("found").alias("c"))
     same = F.xxhash64(F.array_join(F.slice("words", F.col("c.start") + 1, F.col("c.size")), " ")) == F.col("c.phrase")
     exact = cut(placed.where(same).select("row", "c").groupBy("row").agg(F.array_sort(F.collect_set("c")).alias("found")))
 
@@ -204,7 +233,7 @@ def find_contamination(
     )
     result = hits.join(owned, "row")
     if slack is not None:
-        near = index.near(slack).groupBy("row").agg(F.count_distinct("phrase").alias("n_near"))
+        near = index.near(slack, width).groupBy("row").agg(F.count_distinct("phrase").alias("n_near"))
         result = result.join(near, "row", "full")
     zero = F.lit(0).cast("long")
     columns = [
@@ -215,7 +244,7 @@ def find_contamination(
     ]
     if slack is not None:
         columns.append(F.coalesce("n_near", zero).alias("n_near"))
-    sized = rows.select("doc_id", "row", F.size(word_list(F.col("text"))).cast("long").alias("n_words"))
+    sized = rows.select("doc_id", "row", F.size(line_words(F.col("line"))).cast("long").alias("n_words"))
     return sized.join(result, "row", "left").select(F.col("doc_id").alias(id_col), "n_words", *columns)
 
 
@@ -230,8 +259,18 @@ g AS (SELECT doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS
       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM win))),
 m AS (SELECT * FROM g WHERE p IN (SELECT p FROM win)),
 h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM m) GROUP BY doc_id),
-o AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m JOIN win USING (p) GROUP BY doc_id)
+o AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m JOIN win USING (p) GROUP BY doc_id),
+it AS (SELECT w, row_number() OVER () AS k FROM (SELECT DISTINCT w FROM b WHERE len(w) > 0)),
+iw AS (SELECT k, unnest(w) AS word, unnest(range(len(w))) AS pos FROM it),
+ws AS (SELECT k, n, s, array_to_string(list_slice(w, s + 1, s + n), ' ') AS p
+       FROM (SELECT k, w, least(len(w), 10) AS n, unnest(range(greatest(len(w) - 9, 1))) AS s FROM it)),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM d),
+sh AS (SELECT DISTINCT doc_id, k, place - pos + delta AS t, pos FROM dw JOIN iw USING (word), (SELECT unnest(range(-2, 3)) AS delta)),
+st AS (SELECT doc_id, k, t, list(pos) AS stand FROM sh GROUP BY doc_id, k, t),
+ne AS (SELECT doc_id, count(DISTINCT p) AS n_near FROM st JOIN ws USING (k)
+       WHERE len(stand) >= n - n // 5 AND len(list_filter(stand, lambda x: x >= s AND x < s + n)) >= n - n // 5 GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
-       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id)
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN ne USING (doc_id)
 """

@@ -159,7 +159,7 @@ def test_near_matches(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     texts = ["alpha beta x gamma delta", "alpha beta gamma delta", "alpha x x x x x beta gamma delta", "delta gamma beta alpha"]
     rows = frame(spark, texts).select(F.col("doc_id").alias("row"), word_list(F.col("text")).alias("words"))
-    near = build_index(rows, windows_of(items, 4), rare_words=4).near(slack=2)
+    near = build_index(rows, windows_of(items, 4), rare_words=4).near(slack=2, width=4)
     assert {r["row"] for r in near.collect()} == {0, 1}
     got = find_contamination(frame(spark, texts), items, width=4, slack=2)
     assert {(r["doc_id"], r["contaminated"], r["n_near"] > 0) for r in got.collect()} >= {(0, False, True), (1, True, True), (2, False, False)}
