@@ -19,6 +19,8 @@ from footstats.llm.common import cut
 
 #: Rows up to which a table of test words may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which the windows of near matches are broadcast, counting so many for each window beside its words.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 400
 #: Rare words of a window whose lists are intersected.
 RARE_WORDS = 2
 #: Bits of the map that sorts out words before their surroundings are copied.
@@ -116,7 +118,12 @@ class PositionalIndex:
             F.max("alone").alias("alone"), F.array_distinct(F.flatten(F.collect_list("beside"))).alias("beside"), F.collect_list("window").alias("windows")
         ))
         anchors = each.select("word", "item", "at", "alone", "beside")
+        windows = each.select("word", "item", "at", "windows")
         held = may_hold(each.select("word"))
+        # Both tables are met where the documents are read, as long as they are small.
+        letters = F.aggregate("windows", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(F.array_join(w["wanted"], " ")) + ROW_BYTES)
+        if each.agg(F.coalesce(F.sum(letters), F.lit(0))).first()[0] <= BROADCAST_BYTES:
+            anchors, windows = F.broadcast(anchors), F.broadcast(windows)
 
         reach = width - 1 + 2 * slack
         first = lambda i: F.greatest(i - reach, F.lit(0))
@@ -126,12 +133,12 @@ class PositionalIndex:
             F.slice("words", first(i) + 1, i - first(i) + reach + 1).alias("around"),
         ))
         listed = self.docs.where(F.size("words") > 0).select("row", F.inline(around))
-        met = listed.join(checked(anchors, each.count()), "word").where(F.col("alone") | F.arrays_overlap("around", "beside"))
+        met = listed.join(anchors, "word").where(F.col("alone") | F.arrays_overlap("around", "beside"))
 
         def known(w: Column) -> Column:
             return F.size(F.filter(w["wanted"], lambda x: F.array_contains("around", x))) >= w["size"] - w["misses"]
 
-        near = met.join(each.select("word", "item", "at", "windows"), ["word", "item", "at"]).select(
+        near = met.join(windows, ["word", "item", "at"]).select(
             "row", "place", "first", "around", F.explode(F.filter("windows", known)).alias("w")
         ).select("row", "place", "first", "around", "w.*")
 
