@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from footstats.operators.sequences import with_global_position
 
+#: Clips that travel as one row, and clips that one task lists.
+STRETCH_CLIPS, TASK_CLIPS = 4096, 4_000_000
+
 
 def batch_plan(
     videos: DataFrame,
@@ -38,18 +41,30 @@ def batch_plan(
     )
 
 
-def clip_plan(videos: DataFrame, duration: int = 600, offset: int = 0) -> DataFrame:
+def clip_plan(
+    videos: DataFrame, duration: int = 600, offset: int = 0, stretch: int = STRETCH_CLIPS, rows: int = TASK_CLIPS
+) -> DataFrame:
     """Clips of ``(path, total_seconds)``: ``path, clip, start, duration, name``.
 
     At least one clip per video; clips that would begin past the end are left out.
+    A short table can stand for very many clips, so they are counted first: beyond ``rows`` of them, stretches of at most
+    ``stretch`` clips are dealt to tasks of about ``rows`` each, and a long recording to several.
     """
     n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total_seconds") / duration))
+    first = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(stretch).cast("long"))
+    stretches = videos.select("path", "total_seconds", F.explode(first).alias("_first"))
+    tasks = -(-(videos.agg(F.sum(n)).first()[0] or 0) // rows)
+    if tasks > 1:
+        stretches = stretches.repartition(tasks)
+    clips = F.sequence(F.col("_first"), F.least(F.col("_first") + stretch, n) - 1)
+    digits = F.col("clip").cast("string")
     return (
-        videos.select("path", "total_seconds", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("clip"))
+        stretches.select("path", "total_seconds", F.explode(clips).alias("clip"))
         .withColumn("start", F.lit(offset) + F.col("clip") * duration)
         .where(F.col("start") < F.col("total_seconds"))
         .select(
             "path", "clip", "start", F.lit(duration).alias("duration"),
-            F.format_string("%04d.mp4", "clip").alias("name"),
+            # As %04d, without a call of the formatter for each clip.
+            F.concat(F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), "0"), F.lit(".mp4")).alias("name"),
         )
     )

@@ -140,6 +140,21 @@ def test_plans(spark):
     assert shots.clip_plan(videos, 600, 700).count() == 1
 
 
+@pytest.mark.parametrize("offset", [0, 25, -25, 100_000])
+def test_clip_plan_deals_long_recordings(spark, offset):
+    totals = {"long": 200_005, "even": 640, "short": 3, "none": 0, "unknown": None, None: 50}
+    videos = spark.createDataFrame([*totals.items()], "path string, total_seconds long").coalesce(1)
+    plan = shots.clip_plan(videos, 10, offset, stretch=64, rows=1000)
+    want = [
+        (path, i, offset + i * 10, 10, f"{i:04d}.mp4")
+        for path, total in totals.items() if total is not None
+        for i in range(max(1, -(-total // 10))) if offset + i * 10 < total
+    ]
+    assert sorted(map(tuple, plan.collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, shots.clip_plan(videos, 10, offset).collect()), key=repr) == sorted(want, key=repr)
+    assert shots.clip_plan(videos.where("false"), 10, offset).isEmpty()
+
+
 def test_annotations(spark):
     rows = [
         (1, 1, 10.0, "2024-02-01T10:00:00Z", "u1", "manual"), (1, 1, 99.0, "2024-02-01T11:00:00Z", "u1", "prediction"),
