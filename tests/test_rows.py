@@ -155,6 +155,14 @@ def test_clip_plan_deals_long_recordings(spark, offset):
     assert shots.clip_plan(videos.where("false"), 10, offset).isEmpty()
 
 
+def test_clip_plan_tasks_stay_small(spark):
+    for n in (1, 8):
+        videos = spark.createDataFrame([("long", 100_000 * n), *[(f"v{i}", 10) for i in range(500 * n)]], "path string, total_seconds long")
+        plan = shots.clip_plan(videos.coalesce(1), 10, 0, stretch=64, rows=1000)
+        sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 10_500 * n and max(sizes) < 2500
+
+
 def test_annotations(spark):
     rows = [
         (1, 1, 10.0, "2024-02-01T10:00:00Z", "u1", "manual"), (1, 1, 99.0, "2024-02-01T11:00:00Z", "u1", "prediction"),
