@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one file inside the folder of a video.
-FILE_ROWS = 1_000_000
+#: Rows of one file inside the folder of a video, and of one file of a table.
+FILE_ROWS, TABLE_ROWS = 1_000_000, 2_000_000
 
 
-def write_table(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Parquet, overwriting; ``partitions`` sets the number of files by an even exchange."""
-    out = df if partitions is None else df.repartition(partitions)
-    out.write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str, partitions: int | None = None, rows: int = TABLE_ROWS) -> None:
+    """Parquet, overwriting; ``partitions`` sets the number of files by an even exchange.
+
+    The rows are counted for that: a table of more than ``partitions`` times ``rows`` rows gets more files, of about ``rows``
+    each, so that no task grows with the table. Choose fewer for very wide rows.
+    """
+    if partitions is not None:
+        df = df.repartition(max(partitions, -(-df.count() // rows)))
+    df.write.mode("overwrite").parquet(path)
 
 
 def write_json(df: DataFrame, path: str, files: int | None = None) -> None:

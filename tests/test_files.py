@@ -153,6 +153,16 @@ def test_subtitle_files(spark, tmp_path):
     assert "".join(parts) == "1\na\n\n2\nb\n\n"
 
 
+def test_table_files_stay_bounded(spark, tmp_path):
+    for n in (1000, 4000):
+        path = str(tmp_path / str(n))
+        wr.write_table(spark.range(n).coalesce(2), path, 3, rows=100)
+        back = spark.read.parquet(path)
+        sizes = [r["count"] for r in back.groupBy("_metadata.file_name").count().collect()]
+        assert len(sizes) == n // 100 and max(sizes) <= 110
+        assert sorted(r.id for r in back.collect()) == list(range(n))
+
+
 def test_table_and_staging(spark, tmp_path):
     wr.write_table(spark.range(100), str(tmp_path / "t"), 3)
     assert len(files(tmp_path / "t", ".parquet")) == 3
