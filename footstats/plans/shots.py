@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footstats.operators.sequences import with_global_position
 
 #: Clips that travel as one row, and clips that one task lists.
-STRETCH_CLIPS, TASK_CLIPS = 4096, 4_000_000
+STRETCH_CLIPS, TASK_CLIPS = 4096, 1_000_000
 
 
 def batch_plan(

@@ -163,6 +163,17 @@ def test_clip_plan_tasks_stay_small(spark):
         assert sum(sizes) == 10_500 * n and max(sizes) < 2500
 
 
+def test_clip_plan_longest_task_stays_at_ten_times_the_table(spark):
+    # Recordings as long as their key is large: ten times the rows are a hundred times the clips.
+    most = {}
+    for n in (1000, 10_000):
+        videos = spark.range(n).selectExpr("concat('v', id) AS path", "id * 240 + 1 AS total_seconds").coalesce(1)
+        sizes = [r["count"] for r in shots.clip_plan(videos).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == sum(-(-(i * 240 + 1) // 600) for i in range(n))
+        most[n] = max(sizes)
+    assert most[10_000] < 10 * most[1000] and most[10_000] < 1_250_000
+
+
 def test_annotations(spark):
     rows = [
         (1, 1, 10.0, "2024-02-01T10:00:00Z", "u1", "manual"), (1, 1, 99.0, "2024-02-01T11:00:00Z", "u1", "prediction"),
