@@ -18,15 +18,38 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
+#: While it is on, the shuffle files of a query go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut`` of ``df``, and the folder it was written to. The shuffle files behind it go once it is written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: a lost executor repeats one step only.
 
     The written folder stays until the caller clears ``<shared folder>/llm-<application id>``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``written`` that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def map_rows(rows: DataFrame, run, schema: str, id_col: str = "doc_id") -> DataFrame:

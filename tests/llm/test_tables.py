@@ -1,10 +1,13 @@
 """Operators that join rows: brute force on small fixtures, hot groups, odd rows and ties."""
 
+import glob
 import hashlib
 import itertools
 import math
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,6 +100,72 @@ def test_classes_of_odd_tables(spark):
     assert sorted(tuple(r) for r in similarity_classes(twice, 3, 90).collect()) == [(0, 2, 0)] * 3
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The shuffle files behind a written table go at once, not when the driver happens to collect garbage."""
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    counts = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert counts.count() == 7
+
+
+def test_similarity_leaves_no_shingles_or_texts_on_disk(spark):
+    """What is left of the written tables is what the result is read from: no leading shingles, no texts, no rounds of components."""
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    folders = lambda: set(glob.glob(f"{top}/llm-{spark.sparkContext.applicationId}/*"))
+    before = folders()
+    assert similarity_classes(frame(spark, families(3, 6)), 3, 90).count()
+    left = folders() - before
+    assert not {c for f in left for c in spark.read.parquet(f).columns} & {"lead", "text"}
+    assert len(left) <= 6
+
+
+@pytest.mark.parametrize("percent, pair_rows, listed", [(90, 128, 7), (80, 4, 1), (90, 1, 3)])
+def test_column_blocks_give_all_pairs_whose_sizes_link(percent, pair_rows, listed, monkeypatch):
+    monkeypatch.setattr(jaccard, "LISTED_PAIRS", listed)
+    pick = random.Random(percent + pair_rows)
+    sizes = {i: pick.choice([9, 10, 11, 12, 40, 43, 300]) for i in range(-40, 40)}
+    entries = np.zeros(400, jaccard.ENTRY)
+    rows = [(pick.choice([0, 1, 2, 3, 250]) << pick.choice([0, 32]), pick.choice(list(sizes))) for _ in range(400)]
+    for e, (s, i) in zip(entries, rows):
+        e["s"], e["set_id"], e["n"] = np.frombuffer(s.to_bytes(5, "little"), np.uint8), i, sizes[i]
+    want = Counter((min(a, b), max(a, b)) for (s, a), (t, b) in itertools.combinations(rows, 2)
+                   if s == t and a != b and 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b]))
+    got, chains = Counter(), []
+    for part in jaccard.list_pairs(entries, percent, pair_rows):
+        for a, b, na, nb in zip(*(x.tolist() for x in part)):
+            if na:
+                assert (na, nb) == (sizes[a], sizes[b])
+                got[a, b] += 1
+            else:
+                chains.append((a, b))
+    root = {i: i for i in sizes}
+    for a, b in chains:
+        old, new = root[a], root[b]
+        root = {i: new if r == old else r for i, r in root.items()}
+    assert all(got[p] == n or root[p[0]] == root[p[1]] for p, n in want.items()) and set(got) <= set(want)
+    assert bool(chains) == (pair_rows < 128)
+
+
+def test_rows_of_other_sizes_do_not_meet_in_a_hot_block(spark, monkeypatch):
+    """Texts that share words and differ in length by a factor: blocks of many rows, and only those of like sizes are compared."""
+    met = []
+    real = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: met.append(edges.count()) or real(edges))
+    monkeypatch.setattr(jaccard, "PAIR_ROWS", 2)
+    texts = [" ".join(f"w{j}" for j in range(9 * 3**i)) for i in range(5)]
+    got = similarity_classes(frame(spark, texts), 1, 50).collect()
+    assert sorted(r["component_id"] for r in got) == list(range(5))
+    assert met[0] == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
