@@ -31,13 +31,15 @@ from footstats.llm.common import cut, map_rows, remove, written
 #: Rows of a column block up to which its pairs are listed (of more rows, where sizes leave as few pairs a row), and rows of a tile.
 PAIR_ROWS, TILE_ROWS = 128, 512
 #: Entries of column blocks that a task sorts (about), that are packed at once, and pairs that are listed at once.
-BLOCK_ENTRIES, PACKED_ENTRIES, LISTED_PAIRS = 250_000, 1_000_000, 500_000
+BLOCK_ENTRIES, PACKED_ENTRIES, LISTED_PAIRS = 150_000, 400_000, 200_000
 #: Shingles of the product that are multiplied at once.
 TILE_COLUMNS = 4096
 #: Rows sent to tiles up to which their ids are broadcast to the texts; more meet them in a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Documents (at least, and as a share) and shingles that decide which shingles come last in the order. The order changes the work, not the links.
 ORDER_DOCUMENTS, ORDER_SHARE, ORDER_SHINGLES, ORDER_TIMES = 40_000, 0.03, 2_000_000, 32
+#: Documents whose shingles are counted at once.
+ORDER_BATCH = 500
 #: Words whose hashes a task remembers.
 MEMO_WORDS = 500_000
 
@@ -91,12 +93,10 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     def list_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingler(width)
         for batch in batches:
-            found: dict[int, int] = {}
-            values = [shingles(t) for t in batch["text"]]
-            if values:
+            for at in range(0, len(batch), ORDER_BATCH):
+                values = [shingles(t) for t in batch["text"][at : at + ORDER_BATCH]]
                 keys, n = np.unique(np.concatenate(values), return_counts=True)
-                found = {"s": _signed(keys), "n": n}
-                yield pd.DataFrame(found)
+                yield pd.DataFrame({"s": _signed(keys), "n": n})
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
     counts = cut(some.mapInPandas(list_all, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= times))
